@@ -38,8 +38,21 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup, op6_toxicity, op7_simhash)}
 
 
 LINE_DEDUP_SQL = """
