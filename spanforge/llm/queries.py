@@ -51,8 +51,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents")).drop("distance")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup, op6_toxicity, op7_simhash)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup, op6_toxicity, op7_simhash, op9_pii, op10_quality_rules)}
 
 
 LINE_DEDUP_SQL = """
