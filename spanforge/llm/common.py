@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,6 +48,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, at: int, most: int = 4 << 20, rows: int = 2_000):
+    """Parts of the batches with at most so many rows, and bytes in column ``at`` (or one row), and their texts."""
+    for batch in batches:
+        column = batch.column(at).cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = min(max(first + 1, int(np.searchsorted(ends, before + most, side="right"))), first + rows, batch.num_rows)
+            yield batch.slice(first, last - first), column.slice(first, last - first).to_pylist()
+            first = last
+
+
 def map_text(
     df: DataFrame,
     text_col: str,
@@ -65,8 +80,7 @@ def map_text(
 
     def run(batches):
         f = make()
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
+        for batch, texts in slices(batches, len(keep)):
             made = f(texts)
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
             made = [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(len(own) + i).type) for i, x in enumerate(made)]
@@ -83,8 +97,7 @@ def filter_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[
 
     def run(batches):
         f = make()
-        for batch in batches:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
+        for batch, texts in slices(batches, at):
             yield batch.filter(pa.array(f(texts), pa.bool_()))
 
     return df.mapInArrow(run, schema)

@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import TEXT, col, stored
-from spanforge.llm.tokenids import encoder, slices
+from spanforge.llm.common import TEXT, col, slices, stored
+from spanforge.llm.tokenids import encoder
 
 CAPACITY = 2048
 
@@ -111,27 +111,22 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
         seen: Counter = Counter()
         part = TaskContext.get().partitionId()
         own = encoder(tokenizer)
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            row = 0
-            for some in slices(texts):
-                rows, data = [], []
-                for ids in own.encode(some):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, start in enumerate(range(0, n, capacity)):
-                        cut = ids[4 * start : 4 * (start + capacity)]
-                        m = len(cut) // 4
-                        rows.append((row, k, start, m, zlib.crc32(cut), part, seen[m]))
-                        data.append(cut)
-                        seen[m] += 1
-                    row += 1
-                cols = list(zip(*rows))
-                arrays = [batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32())]
-                arrays += [pa.array(c, pa.int64()) for c in cols[2:5]] + [pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int64())]
-                if with_ids:
-                    arrays.append(pa.array(data, pa.binary()))
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for batch, texts in slices(batches, 1):
+            rows, data = [], []
+            for row, ids in enumerate(own.encode(texts)):
+                ids += end
+                for k, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    cut = ids[4 * start : 4 * (start + capacity)]
+                    n = len(cut) // 4
+                    rows.append((row, k, start, n, zlib.crc32(cut), part, seen[n]))
+                    data.append(cut)
+                    seen[n] += 1
+            cols = list(zip(*rows))
+            arrays = [batch.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32())]
+            arrays += [pa.array(c, pa.int64()) for c in cols[2:5]] + [pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int64())]
+            if with_ids:
+                arrays.append(pa.array(data, pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids binary" * with_ids)
 

@@ -27,65 +27,90 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField
 from spanforge.llm.common import col, map_text
 
 #: Chunks between white space whose ids a worker keeps; frequent ones come early.
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 500_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+#: Marks that end a word; as symbols they are a pre-token of their own.
+_MARKS = b".,!?;:#$%&*|"
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
+
+
 class ChunkEncoder:
     """Ids of a text by a tokenizer that never joins across ASCII white space.
 
-    The ids of a text are then those of its chunks in turn, so each distinct
-    chunk is encoded once by the tokenizers library and looked up afterwards. A
-    plain ASCII word and one trailing full stop or comma are separate
-    pre-tokens, so they are looked up apart, in lower case.
+    The ids of a text are then those of its chunks in turn, so a chunk is
+    encoded once by the tokenizers library and looked up afterwards. The
+    library's normalizer and splitter take most of its time. They change nothing
+    in a word of ASCII or Latin-1 letters but its case, and split it only from
+    marks behind it; such words go to the library's BPE model itself.
     """
 
     def __init__(self, path: str, limit: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.model, self.symbols = self.tokenizer.model, _byte_symbols()
 
-    @staticmethod
-    def parts(chunk: bytes) -> tuple[bytes, ...]:
-        if chunk.isalnum():
-            return (chunk.lower(),)
-        if chunk[-1:] in (b".", b",") and chunk[:-1].isalnum():
-            return chunk[:-1].lower(), chunk[-1:]
-        return (chunk,)
+    def word(self, chunk: bytes) -> str | None:
+        """The model's input for a chunk of letters alone, else None."""
+        if chunk.isalpha():
+            return chunk.lower().decode("ascii")
+        text = chunk.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0100":
+            return text.lower().encode().decode("latin-1").translate(self.symbols)
+        return None
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """The ids of chunks, as little-endian 32-bit integers."""
-        parts = {c: self.parts(c) for c in chunks}
-        known = self.known
-        new = list({p for ps in parts.values() for p in ps if p not in known})
-        found = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, found)}
-        for c, ps in parts.items():
-            fresh[c] = b"".join([fresh[p] if p in fresh else known[p] for p in ps])
-        room = self.limit - len(known)
-        known.update(fresh if len(fresh) <= room else list(fresh.items())[: max(0, room)])
+        fresh, whole, tails, tokenize = {}, [], {}, self.model.tokenize
+        for c in chunks:
+            core = c.rstrip(_MARKS)
+            word = self.word(core) if core else None
+            if word is None:
+                whole.append(c)
+                continue
+            fresh[c] = np.array([x.id for x in tokenize(word)], "<u4").tobytes()
+            if len(core) < len(c):
+                tails.setdefault(c[len(core) :], []).append(c)
+        plain = list(dict.fromkeys([*whole, *tails]))
+        for i in range(0, len(plain), 1000):
+            some = plain[i : i + 1000]
+            for c, e in zip(some, self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4").tobytes()
+                fresh.setdefault(c, ids)
+                for owner in tails.pop(c, ()):
+                    fresh[owner] += ids
+        room = self.limit - len(self.known)
+        if room > 0:
+            self.known.update(fresh if len(fresh) <= room else list(fresh.items())[:room])
         return fresh
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        get, out, open_, missing = self.known.get, [], [], set()
+        get, out, gaps, missing = self.known.get, [], [], set()
         for i, text in enumerate(texts):
             chunks = (text or b"").split()
             ids = list(map(get, chunks))
-            if None in ids:
-                missing.update(c for c, x in zip(chunks, ids) if x is None)
-                open_.append((i, chunks))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        if open_:
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                missing.add(chunks[at])
+                gaps.append((i, at, chunks[at]))
+            out.append(ids)
+        if gaps:
             fresh = self.learn(missing)
-            known = self.known
-            for i, chunks in open_:
-                out[i] = b"".join([fresh[c] if c in fresh else known[c] for c in chunks])
-        return out
+            for i, at, chunk in gaps:
+                out[i][at] = fresh[chunk]
+        return [b"".join(ids) for ids in out]
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -101,18 +126,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def slices(texts: list, most: int = 2 << 20):
-    """Runs of texts of a bounded number of bytes, so that a batch's ids stay small."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= most:
-            yield texts[first : i + 1]
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield texts[first:]
-
-
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text and write the id files described above to ``path``."""
     ordered = (
@@ -128,7 +141,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_
         def run(texts):
             nonlocal before
             own = encoder(tokenizer)
-            ids = [x + end for run in slices(texts) for x in own.encode(run)]
+            ids = [x + end for x in own.encode(texts)]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(n)
             starts = before + ends - n
