@@ -51,6 +51,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.common import fold_of
+    from spanforge.llm.lm import perplexity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return perplexity(docs, train(docs.where(fold_of() != 1)))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.pii import digest
 
@@ -64,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup, op6_toxicity, op7_simhash, op9_pii, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup, op6_toxicity, op7_simhash, op8_lm_scoring, op9_pii, op10_quality_rules)}
 
 
 LINE_DEDUP_SQL = """
