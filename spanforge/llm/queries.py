@@ -38,6 +38,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.substrdedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.toxicity import score, train
 
@@ -72,7 +78,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup, op6_toxicity, op7_simhash, op8_lm_scoring, op9_pii, op10_quality_rules)}
+    found = (
+        op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup, op5_substring_dedup,
+        op6_toxicity, op7_simhash, op8_lm_scoring, op9_pii, op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 LINE_DEDUP_SQL = """
