@@ -76,27 +76,43 @@ def least(r: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def inside(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
-def runs(words: list[bytes], hot: np.ndarray, hot_phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows) of each run of windows that are not hot."""
-    if len(words) < N:
+class Members:
+    """Which of many hashes are in a small set: a bitmap lets few through to the exact search."""
+
+    def __init__(self, values):
+        self.values = np.unique(np.array(values, np.uint64))
+        self.map = np.zeros(1 << 22, bool)
+        self.map[self.values >> np.uint64(42)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = self.map[h >> np.uint64(42)]
+        if len(self.values):
+            at = np.flatnonzero(out)
+            out[at] = self.values[np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)] == h[at]
+        return out
+
+
+def runs(texts: list[list[bytes]], hot: Members, phrases: Members) -> tuple[np.ndarray, ...]:
+    """(text, anchor, first window, number of windows) of each run of windows that are not hot.
+
+    The texts are laid end to end; windows that lie in two of them are left out.
+    """
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    h = hashes([w for t in texts for w in t])
+    if len(h) < N:
         none = np.zeros(0, np.int64)
-        return none, none, none
-    h = hashes(words)
+        return none, none, none, none
     g = rolling(h, PHRASE)
-    rank = (g >> np.uint64(1)) | (inside(g, hot_phrases).astype(np.uint64) << np.uint64(63))
+    rank = (g >> np.uint64(1)) | (phrases(g).astype(np.uint64) << np.uint64(63))
     at = least(rank, N - PHRASE + 1)
-    at = np.where(inside(rolling(h, N), hot), -1, at)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    text = np.repeat(np.arange(len(texts)), sizes)
+    at = np.where((text[: len(at)] != text[N - 1 :]) | hot(rolling(h, N)), -1, at)
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1 : len(at)] != text[: len(at) - 1])]))
     size = np.diff(np.append(first, len(at)))
     keep = at[first] >= 0
     first, size = first[keep], size[keep]
-    return g[at[first]].view(np.int64), first, size
+    return text[first], g[at[first]].view(np.int64), first - starts[text[first]], size
 
 
 class Automaton:
@@ -111,11 +127,17 @@ class Automaton:
             self.found.make_automaton()
 
     def places(self, words: list[bytes]) -> list[int]:
-        """The first words of all occurrences, in order."""
+        """The first words of all occurrences, in order. A word that no window has parts the text."""
         if not len(self.found) or len(words) < N:
             return []
         get = self.ids.get
-        return [end - N + 1 for end, _ in self.found.iter(tuple([get(w, 0) for w in words]))]
+        ids = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
+        gaps = np.flatnonzero(np.concatenate([[True], ids == 0, [True]])) - 1
+        out = []
+        for k in np.flatnonzero(np.diff(gaps) > N).tolist():
+            s = int(gaps[k]) + 1
+            out += [s + end - N + 1 for end, _ in self.found.iter(tuple(ids[s : gaps[k + 1]].tolist()))]
+        return out
 
 
 def merged(places, size: int = N) -> list[tuple[int, int]]:
@@ -129,26 +151,37 @@ def merged(places, size: int = N) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def judged(groups: list[tuple[int, list[bytes]]]) -> list[list[int]]:
-    """For the runs of whole anchor groups (words of each): the windows, by their first
-    word in the run, that occur at two places or more."""
-    ids: dict[bytes, int] = {}
-    numbers = [[ids.setdefault(w, len(ids) + 1) for w in words] for _, words in groups]
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
+def judged(texts: list[bytes], times: list[int]) -> list[list[int]]:
+    """For the different texts of the runs of whole anchor groups, and how many runs have
+    each: the windows, by their first word, that occur at two places or more."""
+    ids = _Numbers()
+    numbers = [tuple(map(ids.__getitem__, t.split())) for t in texts]
     value = np.random.default_rng(len(ids)).integers(1, 2**63, len(ids) + 1, dtype=np.uint64)
-    flat = [rolling(value[np.array(n)], N) for n in numbers]
-    every = np.concatenate(flat)
-    _, first, counts = np.unique(every, return_index=True, return_counts=True)
-    starts = np.cumsum([0, *[len(f) for f in flat]])
-    again = np.sort(first[counts > 1])
+    sizes = np.array([len(n) for n in numbers])
+    ends = np.cumsum(sizes)
+    every = rolling(value[np.fromiter((x for n in numbers for x in n), np.int64, int(ends[-1]))], N)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    whole = np.flatnonzero(text[: len(every)] == text[N - 1 :])
+    _, first, back = np.unique(every[whole], return_index=True, return_inverse=True)
+    counts = np.bincount(back, np.array(times)[text[whole]])
+    again = whole[np.sort(first[counts > 1])]
     found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, (k, at) in enumerate(zip((np.searchsorted(starts, again, side="right") - 1).tolist(), again.tolist())):
-        s = at - int(starts[k])
-        found.add_word(tuple(numbers[k][s : s + N]), i)
+    for i, (k, at) in enumerate(zip(text[again].tolist(), (again - (ends - sizes)[text[again]]).tolist())):
+        found.add_word(numbers[k][at : at + N], i)
     if not len(found):
-        return [[] for _ in groups]
+        return [[] for _ in texts]
     found.make_automaton()
-    hits = [list(found.iter(tuple(n))) for n in numbers]
-    seen = Counter(i for h in hits for _, i in h)
+    hits = [list(found.iter(n)) for n in numbers]
+    seen: Counter = Counter()
+    for h, m in zip(hits, times):
+        for _, i in h:
+            seen[i] += m
     return [[end - N + 1 for end, i in h if seen[i] > 1] for h in hits]
 
 
@@ -182,18 +215,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spark.sparkContext.broadcast(windows)
 
     def anchors(batches):
-        hot = np.sort(np.array([rolling(hashes(list(w)), N)[0] for w in shared.value], np.uint64))
-        phrases = np.unique(np.concatenate([np.zeros(0, np.uint64), *[rolling(hashes(list(w)), PHRASE) for w in shared.value]]))
+        hot = Members([rolling(hashes(list(w)), N)[0] for w in shared.value])
+        phrases = Members(np.concatenate([np.zeros(0, np.uint64), *[rolling(hashes(list(w)), PHRASE) for w in shared.value]]))
         for batch, texts in slices(batches, 2):
-            rows, m, a, n = [], [], [], []
-            for i, t in enumerate(texts):
-                anchor, first, size = runs(t.split() if t else [], hot, phrases)
-                rows.append(np.full(len(anchor), i))
-                m.append(anchor)
-                a.append(first)
-                n.append(size)
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(m)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(a).astype(np.int32)), pa.array(np.concatenate(n).astype(np.int32))], names=["m", "d", "th", "a", "n"])
+            row, m, a, n = runs([t.split() if t else [] for t in texts], hot, phrases)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(m), batch.column(0).take(take), batch.column(1).take(take), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=["m", "d", "th", "a", "n"])
 
     def repeated(batches):
         """The rows, sorted by m, whose m is not alone."""
@@ -231,15 +258,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(a, pa.int32()), pa.array(x, pa.binary())], names=["m", "d", "th", "a", "x"])
 
     def confirm(batches):
-        """Covered stretches of the runs, which are sorted by m."""
-        held: list = []
+        """Covered stretches of the runs, which are sorted by m. Equal texts are judged once."""
+        held: dict[bytes, list] = {}
         size, now = 0, None
 
         def flush():
             out = []
-            for (row, words), places in zip(held, judged(held)):
-                d, th, a = row
-                out += [(d, th, a + s, a + e) for s, e in merged(places)]
+            for rows, places in zip(held.values(), judged(list(held), [len(r) for r in held.values()])):
+                spans = merged(places)
+                out += [(d, th, a + s, a + e) for d, th, a in rows for s, e in spans]
             c = list(zip(*out)) if out else [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c[0], d_type), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], names=["d", "th", "s", "e"])
 
@@ -248,11 +275,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for m, d, th, a, x in zip(*[batch.column(i).to_pylist() for i in range(5)]):
                 if m != now and size >= SHARD:
                     yield flush()
-                    held, size = [], 0
+                    held, size = {}, 0
                 now = m
-                words = x.split()
-                held.append(((d, th, a), words))
-                size += len(words) - N + 1
+                rows = held.get(x)
+                if rows is None:
+                    rows = held[x] = []
+                    size += x.count(b" ") - N + 2
+                rows.append((d, th, a))
         if held:
             yield flush()
 
