@@ -75,7 +75,7 @@ def _variants(rows: DataFrame, width: int) -> DataFrame:
 
 def forest(fps: np.ndarray) -> tuple[list[int], list[int]]:
     """Links that span the components of fps, at most one less than there are fps."""
-    left, a, b = fps.copy(), [], []
+    left, a, b = fps.view(np.uint64), [], []  # the count of set bits is of unsigned numbers
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
@@ -84,8 +84,8 @@ def forest(fps: np.ndarray) -> tuple[list[int], list[int]]:
             if near.any():
                 got = left[near]
                 left = left[~near]
-                a += [int(x)] * len(got)
-                b += got.tolist()
+                a += [int(x.view(np.int64))] * len(got)
+                b += got.view(np.int64).tolist()
                 todo += list(got)
     return a, b
 
