@@ -96,7 +96,7 @@ def _keyed(stats: DataFrame) -> DataFrame:
     each = each.withColumn("g", F.when(F.col("n") >= LEAST, F.concat_ws("\x01", F.lit("2"), "_l", "_s")))
     rest = each.where("g is null").groupBy("_l").agg(F.sum("n").alias("m")).select(F.col("_l").alias("_r"), F.when(F.col("m") >= LEAST, F.concat_ws("\x01", F.lit("1"), "_l")).otherwise("0").alias("h"))
     groups = stored(each.join(rest, each["_l"] == rest["_r"], "left").select(F.col("_l").alias("kl"), F.col("_s").alias("ks"), F.coalesce("g", "h").alias("g")), "quality-groups")
-    return full.join(groups, (F.col("_l") == F.col("kl")) & (F.col("_s") == F.col("ks")), "left").drop("_l", "_s", "kl", "ks")
+    return full.join(_per_group(groups), (F.col("_l") == F.col("kl")) & (F.col("_s") == F.col("ks")), "left").drop("_l", "_s", "kl", "ks")
 
 
 def _at_share(binned: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
@@ -108,6 +108,12 @@ def _at_share(binned: DataFrame, keys: list[str], shares: dict[str, float]) -> D
 
 
 _DISTANCE_BINS, _VALUE_BINS = 40, 100
+#: Tables of one row per group are broadcast up to so many groups; beyond, they are joined by exchange.
+MAX_BROADCAST_GROUPS = 20_000
+
+
+def _per_group(groups: DataFrame) -> DataFrame:
+    return F.broadcast(groups) if groups.count() <= MAX_BROADCAST_GROUPS else groups
 
 
 def _distance() -> Column:
@@ -155,12 +161,12 @@ def estimates(fit: DataFrame) -> DataFrame:
     """g, m*, p*, scale: the estimate of each group, scaled by its median distance."""
     now = stored(_start(fit), "quality-estimates")
     for step in range(STEPS + 1):
-        far = fit.join(now, "g").select("g", *_X, F.floor(F.log(F.lit(1e-9) + _distance()) * _DISTANCE_BINS).alias("bin"))
+        far = fit.join(_per_group(now), "g").select("g", *_X, F.floor(F.log(F.lit(1e-9) + _distance()) * _DISTANCE_BINS).alias("bin"))
         if step == STEPS:
             mid = _at_share(far.select("g", "bin"), ["g"], {"mid": 0.5}).select("g", (F.exp((F.col("mid") + 0.5) / _DISTANCE_BINS) / MEDIAN).alias("scale"))
             return stored(now.join(mid, "g"), "quality-estimates")
         edge = stored(_at_share(far.select("g", "bin"), ["g"], {"edge": HALF}), "quality-edges")
-        near = far.join(edge, "g").where("bin <= edge")
+        near = far.join(_per_group(edge), "g").where("bin <= edge")
         sums = near.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS])
         now = stored(_solved(sums), "quality-estimates")
 
@@ -171,5 +177,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     fit = stats.where("not base_failed").select("g", *_X)
     sizes = fit.groupBy("g").agg(F.count("*").alias("size"))
     found = stored(estimates(fit).join(sizes, "g"), "quality-final")
-    far = stats.join(found, "g", "left").withColumn("distance", F.when((F.col("size") >= LEAST) & ~F.col("base_failed"), _distance() / F.col("scale")))
+    far = stats.join(_per_group(found), "g", "left").withColumn("distance", F.when((F.col("size") >= LEAST) & ~F.col("base_failed"), _distance() / F.col("scale")))
     return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"))
