@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from spanforge.functions.intervals import sessions
 from spanforge.functions.text import END, WS, is_blank, line_table, piece
 from spanforge.operators.chrome import LINE_BREAKS
+from spanforge.sources.shared import stored
 
 TOC_GAP, DENSE_GAP = 600, 700
 MIN_ENTRIES = 6
 FRONT_SHARE = 0.2
 ITEM_LINE = rf"(?i)^{WS}*items?{WS}+(\p{{Nd}}{{1,2}})([A-Za-z]?){END}"
-PAGE_REF = rf"(?:(?:\.{WS}*){{3,}}{WS}*\p{{Nd}}{{1,4}}{WS}*$|{WS}\p{{Nd}}{{1,4}}{WS}*$)"
+PAGE_REF = rf"(?:(?:\.{WS}*+){{3}}\p{{Nd}}{{1,4}}{WS}*+$|{WS}\p{{Nd}}{{1,4}}{WS}*+$)"
 
 
 def entries(ruler: DataFrame) -> DataFrame:
@@ -44,9 +45,9 @@ def _cluster(items: DataFrame, lengths: DataFrame, gap: int) -> DataFrame:
 def front_matter(ruler: DataFrame) -> DataFrame:
     """filing_id, start, end, cls: the cover page and the table of contents, where there are any."""
     lengths = ruler.select("filing_id", F.length("text").alias("length"))
-    every = entries(ruler)
+    every = stored(entries(ruler), "entries")  # few lines of each text; read by every branch below
     counted = every.withColumn("n", F.count("*").over(Window.partitionBy("filing_id"))).where(F.col("n") >= MIN_ENTRIES)
-    by_ref = _cluster(counted.where("ref"), lengths, TOC_GAP)
+    by_ref = stored(_cluster(counted.where("ref"), lengths, TOC_GAP), "contents")
     dense = _cluster(counted, lengths, DENSE_GAP).join(lengths, "filing_id").where(F.col("start") <= F.col("length") * FRONT_SHARE)
     toc = by_ref.select("filing_id", "start", "end").unionByName(dense.select("filing_id", "start", "end").join(by_ref, "filing_id", "left_anti"))
     first = every.groupBy("filing_id").agg(F.min("start").alias("first"))

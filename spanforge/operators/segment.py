@@ -58,7 +58,8 @@ def with_body(spans: DataFrame, ruler: DataFrame, **made) -> DataFrame:
 
 def structure(ruler: DataFrame, front: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Headings and part dividers outside the front matter, and the signatures."""
-    lines = line_table(ruler, "\n")
+    opening = F.col("line").rlike(HEADING) | F.col("line").rlike(DIVIDER) | F.col("line").rlike(SIGNATURES)
+    lines = stored(line_table(ruler, "\n").where(opening), "openings")
     regions = front.where("cls in ('cover_page', 'toc')").select("filing_id", "start", "end")
     found = outside(headings(lines), regions, "enum_start")
     divided = lines.where(F.col("line").rlike(DIVIDER)).select("filing_id", "start", (F.col("start") + F.length("line")).alias("end"))
@@ -86,7 +87,6 @@ def segment(ruler: DataFrame, front: DataFrame, era_of: DataFrame) -> tuple[Data
     lengths = ruler.select("filing_id", F.length("text").alias("length"))
     found, divided, signed = structure(ruler, front)
     taken = accepted(found, era_of)
-    divided, signed = stored(divided, "dividers"), stored(signed, "signatures")
     spans = item_spans(taken, divided.select("filing_id", "start").unionByName(signed.select("filing_id", "start")), lengths)
     spans = stored(spans.select("filing_id", "era_id", "item_id", "merged_id", "start", "end"), "spans")
     judged = with_body(spans, ruler, status=lambda x, body: F.when(x["merged_id"].isNotNull(), "merged").otherwise(status_of(x["item_id"], body)))
