@@ -258,7 +258,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     folder = local_path(path)
     os.makedirs(folder, exist_ok=True)
     own = docs.select(col(text_col).cast("string").alias(TEXT))
-    n = max(64, 2 * own.rdd.getNumPartitions())
+    n = max(16, 2 * own.rdd.getNumPartitions())
     hot = _hot_words(own)
     # at most HOT hashes
     shared = spark.sparkContext.broadcast(hot)
