@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.intervals import cursor, islands, sessions
 from spanforge.functions.text import line_table, tokens
-from spanforge.operators import chrome, completeness, front, gate, html, segment
+from spanforge.operators import chrome, completeness, front, gate, html, provenance, segment
 from spanforge.plans import eras, reports
 from spanforge.plans.segmentation import result_json, segment_filings, segment_texts
 from spanforge.sources import filings as sources
-from spanforge.sources.corpus import FILINGS_SQL, filings
+from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings
 from spanforge.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +156,23 @@ def page_conservation(spark, sf_dir):
     return completeness.conservation(pages, baseline, walked, hidden).select("filing_id", "passed", "n_source", "n_accounted", "n_missing", "n_extra")
 
 
+def filing_conservation(spark, sf_dir):
+    """Token conservation of filings: what was stripped is in the ledger."""
+    f = filings(spark, sf_dir)
+    ruler, ledger = chrome.stripped(f.select("filing_id", "text"))
+    return completeness.conservation(f, f, ruler, ledger).select("filing_id", "passed", "n_source", "n_accounted", "n_missing", "n_extra")
+
+
+def item_sources(spark, sf_dir):
+    """Where the spans of items lie in the text before chrome was cut out."""
+    f = stored(_undated(spark, sf_dir), "filings")
+    run = segment_texts(f)
+    whole = f.select("filing_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("source_start"), F.length("text").alias("source_end"), F.lit("raw_byte").alias("kind"))
+    stretches = provenance.after_excision(whole, chrome.kept_ranges(f, run.ledger))
+    spans = run.items.where("start is not null").select("filing_id", "item_id", "start", "end")
+    return provenance.source_of(spans, stretches).select("filing_id", "item_id", *_long("start", "end"), "source_kind", *_long("source_start", "source_end"))
+
+
 def page_provenance(spark, sf_dir):
     """Stretches of the rulers of pages after chrome is cut out."""
     _, _, stretches = segment_filings(_pages(spark, sf_dir))
@@ -200,7 +217,7 @@ def queries() -> dict[str, Query]:
     found = (
         page_tokens, document_lines, filing_texts, filing_eras, order_eras, chrome_lines, stripped_texts, front_matter, item_headings,
         accepted_items, items, residual_spans, violations, invariant_results, verdicts, dated_summary, item_sequences, residual_classes,
-        spot_check, result_documents, page_conservation, page_provenance, page_formats, user_sessions, running_records, shipping_islands, shipping_overlaps,
+        spot_check, result_documents, page_conservation, filing_conservation, item_sources, page_provenance, page_formats, user_sessions, running_records, shipping_islands, shipping_overlaps,
     )
     return {f.__name__: f for f in found}
 
@@ -363,6 +380,12 @@ ORACLE = {
     "page_conservation": rf"""SELECT page_id AS filing_id, true AS passed, n AS n_source, n AS n_accounted, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM (
   SELECT page_id, CAST(len(regexp_extract_all(html_text, '[\p{{L}}\p{{N}}]+(?:[.,/\-&%][\p{{L}}\p{{N}}]+)*')) AS BIGINT) AS n FROM (
   SELECT page_id, replace(replace(replace(replace({_BARE}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS html_text FROM pages))""",
+    "filing_conservation": _sql(1, r"""SELECT filing_id, true AS passed, n AS n_source, n AS n_accounted, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM (
+  SELECT filing_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[.,/\-&%][\p{L}\p{N}]+)*')) AS BIGINT) AS n FROM filings)"""),
+    "item_sources": _sql(5, """, moved AS (
+  SELECT filing_id, start AS source, sum(CASE WHEN chrome THEN 1 ELSE len(line) + 1 END) OVER (PARTITION BY filing_id ORDER BY pos) - CASE WHEN chrome THEN 1 ELSE len(line) + 1 END AS start FROM marked
+) SELECT i.filing_id, i.item_id, CAST(i.start AS BIGINT) AS start, CAST(i.stop AS BIGINT) AS "end", 'raw_byte' AS source_kind, CAST(a.source AS BIGINT) AS source_start, CAST(coalesce(b.source, len(f.text)) AS BIGINT) AS source_end
+  FROM items i JOIN filings f ON f.filing_id = i.filing_id JOIN moved a ON a.filing_id = i.filing_id AND a.start = i.start LEFT JOIN moved b ON b.filing_id = i.filing_id AND b.start = i.stop WHERE i.start IS NOT NULL"""),
     "page_formats": "SELECT 'html' AS generation, count(*) AS n, 0::BIGINT AS n_dated FROM pages",
     "user_sessions": """WITH e AS (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events),
   s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 1800 THEN 1 ELSE 0 END AS far FROM e),
@@ -370,6 +393,23 @@ ORACLE = {
   SELECT user_id, run, count(*) AS n, min(t) AS first, max(t) AS last FROM r GROUP BY user_id, run""",
     "running_records": """SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) WHERE best IS NULL OR value > best""",
 }
+_SUMMARY = """SELECT f.filing_id, f.fiscal_year_end, 'era_2023' AS era_id, (SELECT count(*) FROM items i WHERE i.filing_id = f.filing_id) AS n_items,
+  (SELECT count(*) FROM items i WHERE i.filing_id = f.filing_id AND i.start IS NOT NULL AND i.merged_into IS NULL) AS n_spans,
+  9 - (SELECT count(DISTINCT inv_no) FROM violations v WHERE v.filing_id = f.filing_id) AS n_passed, d.n AS n_violations,
+  CASE WHEN d.n > 0 THEN 'failed' ELSE 'pass' END AS status, CASE WHEN d.n > 0 THEN 'low' ELSE 'high' END AS confidence FROM filings f JOIN verdict d ON d.filing_id = f.filing_id"""
+
+
+def _by_era(depth: int, select: str) -> str:
+    """The chain once for each era, over the filings of that era."""
+    found = []
+    for era, low, high, _ in eras.ERAS:
+        own = " AND ".join([f"fye0 >= '{low}'"] * bool(low) + [f"fye0 < '{high}'"] * bool(high))
+        text = _sql(depth, select).replace("'era_2023' AND", f"'{era}' AND").replace("= 'era_2023'", f"= '{era}'").replace("'era_2023' AS era_id", f"'{era}' AS era_id")
+        found.append("SELECT * FROM (" + text.replace("FROM named0 GROUP BY f\n", f"FROM named0 GROUP BY f HAVING {own.replace('fye0', 'any_value(' + FYE_SQL + ')')}\n") + ")")
+    return "\nUNION ALL\n".join(found)
+
+
+ORACLE["dated_summary"] = _by_era(6, _SUMMARY)
 _SHIPPED = "s AS (SELECT l_suppkey AS key, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS a, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS INT) % 5 + 1 AS b FROM lineitem WHERE l_shipdate IS NOT NULL)"
 _REACHED = "max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 ORACLE["shipping_islands"] = f"""WITH {_SHIPPED}, n AS (SELECT *, CASE WHEN a > coalesce({_REACHED}, -1) THEN 1 ELSE 0 END AS opened FROM s),

@@ -40,6 +40,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.col("f").alias("filing_id"), "text", F.expr(_DATE.replace("DIV", "(f div 6)")).alias("fiscal_year_end"))
 
 
+FYE_SQL = _DATE.replace("DIV", "(f // 6)")
 FILINGS_SQL = rf"""
 lines0 AS (
   SELECT doc_id // 8 AS f, doc_id, pos, parts[pos] AS line
@@ -52,6 +53,6 @@ lines0 AS (
 ), named0 AS (SELECT *, {_ID} AS id FROM dealt0
 ), filings AS (
   SELECT f AS filing_id, string_agg({_BLOCK.replace("NL", "chr(10)").replace("TOC", "array_to_string([" + ", ".join(f"'{x}'" for x in _CONTENTS) + "], chr(10))")}, chr(10) ORDER BY r) AS text,
-    any_value({_DATE.replace("DIV", "(f // 6)")}) AS fiscal_year_end
+    any_value({FYE_SQL}) AS fiscal_year_end
   FROM named0 GROUP BY f
 )"""
