@@ -57,3 +57,17 @@ def kept_ranges(texts: DataFrame, ledger: DataFrame) -> DataFrame:
     w = Window.partitionBy("filing_id").orderBy("start")
     size = F.col("end") - F.col("start")
     return kept.select("filing_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), (F.sum(size).over(w) - size).cast("int").alias("b_new"))
+
+
+def remapped(points: DataFrame, removed: DataFrame) -> DataFrame:
+    """points(filing_id, pos, ...) with ``new``: the place after removed(filing_id, start, end) are cut out.
+
+    A place within a removed range falls to where the range began. Ranges and
+    places lie on one line, so a running sum over it is enough.
+    """
+    cuts = removed.select("filing_id", F.col("start").alias("pos"), F.col("end").alias("stop"), F.lit(0).alias("kind"))
+    line = points.withColumn("kind", F.lit(1)).unionByName(cuts, allowMissingColumns=True)
+    w = Window.partitionBy("filing_id").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    gone = F.coalesce(F.sum(F.col("stop") - F.col("pos")).over(w), F.lit(0))
+    beyond = F.greatest(F.coalesce(F.last("stop", ignorenulls=True).over(w), F.lit(0)) - F.col("pos"), F.lit(0))
+    return line.withColumn("new", (F.col("pos") - gone + beyond).cast("int")).where("kind = 1").drop("kind", "stop")

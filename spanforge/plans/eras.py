@@ -101,3 +101,10 @@ def invalid_items(items: DataFrame) -> DataFrame:
 
 def invalid_eras(windows: DataFrame) -> DataFrame:
     return windows.where("from_fye >= until_fye").select("era_id", F.lit("inverted window").alias("fault"))
+
+
+def era_labels(items: DataFrame) -> DataFrame:
+    """era_id, label: the year an item order is known by, told from the items themselves."""
+    per = items.groupBy("era_id").agg(F.collect_set(F.when(F.col("order_index").isNotNull(), F.col("item_id"))).alias("ids"), F.bool_or((F.col("item_id") == "6") & (F.col("expectation") == "reserved")).alias("six"))
+    has = lambda x: F.array_contains("ids", x)
+    return per.select("era_id", F.when(has("1C"), "2023").when(F.col("six"), "2020").when(has("1A"), "2005").otherwise("1994").alias("label"))

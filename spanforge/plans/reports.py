@@ -39,3 +39,17 @@ def spot_check(run: Segmented) -> DataFrame:
     w = Window.partitionBy("filing_id").orderBy("start")
     short = ~F.col("item_id").rlike(r"\p{L}$") & (F.col("status") == "extracted") & (F.col("end") - F.col("start") < SHORT)
     return cut.select("*", (F.col("start") - F.lag("end").over(w)).alias("delta"), short.alias("short"))
+
+
+SHOWN = 8
+
+
+def text_report(run: Segmented) -> DataFrame:
+    """filing_id, report: a few lines of text on each filing."""
+    line = lambda x, a, b: F.concat_ws(" ", x, a, b)
+    items = run.items.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("ord", "item_id", "status", "start", "end"))).alias("i"))
+    bad = run.violations.groupBy("filing_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("inv_no", "seq", "code", "item_id"))), 1, SHOWN).alias("v"))
+    out = run.verdicts.join(items, "filing_id", "left").join(bad, "filing_id", "left")
+    listed = F.transform("i", lambda x: line(F.concat(F.lit("item "), x["item_id"]), x["status"], F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))))
+    broken = F.transform("v", lambda x: F.concat_ws(" ", F.lit("violation"), x["code"], x["item_id"]))
+    return out.select("filing_id", F.concat_ws("\n", F.concat_ws(" ", F.lit("status"), "status", "confidence"), F.concat_ws("\n", listed), F.concat_ws("\n", broken)).alias("report"))

@@ -151,3 +151,32 @@ def test_stream(spark, tmp_path):
     texts = spark.readStream.schema("filing_id long, text string, fiscal_year_end string").parquet(source)
     segment_stream(texts, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert [r["status"] for r in spark.read.parquet(str(tmp_path / "out/verdicts")).collect()] == ["pass"]
+
+
+def test_text_report(run):
+    got = {r["filing_id"]: r["report"] for r in reports.text_report(run).collect()}
+    assert got[1].startswith("status pass high\nitem 1 extracted ") and got[2].count("violation missing_expected_item") == reports.SHOWN
+
+
+def test_era_labels(spark):
+    got = eras.era_labels(eras.era_items(spark)).collect()
+    assert all(r["era_id"] == f"era_{r['label']}" for r in got) and len(got) == 4
+
+
+def test_remapped_places(spark):
+    from spanforge.operators.chrome import remapped
+
+    text, cuts = "0123456789abcdef", [(2, 4), (7, 10)]
+    points = spark.createDataFrame([(1, i) for i in range(17)], "filing_id long, pos int")
+    got = {r["pos"]: r["new"] for r in remapped(points, spark.createDataFrame([(1, *c) for c in cuts], "filing_id long, start int, end int")).collect()}
+    gone = {i for s, e in cuts for i in range(s, e)}
+    assert got == {p: len([i for i in range(min(p, len(text))) if i not in gone]) for p in range(17)}
+
+
+def test_source_of_spans(spark):
+    from spanforge.operators.provenance import source_of
+
+    stretches = spark.createDataFrame([(1, 0, 5, 10, 15, "dom_text"), (1, 5, 6, 20, 20, "injected"), (1, 6, 9, 30, 33, "dom_text")], "filing_id long, start int, end int, source_start int, source_end int, kind string")
+    spans = spark.createDataFrame([(1, 0, 3), (1, 2, 9), (1, 7, 8), (1, 50, 60)], "filing_id long, start int, end int")
+    got = {(r["start"], r["end"]): (r["source_kind"], r["source_start"], r["source_end"]) for r in source_of(spans, stretches).collect()}
+    assert got == {(0, 3): ("dom_text", 10, 13), (2, 9): ("dom_text", 12, 33), (7, 8): ("dom_text", 31, 32), (50, 60): (None, None, None)}
