@@ -82,7 +82,7 @@ def front_matter(spark, sf_dir):
 
 
 def _ruler(spark, sf_dir) -> DataFrame:
-    return stored(chrome.stripped(filings(spark, sf_dir).select("filing_id", "text"))[0], "ruler")
+    return stored(chrome.stripped(filings(spark, sf_dir).select("filing_id", "text"))[0], "ruler", key="filing_id")
 
 
 def _stage2(spark, sf_dir):

@@ -33,7 +33,7 @@ def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: Da
     """
     filings = stored(with_era(texts.select("filing_id", "fiscal_year_end")), "filings")
     ruler, ledger = chrome.stripped(texts.select("filing_id", "text"))
-    ruler = stored(ruler, "ruler")
+    ruler = stored(ruler, "ruler", key="filing_id")
     regions = stored(front.front_matter(ruler), "front")
     items, residual = segment.segment(ruler, regions, filings)
     found = stored(gate.violations(filings, ruler, items, residual, evidence, other), "violations")

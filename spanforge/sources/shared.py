@@ -8,15 +8,27 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     """The rows of df from Parquet files in the folder of ``spark.checkpoint.dir``.
 
     That folder is shared by the driver and all executors; where it is unset, as
     in local tests, a temporary folder stands in. Later plans start from the files:
     they stay small, and lost executors cost no more than what came since.
+
+    With a key the files are an external table in as many buckets as a shuffle has
+    partitions. Windows over the key and joins on it then read the table in place:
+    only the other side of a join moves, which matters where the rows are texts.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    path = f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    own = f"{name}_{uuid.uuid4().hex}"
+    path = f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{own}"
+    if key is None:
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", path)
+        .bucketBy(n, key).sortBy(key).saveAsTable(own)
+    )
+    return spark.table(own)
