@@ -60,6 +60,7 @@ class ChunkEncoder:
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
         self.model, self.symbols = self.tokenizer.model, _byte_symbols()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def word(self, chunk: bytes) -> str | None:
         """The model's input for a chunk of letters alone, else None."""
@@ -72,21 +73,21 @@ class ChunkEncoder:
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """The ids of chunks, as little-endian 32-bit integers."""
-        fresh, whole, tails, tokenize = {}, [], {}, self.model.tokenize
+        fresh, whole, tails, tokenize, packed = {}, [], {}, self.model.tokenize, self.packed
         for c in chunks:
             core = c.rstrip(_MARKS)
             word = self.word(core) if core else None
             if word is None:
                 whole.append(c)
                 continue
-            fresh[c] = np.array([x.id for x in tokenize(word)], "<u4").tobytes()
+            fresh[c] = b"".join([packed[x.id] for x in tokenize(word)])
             if len(core) < len(c):
                 tails.setdefault(c[len(core) :], []).append(c)
         plain = list(dict.fromkeys([*whole, *tails]))
         for i in range(0, len(plain), 1000):
             some = plain[i : i + 1000]
             for c, e in zip(some, self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)):
-                ids = np.array(e.ids, "<u4").tobytes()
+                ids = b"".join([packed[x] for x in e.ids])
                 fresh.setdefault(c, ids)
                 for owner in tails.pop(c, ()):
                     fresh[owner] += ids
