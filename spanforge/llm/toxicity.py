@@ -52,7 +52,7 @@ def features_of(word: bytes) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x) % BUCKETS for x in parts]
 
 
-def features(only: set[int] | None = None, limit: int = 400_000):
+def features(only: set[int] | None = None, limit: int = 250_000):
     """A function from a text to the set of its features (of those in ``only``); it remembers words."""
     known: dict[bytes, tuple[int, ...]] = {}
 
