@@ -196,7 +196,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col:
 
 def _joined(own: DataFrame, windows: DataFrame, n: int) -> DataFrame:
     """The same result by an equality join of 128-bit window hashes."""
-    spark = own.sparkSession
     names = "h1 long, h2 long"
 
     def key(words: list[bytes]) -> tuple[int, int]:
@@ -243,5 +242,4 @@ def _joined(own: DataFrame, windows: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", *[f.name for f in FIELDS]])
 
     kinds = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    del spark
     return both.select("doc_id", "text", "items", "spans").mapInArrow(finish, f"doc_id {id_kind}, {kinds}")
