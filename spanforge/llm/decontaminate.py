@@ -31,6 +31,7 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, Stru
 
 from spanforge.llm.common import TEXT, col, filter_text, map_text, stored
 
+HASH = "_sf_hash"
 N = 13
 MAX_WINDOWS = 300_000
 #: 20 * n_hit >= n_words makes a document contaminated.
@@ -175,11 +176,12 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
-    small, _ = _scanner(benchmark, n, max_windows, item_id, item_text)
+    small, windows = _scanner(benchmark, n, max_windows, item_id, item_text)
     if small is None:
-        marked = judge(docs, benchmark, n, id_col, text_col, item_id, item_text, max_windows)
-        ids = marked.where("contaminated").select(F.col("doc_id").alias(TEXT)).distinct()
-        return docs.join(ids, col(id_col).eqNullSafe(F.col(TEXT)), "left_anti")
+        # ids may repeat or be null, so a row is known by its id and the hash of its text
+        marked = _joined(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), windows, n, keep_hash=True)
+        gone = marked.where("contaminated").select(F.col("doc_id").alias(TEXT), F.col("th").alias(HASH)).distinct()
+        return docs.join(gone, col(id_col).eqNullSafe(F.col(TEXT)) & (F.xxhash64(col(text_col)) == F.col(HASH)), "left_anti")
 
     def make():
         scanner = Scanner(small.value)
@@ -194,8 +196,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col:
     return filter_text(docs, text_col, make)
 
 
-def _joined(own: DataFrame, windows: DataFrame, n: int) -> DataFrame:
-    """The same result by an equality join of 128-bit window hashes."""
+def _joined(own: DataFrame, windows: DataFrame, n: int, keep_hash: bool = False) -> DataFrame:
+    """The same result by an equality join of 128-bit window hashes, and th, the hash of the text, if asked for."""
     names = "h1 long, h2 long"
 
     def key(words: list[bytes]) -> tuple[int, int]:
@@ -231,7 +233,7 @@ def _joined(own: DataFrame, windows: DataFrame, n: int) -> DataFrame:
     def finish(batches):
         for b in batches:
             rows = []
-            for t, its, spans in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for t, its, spans in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 m = len(words_of(t))
                 hit = np.zeros(m, bool)
                 for s in spans or []:
@@ -239,7 +241,8 @@ def _joined(own: DataFrame, windows: DataFrame, n: int) -> DataFrame:
                 rows.append(summed(m, int(hit.sum()), its or []))
             cols = list(zip(*rows)) if rows else [[] for _ in FIELDS]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", *[f.name for f in FIELDS]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", "th", *[f.name for f in FIELDS]])
 
     kinds = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    return both.select("doc_id", "text", "items", "spans").mapInArrow(finish, f"doc_id {id_kind}, {kinds}")
+    judged = both.select("doc_id", "th", "text", "items", "spans").mapInArrow(finish, f"doc_id {id_kind}, th long, {kinds}")
+    return judged if keep_hash else judged.drop("th")
