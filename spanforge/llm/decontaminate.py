@@ -8,7 +8,8 @@ occurrence of a window is hit.
 The windows of the benchmark are broadcast as a hash set as long as their
 number is within ``MAX_WINDOWS``; every text is scanned once and hits are
 verified word by word. A larger benchmark is not broadcast: window hashes of
-benchmark and documents meet in an equality join instead.
+benchmark and documents meet in an equality join instead, after a bitmap of
+bounded size has let through what places of the documents can be hit.
 
 Defined cases: null and empty texts have no words and are never contaminated;
 an item without words has no window; items with the same words are all named;
@@ -34,6 +35,8 @@ from spanforge.llm.common import TEXT, col, filter_text, map_text, stored
 HASH = "_sf_hash"
 N = 13
 MAX_WINDOWS = 300_000
+#: The bitmap before the join has so many bits at most (16 MB), for 32 bits a window of four million windows.
+MAP_BITS = 27
 #: 20 * n_hit >= n_words makes a document contaminated.
 HIT_PARTS = 20
 
@@ -196,8 +199,39 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col:
     return filter_text(docs, text_col, make)
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 400_000:
+            self[word] = h
+        return h
+
+
+_WORD_HASHES = _WordHashes()
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+
+
+def _bitmap(keyed: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the windows by the upper bits of f, and by how much f is shifted: at most 2 ** MAP_BITS bits."""
+    bits = min(MAP_BITS, max(16, (32 * keyed.count()).bit_length()))
+    place = F.shiftrightunsigned("f", 64 - bits)
+    # at most 2 ** (MAP_BITS - 6) rows
+    parts = keyed.groupBy(F.shiftright(place, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(f, {64 - bits}) & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[parts["k"].to_numpy()] = parts["v"].to_numpy().view(np.uint64)
+    return out, 64 - bits
+
+
 def _joined(own: DataFrame, windows: DataFrame, n: int, keep_hash: bool = False) -> DataFrame:
-    """The same result by an equality join of 128-bit window hashes, and th, the hash of the text, if asked for."""
+    """The same result by an equality join of 128-bit window hashes, and th, the hash of the text, if asked for.
+
+    A bitmap lets few places of the documents through to the join but those that
+    are hit. The join is with the different windows; a document's windows meet
+    the items that have them only afterwards, once each.
+    """
     names = "h1 long, h2 long"
 
     def key(words: list[bytes]) -> tuple[int, int]:
@@ -206,27 +240,40 @@ def _joined(own: DataFrame, windows: DataFrame, n: int, keep_hash: bool = False)
 
     def items(batches):
         for b in batches:
-            keys = [key([w.encode() for w in ws]) for ws in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in b.column(1).to_pylist()], pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["item", "n", "h1", "h2"])
-
-    keyed = stored(windows.mapInArrow(items, f"item string, n int, {names}"), "window-hashes")
-    sizes = [r["n"] for r in keyed.select("n").distinct().collect()]  # at most 13 values
+            each = [[w.encode() for w in ws] for ws in b.column(1).to_pylist()]
+            keys = [key(ws) for ws in each]
+            f = np.array([rolling(_word_hashes(ws), len(ws))[0] for ws in each], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(ws) for ws in each], pa.int32()), pa.array(f), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["item", "n", "f", "h1", "h2"])
+
+    keyed = stored(windows.mapInArrow(items, f"item string, n int, f long, {names}"), "window-hashes")
+    different = stored(keyed.select("n", "f", "h1", "h2").distinct(), "different-windows")
+    sizes = [r["n"] for r in different.select("n").distinct().collect()]  # at most 13 values
+    shared = own.sparkSession.sparkContext.broadcast(_bitmap(different))
     id_kind = own.schema["doc_id"].dataType.simpleString()
     source = own.select("doc_id", F.xxhash64("text").alias("th"), col("text").cast("string").alias("text"))
 
     def spread(batches):
+        bitmap, shift = shared.value
         for b in batches:
             for i, t in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
                 w = words_of(t)
+                h = _word_hashes(w)
                 for size in sizes:
-                    for at in range(0, len(w) - size + 1, 10_000):
-                        keys = [key(w[j : j + size]) for j in range(at, min(at + 10_000, len(w) - size + 1))]
-                        m = len(keys)
-                        take = pa.array([i] * m)
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(range(at, at + m), pa.int32()), pa.array([size] * m, pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "th", "at", "n", "h1", "h2"])
+                    if len(w) < size:
+                        continue
+                    place = rolling(h, size) >> np.uint64(shift)
+                    at = np.flatnonzero(bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                    for s in range(0, len(at), 10_000):
+                        some = at[s : s + 10_000]
+                        keys = [key(w[j : j + size]) for j in some.tolist()]
+                        take = pa.array([i] * len(keys))
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(some.astype(np.int32)), pa.array([size] * len(keys), pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], names=["doc_id", "th", "at", "n", "h1", "h2"])
 
     places = source.mapInArrow(spread, f"doc_id {id_kind}, th long, at int, n int, {names}")
-    hits = places.join(keyed, ["n", "h1", "h2"]).groupBy("doc_id", "th").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("at", "n")).alias("spans"))
+    found = stored(places.join(different.drop("f"), ["n", "h1", "h2"]), "window-hits")
+    named = found.select("doc_id", "th", "n", "h1", "h2").distinct().join(keyed.drop("f"), ["n", "h1", "h2"]).select("doc_id", "th", "item").distinct()
+    spans = found.select("doc_id", "th", F.lit(None).cast("string").alias("item"), F.struct("at", "n").alias("span"))
+    hits = spans.unionByName(named, allowMissingColumns=True).groupBy("doc_id", "th").agg(F.collect_set("item").alias("items"), F.collect_set("span").alias("spans"))
     hits = hits.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "items", "spans")
     both = source.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
 

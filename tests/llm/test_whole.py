@@ -33,3 +33,16 @@ def test_contaminated_rows_go_alone(spark, max_windows):
     want = [(i, t, k) for k, (i, t) in enumerate(rows) if _clean(t, items)]
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want
     assert {k for _, _, k in want} == {1, 2, 4, 5, 8, 9, 12}
+
+
+def test_join_path_shuffles_few_places(spark, monkeypatch):
+    """Two windows of 13 and 2 words that many items share, in one of 400 documents."""
+    stored, kept = decontaminate.stored, {}
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    rows = [(i, " ".join(f"w{i * 7 + k}" for k in range(60))) for i in range(400)]
+    item = " ".join(rows[3][1].split()[:13])
+    benchmark = spark.createDataFrame([(i, item if i % 2 else "w25 w26") for i in range(100)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small, joined = (sorted(map(tuple, decontaminate.judge(docs, benchmark, max_windows=m).collect())) for m in (1000, 0))
+    assert small == joined and sum(r[3] for r in joined) > 50
+    assert kept["window-hits"].count() == sum(r[1].count(item) + r[1].count("w25 w26") for r in rows)
