@@ -15,7 +15,8 @@ another; windows are judged on the input.
 3. Every document gets the covered places back and is shortened.
 
 Passages that very many documents share would crowd one anchor. They show up in
-a small sample of documents: windows found there three times repeat for certain.
+a small sample of documents: windows found there three times repeat for certain
+(the last word of a text that the sample cuts does not count, as it may be a stump).
 The most frequent (at most ``HOT``) form an automaton of their own that is broadcast
 and streams every document in step 3; their windows take no part in steps 1 and
 2, and anchors avoid their phrases. The sample decides where a window is judged,
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import col, slices
+from spanforge.llm.common import col, slices, stored
 from spanforge.llm.decontaminate import rolling
 
 N = 35
@@ -189,20 +190,35 @@ def hot_windows(docs: DataFrame) -> list[tuple[bytes, ...]]:
     """The most frequent windows that occur three times or more in a bounded sample of d, text."""
     every = max(1, docs.count() // SAMPLE_ROWS)
     some = docs.where(F.pmod(F.coalesce(F.xxhash64("d"), F.lit(0)), F.lit(every)) == 0).limit(2 * SAMPLE_ROWS)
-    texts = [r["x"].encode().split() for r in some.select(F.substring("text", 1, SAMPLE_CHARS).alias("x")).where("x is not null").collect()]
-    texts = [t for t in texts if len(t) >= N]
-    if not texts:
-        return []
-    flat = [rolling(hashes(t), N) for t in texts]
-    starts = np.cumsum([0, *[len(f) for f in flat]])
-    _, first, counts = np.unique(np.concatenate(flat), return_index=True, return_counts=True)
-    often = np.flatnonzero(counts > 2)
-    often = often[np.argsort(-counts[often], kind="stable")][:HOT]
-    out = []
-    for at in first[often].tolist():
-        k = int(np.searchsorted(starts, at, side="right")) - 1
-        out.append(tuple(texts[k][at - starts[k] : at - starts[k] + N]))
-    return out
+    cut = F.length("text") > SAMPLE_CHARS
+    some = stored(some.select(F.substring("text", 1, SAMPLE_CHARS).alias("x"), cut.alias("cut")).where("x is not null").repartition(16), "sample")
+
+    def words(batch, texts):
+        """The words of the sampled texts; the last one of a cut text may be a stump."""
+        for t, c in zip(texts, batch.column(1).to_pylist()):
+            w = t.split()
+            yield w[:-1] if c else w
+
+    def hashed(batches):
+        for batch, texts in slices(batches, 0):
+            for w in words(batch, texts):
+                if len(w) >= N:
+                    yield pa.RecordBatch.from_arrays([pa.array(rolling(hashes(w), N).view(np.int64))], names=["h"])
+
+    often = some.mapInArrow(hashed, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 2")
+    shared = docs.sparkSession.sparkContext.broadcast([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(HOT).collect()])
+
+    def spelled(batches):
+        wanted = Members(np.array(shared.value, np.int64).view(np.uint64))
+        for batch, texts in slices(batches, 0):
+            for w in words(batch, texts):
+                if len(w) >= N:
+                    at = np.flatnonzero(wanted(rolling(hashes(w), N))).tolist()
+                    yield pa.RecordBatch.from_arrays([pa.array([b" ".join(w[i : i + N]) for i in at], pa.binary())], names=["w"])
+
+    # the count by words, not hashes, is the one that makes a window repeat for certain
+    certain = some.mapInArrow(spelled, "w binary").groupBy("w").agg(F.count("*").alias("c")).where("c > 2")
+    return [tuple(bytes(r["w"]).split()) for r in certain.orderBy(F.desc("c"), "w").limit(HOT).collect()]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

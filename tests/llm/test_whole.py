@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from spanforge.llm import decontaminate
+from spanforge.llm import decontaminate, substrdedup
 
 
 def _clean(text, items):
@@ -46,3 +46,15 @@ def test_join_path_shuffles_few_places(spark, monkeypatch):
     small, joined = (sorted(map(tuple, decontaminate.judge(docs, benchmark, max_windows=m).collect())) for m in (1000, 0))
     assert small == joined and sum(r[3] for r in joined) > 50
     assert kept["window-hits"].count() == sum(r[1].count(item) + r[1].count("w25 w26") for r in rows)
+
+
+def test_cut_sample_texts_make_no_windows(spark, monkeypatch):
+    """Three long texts are cut inside a word; another has the stump as a word of its own, once."""
+    monkeypatch.setattr(substrdedup, "SAMPLE_CHARS", 200)
+    head = " ".join(f"w{i:03}" for i in range(39))
+    long = f"{head} stumpword " + " ".join(f"x{i}" for i in range(50))
+    assert long[:200].split()[-1] == "stump"
+    once = " ".join([*head.split()[-34:], "stump"])
+    docs = spark.createDataFrame([(1, long), (2, long), (3, long), (4, once)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substrdedup.digest(docs).collect()}
+    assert got == {1: 90, 2: 90, 3: 90, 4: 0}
