@@ -15,6 +15,7 @@ the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -45,10 +46,30 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
 
 
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def _parts_at_space(spec: dict) -> bool:
+    """Whether a tokenizer is of the one shape whose words are known to be encoded alone."""
+    model = spec["model"]
+    return (
+        spec["normalizer"] == {"type": "Sequence", "normalizers": _NORMALIZERS}
+        and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": _SPLITTERS}
+        and (model["type"], model["dropout"], model["unk_token"], model["continuing_subword_prefix"]) == ("BPE", None, None, None)
+        and spec["truncation"] is None
+        and spec["padding"] is None
+        and all(t["special"] and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
+    )
+
+
 class ChunkEncoder:
-    """Ids of a text by a tokenizer that never joins across ASCII white space.
+    """Ids of a text. Of a tokenizer not known to part texts at ASCII white space, whole texts are encoded.
 
-    The ids of a text are then those of its chunks in turn, so a chunk is
+    Where it does, the ids of a text are those of its chunks in turn, so a chunk is
     encoded once by the tokenizers library and looked up afterwards. The
     library's normalizer and splitter take most of its time. They change nothing
     in a word of ASCII or Latin-1 letters but its case, and split it only from
@@ -59,6 +80,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.by_chunk = _parts_at_space(json.loads(self.tokenizer.to_str()))
         self.model, self.symbols = self.tokenizer.model, _byte_symbols()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
@@ -97,6 +119,9 @@ class ChunkEncoder:
         return fresh
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.by_chunk:
+            whole = self.tokenizer.encode_batch([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, "<u4").tobytes() for e in whole]
         get, out, gaps, missing = self.known.get, [], [], set()
         for i, text in enumerate(texts):
             chunks = (text or b"").split()

@@ -2,9 +2,10 @@
 
 import re
 
+import numpy as np
 import pytest
 
-from spanforge.llm import decontaminate, substrdedup
+from spanforge.llm import decontaminate, substrdedup, tokenids
 
 
 def _clean(text, items):
@@ -58,3 +59,15 @@ def test_cut_sample_texts_make_no_windows(spark, monkeypatch):
     docs = spark.createDataFrame([(1, long), (2, long), (3, long), (4, once)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in substrdedup.digest(docs).collect()}
     assert got == {1: 90, 2: 90, 3: 90, 4: 0}
+
+
+@pytest.mark.parametrize(("name", "by_chunk"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_ids_are_those_of_whole_texts(name, by_chunk):
+    from tokenizers import Tokenizer
+
+    path = tokenids.tokenizer_path(name)
+    own, known = tokenids.ChunkEncoder(path), Tokenizer.from_file(path)
+    texts = ["Two Words,  and\n\tlines.", " led by space ", "\u00c9t\u00e9 it's 12 <|endoftext|> x", "", None]
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode([None if t is None else t.encode() for t in texts])]
+    assert got == [known.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own.by_chunk == by_chunk
