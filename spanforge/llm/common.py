@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -30,21 +31,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
     The session names that folder in ``spark.checkpoint.dir``. Only where it is
-    unset, as in local tests, a temporary folder stands in for it.
+    unset and the master is local, as in tests, a temporary folder stands in for
+    it: executors of a cluster would each write to a disk of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again.
 
     This cuts the lineage: work done so far survives the loss of executors, and
-    what follows plans with the written size.
+    what follows plans with the written size. As the files take the place of the
+    shuffles behind them, those are removed when all is written.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
