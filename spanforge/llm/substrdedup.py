@@ -4,23 +4,23 @@ A window is 35 consecutive words of a document. A word goes if a window covers
 it whose word sequence also starts anywhere else, in the same document or
 another; windows are judged on the input.
 
-1. Anchors. Of the six-word phrases in a window the one with the least hash is
-   its anchor, so equal windows have equal anchors. Runs of windows with the same
-   anchor are shuffled by it; a run whose anchor occurs once has no equal
-   elsewhere and is done.
-2. Confirmation and automata. The text of the other runs is brought together by
-   anchor. There each shard of whole anchor groups finds the windows that repeat,
-   compiles them into an Aho-Corasick automaton over word numbers and streams all
-   its runs through it; windows found at two places or more are confirmed.
-3. Every document gets the covered places back and is shortened.
-
-Passages that very many documents share would crowd one anchor. They show up in
-a small sample of documents: windows found there three times repeat for certain
-(the last word of a text that the sample cuts does not count, as it may be a stump).
-The most frequent (at most ``HOT``) form an automaton of their own that is broadcast
-and streams every document in step 3; their windows take no part in steps 1 and
-2, and anchors avoid their phrases. The sample decides where a window is judged,
-never the verdict.
+1. Runs. Of the six-word phrases in a window the one with the least hash is its
+   anchor. Consecutive windows with one anchor are a run, known by the hashes of
+   anchor and words (128 bits in all). Runs are counted over all documents, each
+   task combining its own first, so no document is named but the one of least key.
+2. Confirmation. The windows of a run that occurs twice all recur. A run that
+   occurs once can share some of its windows with other runs of its anchor, as at
+   both ends of a recurring passage: windows of such runs are counted one by one,
+   again combined before the shuffle, and where they recur is noted. The
+   documents named in step 1 give the words of the runs that recur: the passages.
+3. Automata. Documents are dealt into shards of bounded size. A passage goes to
+   every shard that has one of its runs. Each shard compiles its passages into
+   Aho-Corasick automata over word numbers (at most ``PATTERNS`` runs in one) and
+   streams all its documents, whole, through them; they locate every occurrence.
+
+Nothing is sampled, and no task gathers the documents of a run, an anchor or a
+passage: a passage in a third of all documents costs one row per task, then one
+per shard.
 
 Defined cases: null and empty texts have no words; texts of fewer than 35 words
 lose none; rows alike in id and text are two places, so their windows repeat;
@@ -29,8 +29,6 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -43,11 +41,14 @@ from spanforge.llm.decontaminate import rolling
 
 N = 35
 PHRASE = 6
-HOT = 20_000
-SAMPLE_ROWS = 2_000
-SAMPLE_CHARS = 50_000
-#: Windows in an automaton of step 2, unless one anchor has more.
-SHARD = 15_000
+#: Text in a shard of documents, in bytes.
+SHARD_BYTES = 4 << 20
+#: Runs in one automaton of a shard.
+PATTERNS = 15_000
+#: Words of a document whose recurring runs travel together, as one passage.
+SEGMENT = 256
+
+_ODD, _INVERSE = np.uint64(0xD6E8FEB86659FD93), np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 class _Hashes(dict):
@@ -77,58 +78,63 @@ def least(r: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-class Members:
-    """Which of many hashes are in a small set: a bitmap lets few through to the exact search."""
+def stretches(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words first to end of each stretch, from the hashes of all words; not that of ``rolling``."""
+    with np.errstate(over="ignore"):
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        x ^= x >> np.uint64(28)
+        power = np.cumprod(np.full(len(h) + 1, _ODD), dtype=np.uint64)
+        back = np.cumprod(np.full(len(h) + 1, _INVERSE), dtype=np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(x * power[:-1], dtype=np.uint64)])
+        return (sums[end] - sums[first]) * back[first] + (end - first).astype(np.uint64)
 
-    def __init__(self, values):
-        self.values = np.unique(np.array(values, np.uint64))
-        self.map = np.zeros(1 << 22, bool)
-        self.map[self.values >> np.uint64(42)] = True
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = self.map[h >> np.uint64(42)]
-        if len(self.values):
-            at = np.flatnonzero(out)
-            out[at] = self.values[np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)] == h[at]
-        return out
 
-
-def runs(texts: list[list[bytes]], hot: Members, phrases: Members) -> tuple[np.ndarray, ...]:
-    """(text, anchor, first window, number of windows) of each run of windows that are not hot.
+def runs(texts: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """(text, anchor, hash, first window, number of windows) of each run, and the hashes of all windows.
 
     The texts are laid end to end; windows that lie in two of them are left out.
     """
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(sizes) - sizes
     h = hashes([w for t in texts for w in t])
     if len(h) < N:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return *[np.zeros(0, np.int64)] * 5, starts, np.zeros(0, np.int64)
     g = rolling(h, PHRASE)
-    rank = (g >> np.uint64(1)) | (phrases(g).astype(np.uint64) << np.uint64(63))
-    at = least(rank, N - PHRASE + 1)
     text = np.repeat(np.arange(len(texts)), sizes)
-    at = np.where((text[: len(at)] != text[N - 1 :]) | hot(rolling(h, N)), -1, at)
+    at = least(g >> np.uint64(1), N - PHRASE + 1)
+    at = np.where(text[: len(at)] != text[N - 1 :], -1, at)
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1 : len(at)] != text[: len(at) - 1])]))
     size = np.diff(np.append(first, len(at)))
     keep = at[first] >= 0
     first, size = first[keep], size[keep]
-    return text[first], g[at[first]].view(np.int64), first - starts[text[first]], size
+    whole = stretches(h, first, first + size + N - 1)
+    return text[first], g[at[first]].view(np.int64), whole.view(np.int64), first - starts[text[first]], size, starts, rolling(h, N).view(np.int64)
+
+
+def _words(texts: list[bytes | None]) -> list[list[bytes]]:
+    return [t.split() if t else [] for t in texts]
+
+
+def _distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, and where in it each different key begins."""
+    order = np.lexsort(keys[::-1])
+    change = [k[order][1:] != k[order][:-1] for k in keys]
+    return order, np.flatnonzero(np.concatenate([[True], np.logical_or.reduce(change)])) if len(order) else order
 
 
 class Automaton:
-    """Places of a set of windows in texts, over word numbers."""
+    """The stretches of texts that are occurrences of any of some word sequences, over word numbers."""
 
-    def __init__(self, windows):
+    def __init__(self, patterns):
         self.ids: dict[bytes, int] = {}
         self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, w in enumerate(windows):
-            self.found.add_word(tuple([self.ids.setdefault(x, len(self.ids) + 1) for x in w]), i)
+        for w in patterns:
+            self.found.add_word(tuple([self.ids.setdefault(x, len(self.ids) + 1) for x in w]), len(w))
         if len(self.found):
             self.found.make_automaton()
 
-    def places(self, words: list[bytes]) -> list[int]:
-        """The first words of all occurrences, in order. A word that no window has parts the text."""
+    def places(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(first word, end) of all occurrences. A word that no sequence has parts the text."""
         if not len(self.found) or len(words) < N:
             return []
         get = self.ids.get
@@ -137,191 +143,141 @@ class Automaton:
         out = []
         for k in np.flatnonzero(np.diff(gaps) > N).tolist():
             s = int(gaps[k]) + 1
-            out += [s + end - N + 1 for end, _ in self.found.iter(tuple(ids[s : gaps[k + 1]].tolist()))]
+            out += [(s + end - size + 1, s + end + 1) for end, size in self.found.iter(tuple(ids[s : gaps[k + 1]].tolist()))]
         return out
 
 
-def merged(places, size: int = N) -> list[tuple[int, int]]:
-    """Covered stretches (first word, end) of windows that start at places, in order."""
-    out: list[list[int]] = []
-    for p in places:
-        if out and p <= out[-1][1]:
-            out[-1][1] = p + size
-        else:
-            out.append([p, p + size])
-    return [(s, e) for s, e in out]
+def counted(own: DataFrame) -> DataFrame:
+    """m, rh, c, k, v of the runs to look at, from k, text: anchor, hash, how often the run
+    occurs, the least key of a document that has it, and whether its anchor has other runs.
+    Those are the runs that occur twice and those whose anchor has another run."""
+
+    def each(batches):
+        for batch, texts in slices(batches, 1):
+            row, m, rh, *_ = runs(_words(texts))
+            order, first = _distinct(m, rh)
+            k = batch.column(0).to_numpy()[row[order]]
+            least_k = np.minimum.reduceat(k, first) if len(first) else k
+            yield pa.RecordBatch.from_arrays([pa.array(m[order][first]), pa.array(rh[order][first]), pa.array(least_k), pa.array(np.diff(np.append(first, len(order))))], names=["m", "rh", "k", "c"])
 
+    every = own.mapInArrow(each, "m long, rh long, k long, c long").groupBy("m", "rh").agg(F.sum("c").alias("c"), F.min("k").alias("k"))
+    # the conditions on c and k always hold: with the same columns as above, the shuffle below is read twice and not made twice
+    several = every.groupBy("m").agg(F.count("*").alias("n"), F.min("c").alias("lc"), F.min("k").alias("lk")).where("n > 1 and lc > 0 and lk is not null").select(F.col("m").alias("m2"))
+    both = every.join(several, F.col("m") == F.col("m2"), "left").withColumn("v", F.col("m2").isNotNull())
+    return stored(both.where("c > 1 or v").drop("m2"), "runs")
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self) + 1
-        return n
-
-
-def judged(texts: list[bytes], times: list[int]) -> list[list[int]]:
-    """For the different texts of the runs of whole anchor groups, and how many runs have
-    each: the windows, by their first word, that occur at two places or more."""
-    ids = _Numbers()
-    numbers = [tuple(map(ids.__getitem__, t.split())) for t in texts]
-    value = np.random.default_rng(len(ids)).integers(1, 2**63, len(ids) + 1, dtype=np.uint64)
-    sizes = np.array([len(n) for n in numbers])
-    ends = np.cumsum(sizes)
-    every = rolling(value[np.fromiter((x for n in numbers for x in n), np.int64, int(ends[-1]))], N)
-    text = np.repeat(np.arange(len(texts)), sizes)
-    whole = np.flatnonzero(text[: len(every)] == text[N - 1 :])
-    _, first, back = np.unique(every[whole], return_index=True, return_inverse=True)
-    counts = np.bincount(back, np.array(times)[text[whole]])
-    again = whole[np.sort(first[counts > 1])]
-    found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, (k, at) in enumerate(zip(text[again].tolist(), (again - (ends - sizes)[text[again]]).tolist())):
-        found.add_word(numbers[k][at : at + N], i)
-    if not len(found):
-        return [[] for _ in texts]
-    found.make_automaton()
-    hits = [list(found.iter(n)) for n in numbers]
-    seen: Counter = Counter()
-    for h, m in zip(hits, times):
-        for _, i in h:
-            seen[i] += m
-    return [[end - N + 1 for end, i in h if seen[i] > 1] for h in hits]
-
-
-def hot_windows(docs: DataFrame) -> list[tuple[bytes, ...]]:
-    """The most frequent windows that occur three times or more in a bounded sample of d, text."""
-    every = max(1, docs.count() // SAMPLE_ROWS)
-    some = docs.where(F.pmod(F.coalesce(F.xxhash64("d"), F.lit(0)), F.lit(every)) == 0).limit(2 * SAMPLE_ROWS)
-    cut = F.length("text") > SAMPLE_CHARS
-    some = stored(some.select(F.substring("text", 1, SAMPLE_CHARS).alias("x"), cut.alias("cut")).where("x is not null").repartition(16), "sample")
-
-    def words(batch, texts):
-        """The words of the sampled texts; the last one of a cut text may be a stump."""
-        for t, c in zip(texts, batch.column(1).to_pylist()):
-            w = t.split()
-            yield w[:-1] if c else w
-
-    def hashed(batches):
-        for batch, texts in slices(batches, 0):
-            for w in words(batch, texts):
-                if len(w) >= N:
-                    yield pa.RecordBatch.from_arrays([pa.array(rolling(hashes(w), N).view(np.int64))], names=["h"])
-
-    often = some.mapInArrow(hashed, "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 2")
-    shared = docs.sparkSession.sparkContext.broadcast([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(HOT).collect()])
+
+def confirmed(own: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Passages (k, seg, x, cuts, keys), and (k, t, at): the windows of single runs that recur.
+
+    x has the words of the passage, cuts the first word and the number of windows of
+    each run in it, keys the runs' anchors and hashes.
+    """
+    per = known.groupBy("k").agg(F.collect_list(F.struct("m", "rh", "c", "v")).alias("r")).withColumnRenamed("k", "k2")
+    both = own.select("k", "t", "text").join(per, F.col("k") == F.col("k2")).select("k", "t", "text", "r")
 
     def spelled(batches):
-        wanted = Members(np.array(shared.value, np.int64).view(np.uint64))
-        for batch, texts in slices(batches, 0):
-            for w in words(batch, texts):
-                if len(w) >= N:
-                    at = np.flatnonzero(wanted(rolling(hashes(w), N))).tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array([b" ".join(w[i : i + N]) for i in at], pa.binary())], names=["w"])
+        """Rows of two kinds: passages, and runs whose windows are to be counted."""
+        for batch, texts in slices(batches, 2, 1 << 20):
+            words = _words(texts)
+            row, m, rh, a, n, starts, h = runs(words)
+            wanted = [{(x["m"], x["rh"]): x for x in r} for r in batch.column(3).to_pylist()]
+            k, t = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            held: dict[tuple[int, int], list] = {}
+            single = []
+            for i, mm, hh, s, size in zip(row.tolist(), m.tolist(), rh.tolist(), a.tolist(), n.tolist()):
+                x = wanted[i].pop((mm, hh), None)
+                if x is None:
+                    continue
+                if x["c"] > 1:
+                    held.setdefault((i, s // SEGMENT), []).append((s, size, mm, hh))
+                if x["v"]:
+                    single.append((k[i], None, None, None, None, t[i], s, mm, x["c"], h[starts[i] + s : starts[i] + s + size]))
+            out = []
+            for (i, seg), found in held.items():
+                low, high = found[0][0], max(s + size for s, size, *_ in found) + N - 1
+                out.append((k[i], seg, b" ".join(words[i][low:high]), [y for s, size, *_ in found for y in (s - low, size)], [y for f in found for y in f[2:]], *[None] * 5))
+            c = list(zip(*(out + single))) or [[]] * 10
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=["k", "seg", "x", "cuts", "keys", "t", "a", "m", "c", "h"])
+
+    both = stored(both.mapInArrow(spelled, "k long, seg int, x binary, cuts array<int>, keys array<long>, t long, a int, m long, c long, h array<long>"), "passages")
+    windows = both.where("x is null").select("k", "t", "m", "c", "a", F.posexplode("h").alias("i", "h")).select("k", "t", "m", "h", "c", (F.col("a") + F.col("i")).alias("at"))
+    again = windows.groupBy("m", "h").agg(F.sum("c").alias("s")).where("s > 1").select("m", "h")
+    single = stored(windows.where("c = 1").join(again, ["m", "h"]).groupBy("k", "t").agg(F.collect_set("at").alias("at")), "recurring-windows")
+    return both.where("x is not null").select("k", "seg", "x", "cuts", "keys"), single
 
-    # the count by words, not hashes, is the one that makes a window repeat for certain
-    certain = some.mapInArrow(spelled, "w binary").groupBy("w").agg(F.count("*").alias("c")).where("c > 2")
-    return [tuple(bytes(r["w"]).split()) for r in certain.orderBy(F.desc("c"), "w").limit(HOT).collect()]
+
+def dealt(own: DataFrame, passages: DataFrame) -> DataFrame:
+    """p, x, cuts: each passage for every shard p that has one of its runs."""
+
+    def each(batches):
+        for batch, texts in slices(batches, 1):
+            row, m, rh, *_ = runs(_words(texts))
+            p = batch.column(0).to_numpy()[row]
+            order, first = _distinct(p, m, rh)
+            at = order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(m[at]), pa.array(rh[at]), pa.array(p[at])], names=["m", "rh", "p"])
+
+    places = own.mapInArrow(each, "m long, rh long, p long").distinct()
+    pair = F.posexplode("keys").alias("i", "m")
+    keys = passages.select("k", "seg", "keys", pair).where("i % 2 = 0").select("k", "seg", "m", F.get("keys", F.col("i") + 1).alias("rh")).distinct()
+    wanted = places.join(keys, ["m", "rh"]).select("p", "k", "seg").distinct()
+    return wanted.join(passages.select("k", "seg", "x", "cuts"), ["k", "seg"]).select("p", "x", "cuts")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of every row."""
-    spark = docs.sparkSession
-    own = docs.select(col(id_col).alias("d"), F.xxhash64(col(text_col)).alias("th"), col(text_col).cast("string").alias("text"))
+    # a document is known by its shard's key k and, beside it, by t
+    key, text = [col(id_col), col(text_col)], col(text_col).cast("string").alias("text")
+    own = docs.select(F.xxhash64(*key).alias("k"), F.xxhash64(F.lit(N), *key).alias("t"), col(id_col).alias("d"), text)
     kind = own.schema["d"].dataType.simpleString()
-    windows = hot_windows(own)
-    # at most HOT windows
-    shared = spark.sparkContext.broadcast(windows)
-
-    def anchors(batches):
-        hot = Members([rolling(hashes(list(w)), N)[0] for w in shared.value])
-        phrases = Members(np.concatenate([np.zeros(0, np.uint64), *[rolling(hashes(list(w)), PHRASE) for w in shared.value]]))
-        for batch, texts in slices(batches, 2):
-            row, m, a, n = runs([t.split() if t else [] for t in texts], hot, phrases)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(m), batch.column(0).take(take), batch.column(1).take(take), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=["m", "d", "th", "a", "n"])
-
-    def repeated(batches):
-        """The rows, sorted by m, whose m is not alone."""
-        last, alone = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m = batch.column(0).to_numpy()
-            same = m[1:] == m[:-1]
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            if last is not None and m[0] == last:
-                keep[0] = True
-                if alone is not None:
-                    yield alone
-            one = not keep[-1]
-            last, alone = m[-1], batch.slice(batch.num_rows - 1) if one else None
-            yield batch.filter(pa.array(keep))
-
-    layout = f"m long, d {kind}, th long, a int, n int"
-    candidates = own.mapInArrow(anchors, layout).repartition("m").sortWithinPartitions("m").mapInArrow(repeated, layout)
-    per = candidates.groupBy("d", "th").agg(F.collect_set(F.struct("a", "n", "m")).alias("r")).select(F.col("d").alias("d2"), F.col("th").alias("t2"), "r")
-    both = own.join(per, own["d"].eqNullSafe(per["d2"]) & (own["th"] == per["t2"])).select("d", "th", "text", "r")
-
-    def texts_of(batches):
-        for batch, texts in slices(batches, 2, 1 << 20):
-            rows, m, a, x = [], [], [], []
-            for i, (t, r) in enumerate(zip(texts, batch.column(3).to_pylist())):
-                words = t.split()
-                for run in r:
-                    rows.append(i)
-                    m.append(run["m"])
-                    a.append(run["a"])
-                    x.append(b" ".join(words[run["a"] : run["a"] + run["n"] + N - 1]))
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(a, pa.int32()), pa.array(x, pa.binary())], names=["m", "d", "th", "a", "x"])
-
-    def confirm(batches):
-        """Covered stretches of the runs, which are sorted by m. Equal texts are judged once."""
-        held: dict[bytes, list] = {}
-        size, now = 0, None
-
-        def flush():
-            out = []
-            for rows, places in zip(held.values(), judged(list(held), [len(r) for r in held.values()])):
-                spans = merged(places)
-                out += [(d, th, a + s, a + e) for d, th, a in rows for s, e in spans]
-            c = list(zip(*out)) if out else [[], [], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c[0], d_type), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], names=["d", "th", "s", "e"])
-
-        for batch in batches:
-            d_type = batch.column(1).type
-            for m, d, th, a, x in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                if m != now and size >= SHARD:
-                    yield flush()
-                    held, size = {}, 0
-                now = m
-                rows = held.get(x)
-                if rows is None:
-                    rows = held[x] = []
-                    size += x.count(b" ") - N + 2
-                rows.append((d, th, a))
-        if held:
-            yield flush()
-
-    runs_ = both.mapInArrow(texts_of, f"m long, d {kind}, th long, a int, x binary").repartition("m").sortWithinPartitions("m")
-    hits = runs_.mapInArrow(confirm, f"d {kind}, th long, s int, e int").groupBy("d", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")).select(F.col("d").alias("d2"), F.col("th").alias("t2"), "spans")
-    final = own.join(hits, own["d"].eqNullSafe(hits["d2"]) & (own["th"] == hits["t2"]), "left").select("d", "text", "spans")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    p = F.pmod("k", F.lit(size // SHARD_BYTES + 1)).alias("p")
+    passages, single = confirmed(own, counted(own.select("k", "text")))
+    no_id, no_key = F.lit(None).cast(kind).alias("d"), [F.lit(None).cast("long").alias(x) for x in ("k", "t")]
+    # kinds: 0 passages, 1 windows that recur in a document, 2 documents
+    parts = [
+        dealt(own.select(p, "text"), passages).select("p", F.lit(0).alias("kind"), *no_key, no_id, F.col("x").alias("text"), "cuts"),
+        single.select(p, F.lit(1), "k", "t", no_id, F.lit(None).cast("binary"), "at"),
+        own.select(p, F.lit(2), "k", "t", "d", F.col("text").cast("binary"), F.lit(None).cast("array<int>")),
+    ]
+    whole = parts[0].unionAll(parts[1]).unionAll(parts[2])
 
     def shorten(batches):
-        hot = Automaton(shared.value)
-        for batch, texts in slices(batches, 1):
-            n, gone, kept = [], [], []
-            for t, spans in zip(texts, batch.column(2).to_pylist()):
-                words = t.split() if t else []
+        """Rows are sorted by shard and kind: what is known of a shard comes before its documents."""
+        now, patterns, at, automata = None, [], {}, None
+        for batch, texts in slices(batches, 5):
+            rows, n, gone, kept = [], [], [], []
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 3, 6)]
+            for i, (p, what, k, t, cuts, text) in enumerate(zip(*columns, texts)):
+                if p != now:
+                    now, patterns, at, automata = p, set(), {}, None
+                if what == 0:
+                    words = text.split()
+                    patterns.update(tuple(words[s : s + size + N - 1]) for s, size in zip(cuts[::2], cuts[1::2]))
+                    continue
+                if what == 1:
+                    at[k, t] = cuts
+                    continue
+                if automata is None:
+                    every = list(patterns)
+                    automata = [Automaton(every[s : s + PATTERNS]) for s in range(0, len(every), PATTERNS)]
+                    patterns = every = None
+                words = text.split() if text else []
                 cover = np.zeros(len(words) + 1, np.int64)
-                for s, e in [(x["s"], x["e"]) for x in spans or ()] + merged(hot.places(words)):
-                    cover[s] += 1
-                    cover[e] -= 1
+                found = [x for a in automata for x in a.places(words)] + [(s, s + N) for s in at.get((k, t), ())]
+                if found:
+                    np.add.at(cover, [s for s, _ in found], 1)
+                    np.add.at(cover, [e for _, e in found], -1)
                 stays = np.cumsum(cover[:-1]) == 0
+                rows.append(i)
                 n.append(len(words))
                 gone.append(len(words) - int(stays.sum()))
-                kept.append(b" ".join(words) if not gone[-1] else b" ".join([w for w, k in zip(words, stays.tolist()) if k]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+                kept.append(b" ".join(words) if not gone[-1] else b" ".join([w for w, s in zip(words, stays.tolist()) if s]))
+            yield pa.RecordBatch.from_arrays([batch.column(4).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return final.mapInArrow(shorten, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return whole.repartition("p").sortWithinPartitions("p", "kind").mapInArrow(shorten, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

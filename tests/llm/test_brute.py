@@ -114,15 +114,16 @@ def _repeats(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("hot", "sample"), [(20_000, 2_000), (0, 2_000), (40, 30)])
-def test_substring_dedup(spark, monkeypatch, hot, sample):
-    monkeypatch.setattr(substrdedup, "HOT", hot)
-    monkeypatch.setattr(substrdedup, "SAMPLE_ROWS", sample)
+@pytest.mark.parametrize(("shard", "patterns", "segment"), [(4 << 20, 15_000, 256), (2_000, 7, 20), (300, 1, 1)])
+def test_substring_dedup(spark, monkeypatch, shard, patterns, segment):
+    for name, value in (("SHARD_BYTES", shard), ("PATTERNS", patterns), ("SEGMENT", segment)):
+        monkeypatch.setattr(substrdedup, name, value)
     rng = random.Random(3)
     phrases = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(30, 90))) for _ in range(6)]
     part = lambda: rng.choice([rng.choice(phrases), " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60)))])
     rows = [(i if i % 50 else None, " ".join(part() for _ in range(rng.randint(0, 5)))) for i in range(300)]
-    rows += [(5, None), (5, ""), (7, rows[7][1]), (8, "a " * 500), (9, "b\n" * 36)]
+    rows += [(5, None), (5, ""), (7, rows[7][1]), (7, rows[7][1]), (8, "a " * 500), (9, "b\n" * 36)]
+    rows += [(400 + i, f"own{i} " * 3 + phrases[0] + f" end{i}" * 40) for i in range(60)]
     got = substrdedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((tuple(r) for r in got), key=repr) == _repeats(rows)
 

@@ -49,16 +49,27 @@ def test_join_path_shuffles_few_places(spark, monkeypatch):
     assert kept["window-hits"].count() == sum(r[1].count(item) + r[1].count("w25 w26") for r in rows)
 
 
-def test_cut_sample_texts_make_no_windows(spark, monkeypatch):
-    """Three long texts are cut inside a word; another has the stump as a word of its own, once."""
-    monkeypatch.setattr(substrdedup, "SAMPLE_CHARS", 200)
+def test_words_that_begin_like_others_are_other_words(spark):
+    """Three long copies repeat as a whole; another text ends in a word that only begins like theirs."""
     head = " ".join(f"w{i:03}" for i in range(39))
-    long = f"{head} stumpword " + " ".join(f"x{i}" for i in range(50))
-    assert long[:200].split()[-1] == "stump"
+    long = f"{head} stumpword " + " ".join(f"x{i}" for i in range(10_000))
     once = " ".join([*head.split()[-34:], "stump"])
     docs = spark.createDataFrame([(1, long), (2, long), (3, long), (4, once)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in substrdedup.digest(docs).collect()}
-    assert got == {1: 90, 2: 90, 3: 90, 4: 0}
+    assert got == {1: 10_040, 2: 10_040, 3: 10_040, 4: 0}
+
+
+def test_a_common_anchor_gathers_no_documents(spark, monkeypatch):
+    """A passage in every text: what is noted of it does not grow with the texts."""
+    kept = {}
+    monkeypatch.setattr(substrdedup, "stored", lambda df, name, f=substrdedup.stored: kept.setdefault((n, name), f(df, name)))
+    passage = " ".join(f"p{i}" for i in range(60))
+    for n in (50, 500):
+        rows = [(i, " ".join(f"a{i}_{j}" for j in range(40)) + f" {passage} " + " ".join(f"z{i}_{j}" for j in range(40))) for i in range(n)]
+        got = substrdedup.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert [r["n_removed"] for r in got] == [60] * n
+    words = lambda n: sum(len(r["x"].split()) for r in kept[n, "passages"].where("x is not null").collect())
+    assert words(500) < 300  # not 500 times 60
 
 
 @pytest.mark.parametrize(("name", "by_chunk"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
