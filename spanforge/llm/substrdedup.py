@@ -35,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from spanforge.llm.common import col, slices, stored
 from spanforge.llm.decontaminate import rolling
@@ -160,8 +161,10 @@ def counted(own: DataFrame) -> DataFrame:
             least_k = np.minimum.reduceat(k, first) if len(first) else k
             yield pa.RecordBatch.from_arrays([pa.array(m[order][first]), pa.array(rh[order][first]), pa.array(least_k), pa.array(np.diff(np.append(first, len(order))))], names=["m", "rh", "k", "c"])
 
-    every = own.mapInArrow(each, "m long, rh long, k long, c long").groupBy("m", "rh").agg(F.sum("c").alias("c"), F.min("k").alias("k"))
-    # the conditions on c and k always hold: with the same columns as above, the shuffle below is read twice and not made twice
+    # no column is null, and the conditions on c and k below always hold: so both readers of the
+    # counts want the same of the documents, and what is shuffled for one serves the other
+    layout = StructType([StructField(x, LongType(), False) for x in ("m", "rh", "k", "c")])
+    every = own.mapInArrow(each, layout).groupBy("m", "rh").agg(F.sum("c").alias("c"), F.min("k").alias("k"))
     several = every.groupBy("m").agg(F.count("*").alias("n"), F.min("c").alias("lc"), F.min("k").alias("lk")).where("n > 1 and lc > 0 and lk is not null").select(F.col("m").alias("m2"))
     both = every.join(several, F.col("m") == F.col("m2"), "left").withColumn("v", F.col("m2").isNotNull())
     return stored(both.where("c > 1 or v").drop("m2"), "runs")
