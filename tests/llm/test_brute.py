@@ -257,8 +257,8 @@ def test_label_model():
     patterns = [((1, 1, 0), 90), ((1, 0, 0), 20), ((-1, -1, 0), 80), ((-1, 0, 0), 30), ((-1, 1, 0), 4)]
     share, given, post = pii.reliabilities(patterns)
     assert post[0] > 0.9 and post[2] < 0.1 and 0.3 < share < 0.7 and given[0][1][0] > given[0][1][1]
-    w = pii.classifier(patterns, post)
-    z = lambda v: w[0] + sum(w[1 + i] * (x == 1) + w[4 + i] * (x == -1) for i, x in enumerate(v))
+    w = pii.classifier([(v, n, p * n) for (v, n), p in zip(patterns, post)])
+    z = lambda v: w[-1, 0] + sum(w[i, x] for i, x in enumerate(v))
     assert z((1, 1, 0)) > 0 > z((-1, -1, 0))
 
 
