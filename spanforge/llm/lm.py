@@ -8,9 +8,13 @@ added up in the same way. Workers map the arrays into memory and look up what
 they need, so the model's size is not bounded by their memory.
 
 Pairs are dealt by their first word, so the sums of a context stay in one
-bucket. Words that open a large share of pairs in a small sample (at most
-``HOT`` of them) are dealt by both words instead; the sample decides on that
-layout alone, never on a count.
+bucket. Words that open more than a quarter of a bucket's share of pairs in a small
+sample (at most ``HOT`` of them) are dealt by both words instead, and their sums are
+added up by Spark; the sample decides on that layout alone, never on a count.
+
+A block of counts is dealt to at most ``FANOUT`` places. Where there are more buckets
+than that, blocks meet halfway: in groups of buckets, as many tasks for each as there
+are blocks for them, from which they are dealt on.
 
     p(w | v) = (c(v w) - D) / T(v) + g(v) p(w)
     p(w)     = (k(w) - D') / K + g' / (V + 1)
@@ -30,13 +34,14 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import json
 import os
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -46,8 +51,13 @@ from pyspark.sql.types import DoubleType, LongType, StructField
 from spanforge.llm.common import TEXT, col, fold_of, map_text, shared_path, slices
 
 BLOCK = 3_000_000
-HOT, HOT_SHARE = 2_000, 1 / 5_000
+FANOUT = 1_024
+HOT = 20_000
 SAMPLE_ROWS = 2_000
+#: The numbers of sums that come to the driver; from CONTEXTS on, four for each hot word.
+PAIRS, WORDS, FREE, TOKENS, SIZE, LEFT, CONTEXTS = 0, 4, 8, 11, 12, 13, 14
+#: Files that a worker keeps mapped.
+MAPS = 4_000
 MASK = (1 << 56) - 1
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -164,14 +174,48 @@ def local_path(path: str) -> str:
     return url.path
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """An array file, whole or not at all, whichever attempt of a task writes it."""
+def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """A file of arrays, whole or not at all, whichever attempt of a task writes it."""
     part = f"{folder}/.{name}.{os.getpid()}"
     with open(part, "wb") as f:
-        f.write(np.ascontiguousarray(array).tobytes())
+        np.array([len(x) for x in arrays.values()], "<u8").tofile(f)
+        for x in arrays.values():
+            np.ascontiguousarray(x).tofile(f)
     os.replace(part, f"{folder}/{name}")
 
 
+#: The arrays in the files of a bucket, by the kind of file: keys come first.
+LAYOUT = {
+    "pair": {"key": "<u8", "count": "<u4"},
+    "context": {"key": "<u8", "total": "<u8", "n1": "<u8", "n2": "<u8", "n3": "<u8"},
+    "word": {"key": "<u8", "count": "<u8", "left": "<u8"},
+}
+
+
+class Maps:
+    """The arrays of files by name; the files used least lately are let go."""
+
+    def __init__(self, folder: str):
+        self.folder, self.open = folder, OrderedDict()
+
+    def __call__(self, what: str, bucket: int) -> dict[str, np.ndarray] | None:
+        name = f"{what}-{bucket}"
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
+        path, kinds = f"{self.folder}/{name}", LAYOUT[what]
+        found = None
+        if os.path.exists(path):
+            whole, at, found = np.memmap(path, np.uint8, "r"), 8 * len(kinds), {}
+            for size, (k, kind) in zip(whole[:at].view("<u8").tolist(), kinds.items()):
+                end = at + size * np.dtype(kind).itemsize
+                found[k], at = whole[at:end].view(kind), end
+        self.open[name] = found
+        if len(self.open) > MAPS:
+            self.open.popitem(last=False)
+        return found
+
+
 def _tally(counts: np.ndarray) -> list[int]:
     return [int((counts == i).sum()) for i in (1, 2, 3, 4)]
 
@@ -191,58 +235,51 @@ class Model:
     folder: str
     n: int
     hot: np.ndarray
-    hot_contexts: dict[int, tuple[float, float, float, float]]
+    hot_contexts: np.ndarray
     tokens: int
     words: int
     continuations: int
     pair_discounts: list[float]
     word_discounts: list[float]
     rest: float
-    _maps: dict = field(default_factory=dict)
+    _maps: Maps | None = field(default=None)
 
     def __getstate__(self):
-        return self.__dict__ | {"_maps": {}}
+        return self.__dict__ | {"_maps": None}
 
-    def _map(self, name: str, kind: str) -> np.ndarray:
-        if name not in self._maps:
-            path = f"{self.folder}/{name}"
-            self._maps[name] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
-        return self._maps[name]
-
-    def _find(self, what: str, keys: np.ndarray, buckets: np.ndarray, values: list[tuple[str, str]]) -> list[np.ndarray]:
-        """The values of keys in the arrays ``what``, 0 where they are not."""
-        out = [np.zeros(len(keys), k) for _, k in values]
+    def _find(self, what: str, keys: np.ndarray, buckets: np.ndarray) -> list[np.ndarray]:
+        """The values of keys in the arrays of a kind, 0 where they are not."""
+        self._maps = self._maps or Maps(self.folder)
+        names = list(LAYOUT[what].items())[1:]
+        out = [np.zeros(len(keys), k) for _, k in names]
         order = np.lexsort((keys, buckets))
         for at in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1):
-            if not len(at):
-                continue
-            b = int(buckets[at[0]])
-            sorted_keys = self._map(f"{what}-{b}.key", "<u8")
-            if not len(sorted_keys):
+            arrays = self._maps(what, int(buckets[at[0]])) if len(at) else None
+            if not arrays or not len(arrays["key"]):
                 continue
-            place = np.minimum(np.searchsorted(sorted_keys, keys[at]), len(sorted_keys) - 1)
-            hit = sorted_keys[place] == keys[at]
-            for o, (name, kind) in zip(out, values):
-                o[at[hit]] = self._map(f"{what}-{b}.{name}", kind)[place[hit]]
+            place = np.minimum(np.searchsorted(arrays["key"], keys[at]), len(arrays["key"]) - 1)
+            hit = arrays["key"][place] == keys[at]
+            for o, (name, _) in zip(out, names):
+                o[at[hit]] = arrays[name][place[hit]]
         return out
 
     def score(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base score and score of each text."""
         v = before(h, sizes)
         w, wi = np.unique(h, return_inverse=True)
-        count, left = self._find("word", w, spread(w, self.n), [("count", "<u8"), ("left", "<u8")])
+        count, left = self._find("word", w, spread(w, self.n))
         base = np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
         d = np.array([0.0, *self.word_discounts])
         p1 = (left - d[np.minimum(left, 3).astype(int)]) / max(1, self.continuations) + self.rest / (self.words + 1)
         c, ci = np.unique(v, return_inverse=True)
-        total, n1, n2, n3 = (x.astype(float) for x in self._find("context", c, spread(c, self.n), [(x, "<u8") for x in ("total", "n1", "n2", "n3")]))
-        for i in np.flatnonzero(np.isin(c, self.hot)).tolist():
-            total[i], n1[i], n2[i], n3[i] = self.hot_contexts.get(int(c[i]), (0, 0, 0, 0))
+        total, n1, n2, n3 = (x.astype(float) for x in self._find("context", c, spread(c, self.n)))
+        often = np.isin(c, self.hot)
+        total[often], n1[often], n2[often], n3[often] = self.hot_contexts[np.searchsorted(self.hot, c[often])].T
         d1, d2, d3 = self.pair_discounts
         free = np.where(total > 0, (d1 * n1 + d2 * n2 + d3 * n3) / np.maximum(total, 1), 1.0)
         key = mix(v, h)
         pairs, first, pi = np.unique(key, return_index=True, return_inverse=True)
-        (seen,) = self._find("pair", pairs, pair_bucket(v[first], h[first], self.hot, self.n), [("count", "<u4")])
+        (seen,) = self._find("pair", pairs, pair_bucket(v[first], h[first], self.hot, self.n))
         dp = np.array([0.0, *self.pair_discounts])
         own = (seen - dp[np.minimum(seen, 3).astype(int)])[pi] / np.maximum(total, 1)[ci]
         p = own + free[ci] * p1[wi]
@@ -258,18 +295,23 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     folder = local_path(path)
     os.makedirs(folder, exist_ok=True)
     own = docs.select(col(text_col).cast("string").alias(TEXT))
-    n = max(16, 2 * own.rdd.getNumPartitions())
-    hot = _hot_words(own)
+    parts = own.rdd.getNumPartitions()
+    n = max(16, 2 * parts)
+    hot = _hot_words(own, 1 / (4 * n))
     # at most HOT hashes
     shared = spark.sparkContext.broadcast(hot)
 
+    # so many buckets in a row make a group
+    wide = 1 if n <= FANOUT else -(-n // round(n**0.5))
+
     def count(batches):
         parts_v, parts_w, size = [], [], 0
 
         def flush():
             v, w = np.concatenate(parts_v), np.concatenate(parts_w)
             (v, w), (c,) = _added([v, w], np.ones(len(v), np.uint64))
-            return _rows(_dealt(pair_bucket(v, w, shared.value, n), v, w, c))
+            b = pair_bucket(v, w, shared.value, n)
+            return _rows(_dealt(b // wide, v, w, c))
 
         for _, texts in slices(batches, 0):
             h, sizes = tokens(texts)
@@ -298,57 +340,82 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     def joined(blobs, k):
         return [np.concatenate(x) for x in zip(*[_unpack(b, k) for b in blobs])]
 
+    def dealt_on(batches):
+        """From groups to buckets, a block at a time."""
+        for _, blobs in grouped(batches):
+            held, size = [], 0
+            for i, blob in enumerate(blobs):
+                held.append(blob)
+                size += int.from_bytes(blob[:8], "little")
+                if size >= BLOCK or i + 1 == len(blobs):
+                    v, w, c = joined(held, 3)
+                    (v, w), (c,) = _added([v, w], c)
+                    yield _rows(_dealt(pair_bucket(v, w, shared.value, n), v, w, c))
+                    held, size = [], 0
+
+    def noted(sums):
+        """Rows of a sum's number and the sum, beside no blob."""
+        names, values = zip(*[(int(k), int(x)) for k, x in sums])
+        return pa.RecordBatch.from_arrays([pa.array([-1] * len(names), pa.int32()), pa.nulls(len(names), pa.binary()), pa.array(names, pa.int64()), pa.array(values, pa.int64())], names=["bucket", "blob", "name", "value"])
+
+    def unnoted(rows):
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.int64())], names=["bucket", "blob", "name", "value"])
+
     def pairs(batches):
         for b, blobs in grouped(batches):
             v, w, c = joined(blobs, 3)
             (v, w), (c,) = _added([v, w], c)
             key = mix(v, w)
             order = np.argsort(key)
-            _save(folder, f"pair-{b}.key", key[order].astype("<u8"))
-            _save(folder, f"pair-{b}.count", np.minimum(c[order], 2**32 - 1).astype("<u4"))
+            _save(folder, f"pair-{b}", {"key": key[order].astype("<u8"), "count": np.minimum(c[order], 2**32 - 1).astype("<u4")})
             one, two = (c == 1).astype(np.uint64), (c == 2).astype(np.uint64)
             (ctx,), sums = _added([v], c, one, two, np.uint64(1) - one - two)
             cold = ~np.isin(ctx, shared.value)
-            _save(folder, f"context-{b}.key", ctx[cold].astype("<u8"))
-            for name, s in zip(("total", "n1", "n2", "n3"), sums):
-                _save(folder, f"context-{b}.{name}", s[cold].astype("<u8"))
+            _save(folder, f"context-{b}", {"key": ctx[cold].astype("<u8")} | {x: s[cold].astype("<u8") for x, s in zip(("total", "n1", "n2", "n3"), sums)})
             (word,), (total, left) = _added([w], c, np.ones(len(w), np.uint64))
-            found = [(x, blob) for x, blob in _dealt(spread(word, n), word, total, left)]
-            note = {"pairs": _tally(c), "hot": [[int(x), *[int(s[i]) for s in sums]] for i, x in enumerate(ctx.tolist()) if not cold[i]]}
-            yield _rows([*found, (-1, json.dumps(note).encode())])
+            yield unnoted(_rows(_dealt(spread(word, n), word, total, left)))
+            yield noted([(PAIRS + i, x) for i, x in enumerate(_tally(c))])
+            often = np.flatnonzero(~cold)
+            if len(often):
+                place = np.searchsorted(shared.value, ctx[often])
+                yield noted([(CONTEXTS + 4 * k + j, s[i]) for k, i in zip(place.tolist(), often.tolist()) for j, s in enumerate(sums)])
 
     def words(batches):
-        for b, blobs in grouped(batches):
-            if b < 0:
-                yield _rows((-1, x) for x in blobs)
-                continue
+        told = []
+
+        def blobs_alone():
+            for batch in batches:
+                told.append(batch.filter(pc.less(batch.column(0), 0)).select([2, 3]))
+                yield batch.filter(pc.greater_equal(batch.column(0), 0))
+
+        for b, blobs in grouped(blobs_alone()):
             w, c, left = joined(blobs, 3)
             (w,), (c, left) = _added([w], c, left)
-            _save(folder, f"word-{b}.key", w.astype("<u8"))
-            _save(folder, f"word-{b}.count", c.astype("<u8"))
-            _save(folder, f"word-{b}.left", left.astype("<u8"))
-            more = [int((left == 1).sum()), int((left == 2).sum()), int((left > 2).sum())]
-            yield _rows([(-1, json.dumps({"words": _tally(left), "free": more, "tokens": int(c.sum()), "size": len(w), "left": int(left.sum())}).encode())])
-
-    kind = "bucket int, blob binary"
-    first = own.mapInArrow(count, kind).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(pairs, kind)
-    spots = F.when(F.col("bucket") < 0, -1 - F.pmod(F.crc32("blob"), F.lit(16))).otherwise(F.col("bucket"))
-    second = first.repartition(n, spots).sortWithinPartitions("bucket").mapInArrow(words, kind)
-    # a few numbers from each bucket, and from each for the hot words it has
-    notes = [json.loads(bytes(r["blob"])) for r in second.collect()]
-    total = lambda name, k: [sum(x[name][i] for x in notes if name in x) for i in range(k)]
-    word_d = discounts(*total("words", 4))
-    kept = {k: sum(x.get(k, 0) for x in notes) for k in ("tokens", "size", "left")}
-    contexts: dict[int, list[float]] = {}
-    for x in notes:
-        for h, *s in x.get("hot", ()):
-            contexts[h] = [a + b for a, b in zip(contexts.get(h, [0.0] * 4), s)]
-    rest = sum(d * m for d, m in zip(word_d, total("free", 3))) / kept["left"] if kept["left"] else 1.0
-    return Model(folder, n, hot, {k: tuple(s) for k, s in contexts.items()}, kept["tokens"], kept["size"], kept["left"], discounts(*total("pairs", 4)), word_d, rest)
-
-
-def _hot_words(own: DataFrame) -> np.ndarray:
-    """Hashes of words that are frequent in a bounded sample of texts; they only decide where pairs are counted."""
+            _save(folder, f"word-{b}", {"key": w.astype("<u8"), "count": c.astype("<u8"), "left": left.astype("<u8")})
+            free = [(left == 1).sum(), (left == 2).sum(), (left > 2).sum()]
+            yield noted([*enumerate(_tally(left), WORDS), *enumerate(free, FREE), (TOKENS, c.sum()), (SIZE, len(w)), (LEFT, left.sum())]).select([2, 3])
+        yield from told
+
+    kind, both = "bucket int, blob binary", "bucket int, blob binary, name long, value long"
+    first = own.mapInArrow(count, kind)
+    if wide > 1:
+        tasks = F.lit(max(1, parts * wide // n))
+        first = first.repartition(parts, "bucket", F.pmod(F.crc32("blob"), tasks)).sortWithinPartitions("bucket").mapInArrow(dealt_on, kind)
+    first = first.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(pairs, both)
+    spots = F.coalesce(F.col("bucket"), F.lit(0)) + F.coalesce(F.col("name"), F.lit(0))
+    second = first.repartition(n, spots).sortWithinPartitions("bucket").mapInArrow(words, "name long, value long")
+    # at most 4 rows for each hot word, and a few for all
+    sums = {r["name"]: r["value"] for r in second.groupBy("name").agg(F.sum("value").alias("value")).collect()}
+    total = lambda name, k: [sums.get(name + i, 0) for i in range(k)]
+    word_d = discounts(*total(WORDS, 4))
+    contexts = np.array(total(CONTEXTS, 4 * len(hot)), float).reshape(-1, 4)
+    left = sums.get(LEFT, 0)
+    rest = sum(d * m for d, m in zip(word_d, total(FREE, 3))) / left if left else 1.0
+    return Model(folder, n, hot, contexts, sums.get(TOKENS, 0), sums.get(SIZE, 0), left, discounts(*total(PAIRS, 4)), word_d, rest)
+
+
+def _hot_words(own: DataFrame, share: float) -> np.ndarray:
+    """Hashes of words with that share in a bounded sample of texts; they only decide where pairs are counted."""
 
     def shares(batches):
         for _, texts in slices(batches, 0):
@@ -360,7 +427,7 @@ def _hot_words(own: DataFrame) -> np.ndarray:
     found = own.limit(SAMPLE_ROWS).mapInArrow(shares, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     rows = found.orderBy(F.desc("c"), "w").limit(HOT).collect()
     all_ = sum(r["c"] for r in rows)
-    return np.sort(np.array([r["w"] for r in rows if r["c"] >= max(2, HOT_SHARE * all_)], np.uint64))
+    return np.sort(np.array([r["w"] for r in rows if r["c"] >= max(2, share * all_)], np.uint64))
 
 
 def perplexity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

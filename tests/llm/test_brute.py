@@ -192,7 +192,10 @@ def test_toxicity(spark):
     assert sum(hit) / len(hit) > 0.75 and sum(wrong) / len(wrong) < 0.01
 
 
-def test_language_model(docs, texts):
+@pytest.mark.parametrize(("fanout", "maps"), [(1_024, 4_000), (5, 3)])
+def test_language_model(docs, texts, monkeypatch, fanout, maps):
+    monkeypatch.setattr(lm, "FANOUT", fanout)
+    monkeypatch.setattr(lm, "MAPS", maps)
     model = lm.train(docs.where(fold_of() != 1))
     tokens = {i: [*re.findall(WORD, lower(t)), "</s>"] for i, t in texts.items()}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
