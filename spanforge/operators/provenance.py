@@ -35,11 +35,15 @@ def source_of(spans: DataFrame, stretches: DataFrame) -> DataFrame:
     end: the end is the start.
     """
     p = stretches.select(F.col("filing_id").alias("f2"), F.col("start").alias("rs"), F.col("end").alias("re"), F.col("source_start").alias("ss"), F.col("source_end").alias("se"), "kind")
-    near = spans.join(p, (F.col("filing_id") == F.col("f2")) & (F.col("rs") <= F.col("end")) & (F.col("re") >= F.col("start")), "left")
-    holds = (F.col("rs") <= F.col("start")) & (F.col("start") < F.col("re")) | (F.col("start") == F.col("re"))
-    ends = (F.col("rs") < F.col("end")) & (F.col("end") <= F.col("re"))
-    first = F.max(F.when(holds, F.struct("rs", (F.col("ss") + F.col("start") - F.col("rs")).alias("at"), "kind")))
-    last = F.max(F.when(ends, F.struct("rs", (F.col("ss") + F.col("end") - F.col("rs")).alias("at"))))
+    p = p.withColumn("b2", F.explode(F.sequence(F.floor(F.col("rs") / WIDTH), F.floor(F.col("re") / WIDTH))))
+    # each end of a span meets the few stretches of its bucket, not all of the filing
+    ends_of = F.explode(F.array(F.struct(F.lit(True).alias("opens"), F.col("start").alias("at")), F.struct(F.lit(False).alias("opens"), F.col("end").alias("at"))))
+    points = spans.withColumn("_p", ends_of).withColumn("_b", F.floor(F.col("_p.at") / WIDTH))
+    at, holds = F.col("_p.at"), F.col("_p.opens")
+    near = points.join(p, (F.col("filing_id") == F.col("f2")) & (F.col("_b") == F.col("b2")) & (F.col("rs") <= at) & (F.col("re") >= at), "left")
+    ends = ~holds & (F.col("rs") < at) & (at <= F.col("re"))
+    first = F.max(F.when(holds, F.struct("rs", (F.col("ss") + at - F.col("rs")).alias("at"), "kind")))
+    last = F.max(F.when(ends, F.struct("rs", (F.col("ss") + at - F.col("rs")).alias("at"))))
     per = near.groupBy(*spans.columns).agg(first.alias("a"), last.alias("b"))
     end = F.when(F.col("a").isNotNull(), F.greatest(F.coalesce("b.at", "a.at"), F.col("a.at")))
     return per.select(*spans.columns, F.col("a.kind").alias("source_kind"), F.col("a.at").alias("source_start"), end.alias("source_end"))

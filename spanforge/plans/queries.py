@@ -13,7 +13,7 @@ from spanforge.operators import chrome, completeness, front, gate, html, provena
 from spanforge.plans import eras, reports
 from spanforge.plans.segmentation import result_json, segment_filings, segment_texts
 from spanforge.sources import filings as sources
-from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings
+from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings, raw_filings
 from spanforge.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,42 @@ def page_formats(spark, sf_dir):
     return _pages(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("n"), F.count("fiscal_year_end").alias("n_dated"))
 
 
+def raw_formats(spark, sf_dir):
+    """Raw bytes of six kinds: what they are, their year end, their length decoded, and whether they are in quarantine."""
+    good, bad = sources.quarantined(sources.unpacked(raw_filings(spark, sf_dir)))
+    read = sources.prepared(good).select("filing_id", "generation", "fiscal_year_end", F.length("raw_text").cast("long").alias("n_chars"), F.lit(False).alias("failed"))
+    return read.unionByName(bad.select("filing_id", F.lit(True).alias("failed")), allowMissingColumns=True)
+
+
+#: Layouts of a ruler of 100 letters: (number, items (id, start, end), evidence of item 8, starts by another method).
+LAYOUTS = [
+    (0, [("1", 0, 50), ("1A", 50, 100)], None, []),
+    (1, [("1A", 0, 50), ("1", 50, 100)], None, []),
+    (2, [("1", 0, 60), ("2", 50, 100)], None, []),
+    (3, [("1", 0, 50), ("2", 60, 100)], None, []),
+    (4, [("8", 0, 50), ("9", 50, 100)], (60, 70), []),
+    (5, [("8", 0, 100)], (10, 20), []),
+    (6, [("1", 0, 100)], None, [("1", 6, 100)]),
+    (7, [("1", 0, 100)], None, [("1", 5, 100)]),
+]
+
+
+def layout_violations(spark, sf_dir):
+    """One layout for each document, most of them with a violation that the filings made from documents never show."""
+    span = "array<struct<item_id:string,start:int,end:int>>"
+    known = spark.createDataFrame([(k, items, *(e or (None, None)), other) for k, items, e, other in LAYOUTS], f"k int, items {span}, b_start int, b_end int, other {span}")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("filing_id"))
+    each = docs.join(F.broadcast(known), F.col("filing_id") % len(LAYOUTS) == F.col("k"))
+    era_of = eras.with_era(docs.withColumn("fiscal_year_end", F.lit(None).cast("string")))
+    ruler = docs.withColumn("text", F.repeat(F.lit("x"), F.lit(100)))
+    placed = lambda c: each.select("filing_id", F.posexplode(c).alias("ord", "i")).select("filing_id", "ord", "i.*")
+    items = placed("items").withColumns({"merged_into": F.lit(None).cast("string"), "status": F.lit("extracted")})
+    residual = docs.where("false").select("filing_id", F.lit(0).alias("ord"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("toc").alias("cls"))
+    evidence = each.where("b_start is not null").select("filing_id", "b_start", "b_end")
+    found = gate.violations(era_of, ruler, items, residual, evidence, placed("other"))
+    return found.where("inv_no <> 6").select("filing_id", F.col("inv_no").cast("long").alias("inv_no"), "code", "item_id", *_long("start", "end"))
+
+
 def user_sessions(spark, sf_dir):
     """Runs of events of a user with at most 30 minutes between them."""
     e = _table(spark, sf_dir, "events").withColumn("t", F.unix_timestamp("ts"))
@@ -217,7 +253,7 @@ def queries() -> dict[str, Query]:
     found = (
         page_tokens, document_lines, filing_texts, filing_eras, order_eras, chrome_lines, stripped_texts, front_matter, item_headings,
         accepted_items, items, residual_spans, violations, invariant_results, verdicts, dated_summary, item_sequences, residual_classes,
-        spot_check, result_documents, page_conservation, filing_conservation, item_sources, page_provenance, page_formats, user_sessions, running_records, shipping_islands, shipping_overlaps,
+        spot_check, result_documents, page_conservation, filing_conservation, item_sources, page_provenance, page_formats, raw_formats, layout_violations, user_sessions, running_records, shipping_islands, shipping_overlaps,
     )
     return {f.__name__: f for f in found}
 
@@ -387,6 +423,13 @@ ORACLE = {
 ) SELECT i.filing_id, i.item_id, CAST(i.start AS BIGINT) AS start, CAST(i.stop AS BIGINT) AS "end", 'raw_byte' AS source_kind, CAST(a.source AS BIGINT) AS source_start, CAST(coalesce(b.source, len(f.text)) AS BIGINT) AS source_end
   FROM items i JOIN filings f ON f.filing_id = i.filing_id JOIN moved a ON a.filing_id = i.filing_id AND a.start = i.start LEFT JOIN moved b ON b.filing_id = i.filing_id AND b.start = i.stop WHERE i.start IS NOT NULL"""),
     "page_formats": "SELECT 'html' AS generation, count(*) AS n, 0::BIGINT AS n_dated FROM pages",
+    "raw_formats": """SELECT page_id AS filing_id, CASE page_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'html_xbrl' WHEN 2 THEN 'ascii' WHEN 3 THEN 'ascii' WHEN 4 THEN 'html' END AS generation,
+  CASE page_id % 6 WHEN 1 THEN CAST(2000 + page_id % 20 AS VARCHAR) || '-12-31' WHEN 2 THEN CAST(1994 + page_id % 20 AS VARCHAR) || '-06-30' END AS fiscal_year_end,
+  CAST(CASE page_id % 6 WHEN 0 THEN len(html) WHEN 1 THEN len(html) + 173 WHEN 2 THEN 55 + len(CAST(page_id AS VARCHAR)) WHEN 3 THEN 12 + len(CAST(page_id AS VARCHAR)) WHEN 4 THEN len(html) END AS BIGINT) AS n_chars,
+  page_id % 6 = 5 AS failed FROM pages""",
+    "layout_violations": """SELECT doc_id AS filing_id, CAST(inv_no AS BIGINT) AS inv_no, code, item_id, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS "end" FROM documents JOIN (VALUES
+  (1, 1, 'order_violation', '1', 50, 100), (2, 2, 'overlap', '2', 50, 100), (2, 3, 'coverage_overlap', NULL, 50, 100), (3, 3, 'coverage_gap', NULL, 50, 60),
+  (4, 7, 'xbrl_mismatch', '8', 0, 50), (6, 8, 'cross_method_disagree', '1', 0, 100)) AS e(k, inv_no, code, item_id, a, b) ON doc_id % 8 = k""",
     "user_sessions": """WITH e AS (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events),
   s AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 1800 THEN 1 ELSE 0 END AS far FROM e),
   r AS (SELECT *, sum(far) OVER (PARTITION BY user_id ORDER BY t)::BIGINT AS run FROM s)

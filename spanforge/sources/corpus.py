@@ -8,8 +8,12 @@ heading, signatures before the end. Every fifth filing has a table of contents.
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from spanforge.plans.eras import NEWEST, item_rows
 
@@ -40,6 +44,24 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.col("f").alias("filing_id"), "text", F.expr(_DATE.replace("DIV", "(f div 6)")).alias("fiscal_year_end"))
 
 
+@F.pandas_udf(BinaryType())
+def _gzipped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else gzip.compress(t.encode()))
+
+
+def raw_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filing_id, raw: bytes of six kinds made from ``pages``, by the page's number: HTML, inline XBRL with
+    a period, plain text under a header with a date, Latin-1, gzip, and data that only begins like gzip."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    fact = """concat('<html xmlns:ix="x"><body><p>For the year ended <ix:nonNumeric contextRef="c" name="dei:DocumentPeriodEndDate">December&nbsp;31, <b>',
+      2000 + page_id % 20, '</b></ix:nonNumeric></p>', html, '</body></html>')"""
+    header = r"concat('CONFORMED PERIOD OF REPORT:\t', 1994 + page_id % 20, '0630\nPlain text number ', page_id)"
+    raw = f"""case page_id % 6 when 0 then cast(html as binary) when 1 then cast({fact} as binary) when 2 then cast({header} as binary)
+      when 3 then encode(concat('Caf\u00e9 number ', page_id), 'ISO-8859-1') when 5 then concat(X'1F8B', cast('no more' as binary)) end"""
+    made = pages.select(F.col("page_id").alias("filing_id"), F.expr(raw).alias("raw"), F.when(F.col("page_id") % 6 == 4, _gzipped(F.when(F.col("page_id") % 6 == 4, F.col("html")))).alias("packed"))
+    return made.select("filing_id", F.coalesce("raw", "packed").alias("raw"))
+
+
 FYE_SQL = _DATE.replace("DIV", "(f // 6)")
 FILINGS_SQL = rf"""
 lines0 AS (

@@ -1,18 +1,21 @@
 """Raw filings: read, unpack, decode, and find out format and fiscal year end.
 
-All of it is column expressions but for gunzip and the inline-XBRL date, which
-need Python and run on the rows that have a reason to.
+All of it is column expressions but for gunzip and the decoding of entities, which
+need Python and run on the rows that have a reason to. A file that can't be unpacked
+becomes an error row and does not end the run.
 """
 
 from __future__ import annotations
 
 import gzip
-from html.parser import HTMLParser
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+from spanforge.operators.html import ANY_TAG, unescaped
 
 #: Format hints are looked for in so many bytes.
 PREFIX_BYTES = 200_000
@@ -20,19 +23,35 @@ SUFFIXES = "*.{htm,html,txt,gz}"
 
 
 def read_files(spark: SparkSession, path: str, suffixes: str = SUFFIXES) -> DataFrame:
-    """filing_id (the path), raw: one row per file, unpacked where it is gzip data."""
+    """filing_id (the path), raw, error: one row per file, unpacked where it is gzip data."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", suffixes).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("filing_id"), unpacked(F.col("content")).alias("raw"))
+    return unpacked(files.select(F.col("path").alias("filing_id"), F.col("content").alias("raw")))
+
+
+@F.pandas_udf(StructType([StructField("raw", BinaryType()), StructField("error", StringType())]))
+def _gunzip(raw: pd.Series) -> pd.DataFrame:
+    def one(b):
+        try:
+            return (None, None) if b is None else (gzip.decompress(b), None)
+        except (OSError, EOFError, zlib.error) as e:
+            return None, f"gunzip: {e}"
 
+    return pd.DataFrame([one(b) for b in raw], columns=["raw", "error"])
 
-@F.pandas_udf(BinaryType())
-def _gunzip(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: None if b is None else gzip.decompress(b))
 
+def unpacked(filings: DataFrame) -> DataFrame:
+    """filings(filing_id, raw) unpacked where raw is gzip data, with ``error``: what was
+    wrong with data that can't be unpacked, whose raw is null then; else null."""
+    packed = F.hex(F.substring("raw", 1, 2)) == "1F8B"
+    found = filings.select("filing_id", "raw", F.when(packed, _gunzip(F.when(packed, F.col("raw")))).alias("u"), F.coalesce(packed, F.lit(False)).alias("packed"))
+    return found.select("filing_id", F.when(F.col("packed"), F.col("u.raw")).otherwise(F.col("raw")).alias("raw"), F.when(F.col("packed"), F.col("u.error")).alias("error"))
 
-def unpacked(raw: Column) -> Column:
-    magic = F.hex(F.substring(raw, 1, 2)) == "1F8B"
-    return F.when(magic, _gunzip(F.when(magic, raw))).otherwise(raw)
+
+def quarantined(filings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The filings(filing_id, raw, error) to go on with, and (filing_id, error) of the others:
+    those with an error or without data."""
+    bad = F.col("raw").isNull()
+    return filings.where(~bad).drop("error"), filings.where(bad).select("filing_id", F.coalesce("error", F.lit("no data")).alias("error"))
 
 
 def decoded(raw: Column) -> Column:
@@ -54,46 +73,17 @@ def _header_date(raw: Column) -> Column:
     return F.date_format(F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("yyyyMMdd")), "yyyy-MM-dd")
 
 
-class _Fact(HTMLParser):
-    """The text of the first element whose name attribute is the period end."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth, self.parts, self.value = -1, [], None
-
-    def handle_starttag(self, tag, attrs):
-        if self.value is None and self.depth >= 0:
-            self.depth += 1
-        elif self.value is None and any(k == "name" and (v or "").strip().lower() == "dei:documentperiodenddate" for k, v in attrs):
-            self.depth = 0
-
-    def handle_data(self, data):
-        if self.depth >= 0:
-            self.parts.append(data)
-
-    def handle_endtag(self, tag):
-        if self.depth == 0:
-            self.value = "".join(self.parts).strip()
-        self.depth = max(-1, self.depth - 1)
-
-
-@F.pandas_udf(StringType())
-def _fact_text(text: pd.Series) -> pd.Series:
-    def one(t):
-        if t is None:
-            return None
-        p = _Fact()
-        p.feed(t)
-        p.close()
-        return p.value or None
-
-    return text.map(one)
+# Fixed value: the name of the fact that holds the end of the period.
+PERIOD_END = "dei:documentperiodenddate"
+#: From the first element with that name to the next closing tag of its kind.
+_PERIOD_FACT = rf"""(?is)<(?<tag>[a-z][^\s/>]*)\s(?:[^>]*\s)?name\s*=\s*['"]?\s*{PERIOD_END}\s*['"]?(?=[\s/>])[^>]*>(?<value>.*?)</\k<tag>\s*>"""
 
 
 def _fact_date(raw: Column) -> Column:
     text = decoded(raw)
-    named = text.rlike("(?i)dei:documentperiodenddate")
-    words = F.initcap(F.regexp_replace(F.trim(F.when(named, _fact_text(F.when(named, text)))), r"\s+", " "))
+    named = F.when(text.rlike(f"(?i){PERIOD_END}"), text)
+    value = unescaped(F.regexp_replace(F.regexp_extract(named, _PERIOD_FACT, 2), ANY_TAG, ""))
+    words = F.initcap(F.trim(F.regexp_replace(value, r"[\s\x{a0}]+", " ")))
     long, short = (F.try_to_timestamp(words, F.lit(f)) for f in ("MMMM d, yyyy", "MMM d, yyyy"))
     return F.date_format(F.coalesce(long, short), "yyyy-MM-dd")
 

@@ -180,3 +180,40 @@ def test_source_of_spans(spark):
     spans = spark.createDataFrame([(1, 0, 3), (1, 2, 9), (1, 7, 8), (1, 50, 60)], "filing_id long, start int, end int")
     got = {(r["start"], r["end"]): (r["source_kind"], r["source_start"], r["source_end"]) for r in source_of(spans, stretches).collect()}
     assert got == {(0, 3): ("dom_text", 10, 13), (2, 9): ("dom_text", 12, 33), (7, 8): ("dom_text", 31, 32), (50, 60): (None, None, None)}
+
+
+def test_broken_files_are_rows(spark, tmp_path):
+    import gzip
+
+    from spanforge.sources.filings import quarantined, read_files
+
+    (tmp_path / "a.txt").write_bytes(b"plain")
+    (tmp_path / "b.gz").write_bytes(gzip.compress(b"packed"))
+    (tmp_path / "c.gz").write_bytes(gzip.compress(b"packed" * 100)[:15])
+    (tmp_path / "d.pdf").write_bytes(b"other")
+    good, bad = quarantined(read_files(spark, str(tmp_path)))
+    assert sorted(bytes(r["raw"]) for r in good.collect()) == [b"packed", b"plain"]
+    (row,) = bad.collect()
+    assert row["filing_id"].endswith("c.gz") and row["error"].startswith("gunzip: ")
+
+
+def test_stored_tables_leave_no_name(spark):
+    from spanforge.sources.shared import stored
+
+    df = spark.range(100).selectExpr("id % 7 as filing_id", "id")
+    kept = stored(df, "kept", key="filing_id")
+    assert kept.groupBy("filing_id").count().count() == 7 and kept.count() == 100
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("kept")]
+    assert "Exchange" not in kept.groupBy("filing_id").count()._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from spanforge.sources.shared import shared_folder
+
+    session = lambda master, base: Fake(conf=Fake(get=lambda *_: base), sparkContext=Fake(master=master, getConf=dict))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host:7077", None))
+    assert shared_folder(session("spark://host:7077", "hdfs:/shared/")) == "hdfs:/shared"
+    assert shared_folder(session("local[4]", None))
