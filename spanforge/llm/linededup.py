@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import col, stored
+from spanforge.llm.common import col, slices, stored
 
 LINES = 3
 
@@ -75,16 +75,16 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, *keep) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with shortened texts, and with ``length_col`` set to their new length if it is given."""
-    both = _marked(docs, id_col, text_col, F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"))
+    both = _marked(docs, id_col, text_col, F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]).alias("row"))
 
     def run(batches):
-        for b in batches:
-            texts = [_kept(t, a)[0] for t, a in zip(b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist())]
+        for b, whole in slices(batches, 2):
+            texts = [_kept(t, a)[0] for t, a in zip(whole, b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["row", "text"])
 
     out = both.mapInArrow(run, f"row {both.schema['row'].dataType.simpleString()}, text string")
     new = {text_col: F.col("text")} | ({length_col: F.length("text").cast(docs.schema[length_col].dataType)} if length_col else {})
-    return out.select(*[new.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    return out.select(*[(new[c] if c in new else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,8 +92,8 @@ def line_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     both = _marked(docs, id_col, text_col)
 
     def run(batches):
-        for b in batches:
-            rows = [_kept(t, a) for t, a in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())]
+        for b, whole in slices(batches, 1):
+            rows = [_kept(t, a) for t, a in zip(whole, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([None if r[0] is None else hashlib.sha256(r[0]).hexdigest() for r in rows], pa.string())], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
     kind = both.schema["d0"].dataType.simpleString()
