@@ -82,3 +82,14 @@ def test_ids_are_those_of_whole_texts(name, by_chunk):
     got = [np.frombuffer(x, "<u4").tolist() for x in own.encode([None if t is None else t.encode() for t in texts])]
     assert got == [known.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert own.by_chunk == by_chunk
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from spanforge.llm.common import shared_path
+
+    session = lambda master, base: Fake(conf=Fake(get=lambda *_: base), sparkContext=Fake(master=master, getConf=dict))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(session("local-cluster[3,2,1000]", None), "x")
+    assert shared_path(session("yarn", "hdfs:/shared/"), "x").startswith("hdfs:/shared/x-")
