@@ -21,7 +21,8 @@ def cursor(key: str, *order: str) -> Column:
 
 
 def islands(spans: DataFrame, key: str = "filing_id") -> DataFrame:
-    """key, start, end: intervals that touch or overlap, merged."""
+    """key, start, end: intervals that touch or overlap, merged. Of equal starts the furthest end says all."""
+    spans = spans.groupBy(key, "start").agg(F.max("end").alias("end"))
     opened = spans.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(_ordered(key, "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     numbered = opened.withColumn("island", F.sum("new").over(_ordered(key, "end").rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
@@ -34,6 +35,46 @@ def sessions(rows: DataFrame, gap: int, key: str = "filing_id", at: str = "start
     return rows.withColumn("far", far).withColumn("run", F.sum("far").over(w)).drop("far")
 
 
+def merged_sessions(rows: DataFrame, gap: int, key: str = "filing_id", at: str = "start") -> DataFrame:
+    """key, run, n, first, last of the runs that ``sessions`` numbers.
+
+    Rows in a slot no wider than the gap are of one run, so slots are combined before
+    the shuffle, and a window sees at most one row per slot of a key, however hot it is.
+    """
+    slots = rows.where(F.col(at).isNotNull()).groupBy(key, F.floor(F.col(at) / gap).alias("slot")).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    w = Window.partitionBy(key).orderBy("slot")
+    far = F.coalesce((F.col("first") - F.lag("last").over(w) > gap).cast("int"), F.lit(0))
+    dealt = slots.withColumn("far", far).withColumn("run", F.sum("far").over(w))
+    return dealt.groupBy(key, "run").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def records(rows: DataFrame, key: str, at: str, tie: str, value: str, slot: Column) -> DataFrame:
+    """The rows whose value exceeds all before them of the same key, by at and tie.
+
+    slot grows with at. Rows meet the best of all slots before theirs, and are ordered
+    only with those of their slot: a hot key is dealt over its slots.
+    """
+    dealt = rows.withColumn("_slot", slot)
+    best = dealt.groupBy(key, "_slot").agg(F.max(value).alias("_top"))
+    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    best = best.select(F.col(key).alias("_key"), F.col("_slot").alias("_s"), F.max("_top").over(earlier).alias("_before"))
+    near = Window.partitionBy(key, "_slot").orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
+    both = dealt.join(best, F.col(key).eqNullSafe(F.col("_key")) & F.col("_slot").eqNullSafe(F.col("_s")))
+    over = both.where("_before is null or %s > _before" % value).withColumn("_best", F.max(value).over(near))
+    return over.where("_best is null or %s > _best" % value).select(*rows.columns)
+
+
+def clashes(spans: DataFrame, key: str) -> DataFrame:
+    """key, n_overlaps, n_gaps: how many intervals begin before, and how many behind, the furthest end of those before them.
+
+    Equal intervals are counted before the shuffle: behind the first of them the others
+    only see its end as well.
+    """
+    own = spans.groupBy(key, "start", "end").agg(F.count("*").alias("n")).withColumn("from", cursor(key, "end"))
+    late = lambda test: F.when(test(F.col("from")), 1).otherwise(0) + (F.col("n") - 1) * F.when(test(F.greatest("from", "end")), 1).otherwise(0)
+    return own.groupBy(key).agg(F.sum(late(lambda x: F.col("start") < x)).alias("n_overlaps"), F.sum(late(lambda x: F.col("start") > x)).alias("n_gaps"))
+
+
 def gaps(spans: DataFrame, lengths: DataFrame, key: str = "filing_id") -> DataFrame:
     """key, start, end: what of [0, length) no interval covers. lengths(key, length)."""
     between = spans.withColumn("from", cursor(key, "end")).where(F.col("start") > F.col("from")).select(key, F.col("from").alias("start"), F.col("start").alias("end"))

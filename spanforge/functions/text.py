@@ -44,6 +44,16 @@ def piece(text: Column | str, start: Column | str, end: Column | str) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
+def sized(texts: DataFrame) -> DataFrame:
+    """texts with ``length``: stored with it, later plans need not read a text to know its end."""
+    return texts.withColumn("length", F.length("text"))
+
+
+def lengths(texts: DataFrame, key: str = "filing_id") -> DataFrame:
+    """key, length of each text."""
+    return (texts if "length" in texts.columns else sized(texts)).select(key, "length")
+
+
 def line_table(texts: DataFrame, pattern: str, key: str = "filing_id", text: str = "text") -> DataFrame:
     """key, pos, start, line: the text cut at single characters of a class, with offsets.
 
@@ -52,3 +62,11 @@ def line_table(texts: DataFrame, pattern: str, key: str = "filing_id", text: str
     cut = texts.select(key, F.posexplode(F.split(text, pattern, -1)).alias("pos", "line"))
     before = F.sum(F.length("line") + 1).over(Window.partitionBy(key).orderBy("pos")) - F.length("line") - 1
     return cut.select(key, "pos", before.cast("int").alias("start"), "line")
+
+
+def some_lines(texts: DataFrame, pattern: str, wanted, key: str = "filing_id", text: str = "text") -> DataFrame:
+    """The rows of ``line_table`` whose line is wanted(line): of all other lines only the lengths are moved."""
+    each = F.transform(F.split(text, pattern, -1), lambda x: F.struct(F.length(x).alias("size"), F.when(wanted(x), x).alias("line")))
+    cut = texts.select(key, F.posexplode(each).alias("pos", "l")).select(key, "pos", "l.*")
+    before = F.sum(F.col("size") + 1).over(Window.partitionBy(key).orderBy("pos")) - F.col("size") - 1
+    return cut.withColumn("start", before.cast("int")).where("line is not null").select(key, "pos", "start", "line")

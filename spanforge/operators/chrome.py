@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import WS, line_table, squash, strip, word_count
+from spanforge.functions.text import WS, lengths, some_lines, squash, strip, word_count
 
 LINE_BREAKS = "[\n\f]"
 MIN_REPEATS = 3
@@ -15,45 +15,61 @@ PAGE_NUMBER = rf"(?i)^(?:(?:page{WS}+)?\p{{Nd}}{{1,4}}|-{WS}*\p{{Nd}}{{1,4}}{WS}
 PROSE_WORDS = 6
 
 
-def marked_lines(texts: DataFrame) -> DataFrame:
-    """filing_id, pos, start, line, chrome: every line, and whether it is page chrome.
+#: Stands for page numbers of any kind; no line holds a line feed.
+NUMBERS = "\n"
+
+
+def label(line: Column) -> Column:
+    """What a line repeats if it is chrome: its text without white space and case, or that it is a page number; else null."""
+    s = strip(line)
+    eligible = (F.length(s) > 0) & (F.length(s) <= MAX_LENGTH) & ~s.rlike(ITEM_LINE)
+    prose = s.rlike(r"[.!?]$") & (word_count(s) >= PROSE_WORDS)
+    return F.when(eligible & s.rlike(PAGE_NUMBER), F.lit(NUMBERS)).when(eligible & ~prose, F.lower(squash(s)))
+
+
+def with_repeats(texts: DataFrame) -> DataFrame:
+    """filing_id, text, repeats: the labels that stand three times in a filing, or null.
+
+    Labels are counted before they are shuffled, and no text moves with them.
+    """
+    labels = texts.select("filing_id", F.explode(F.split("text", LINE_BREAKS, -1)).alias("line")).select("filing_id", label(F.col("line")).alias("label")).where("label is not null")
+    often = labels.groupBy("filing_id", "label").count().where(F.col("count") >= MIN_REPEATS)
+    per = often.groupBy("filing_id").agg(F.collect_list("label").alias("repeats"))
+    return texts.select("filing_id", "text").join(per, "filing_id", "left")
+
+
+def _is_chrome(line: Column) -> Column:
+    return F.coalesce(F.array_contains("repeats", label(line)), F.lit(False))
+
+
+def chrome_lines(repeats: DataFrame) -> DataFrame:
+    """filing_id, pos, start, line of the lines that are page chrome.
 
     A short line is chrome if the same text, white space and case aside, stands
     three times in its filing, unless it opens an item or reads like a sentence;
     page numbers are chrome if there are three of any kind.
     """
-    lines = line_table(texts, LINE_BREAKS).withColumn("s", strip(F.col("line")))
-    s = F.col("s")
-    eligible = (F.length(s) > 0) & (F.length(s) <= MAX_LENGTH) & ~s.rlike(ITEM_LINE)
-    number = eligible & s.rlike(PAGE_NUMBER)
-    prose = s.rlike(r"[.!?]$") & (word_count(s) >= PROSE_WORDS)
-    label = eligible & ~number & ~prose
-    lines = lines.withColumns({"number": number, "norm": F.when(label, F.lower(squash(s)))})
-    of_text = F.count("norm").over(Window.partitionBy("filing_id", "norm"))
-    of_numbers = F.count(F.when(F.col("number"), 1)).over(Window.partitionBy("filing_id"))
-    chrome = (F.col("norm").isNotNull() & (of_text >= MIN_REPEATS)) | (F.col("number") & (of_numbers >= MIN_REPEATS))
-    return lines.select("filing_id", "pos", "start", "line", chrome.alias("chrome"))
+    return some_lines(repeats.where("repeats is not null"), LINE_BREAKS, _is_chrome)
 
 
 def stripped(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(filing_id, text) without chrome, and the ledger (filing_id, start, end, text) in old offsets.
 
-    The line breaks stay. Lines are gathered by filing, as they were dealt for the windows.
+    The line breaks stay. A null text has no row.
     """
-    lines = marked_lines(texts)
-    breaks = texts.select("filing_id", F.regexp_extract_all("text", F.lit(LINE_BREAKS), F.lit(0)).alias("breaks"))
-    whole = lines.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("chrome"), "").otherwise(F.col("line")).alias("line")))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x, i: F.concat(x["line"], F.coalesce(F.get("breaks", i), F.lit("")))), "")
-    ledger = lines.where("chrome").select("filing_id", "start", (F.col("start") + F.length("line")).alias("end"), F.col("line").alias("text"))
-    return whole.join(breaks, "filing_id").select("filing_id", text.alias("text")), ledger
+    found = with_repeats(texts.where("text is not null"))
+    breaks = F.regexp_extract_all("text", F.lit(LINE_BREAKS), F.lit(0))
+    kept = F.zip_with(F.split("text", LINE_BREAKS, -1), breaks, lambda x, b: F.concat(F.when(_is_chrome(x), "").otherwise(x), F.coalesce(b, F.lit(""))))
+    text = F.when(F.col("repeats").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
+    ledger = chrome_lines(found).select("filing_id", "start", (F.col("start") + F.length("line")).alias("end"), F.col("line").alias("text"))
+    return found.select("filing_id", text.alias("text")), ledger
 
 
 def kept_ranges(texts: DataFrame, ledger: DataFrame) -> DataFrame:
     """filing_id, b_start, b_end, b_new: the old ranges that stay, and where they start now."""
     from spanforge.functions.intervals import gaps, islands
 
-    lengths = texts.select("filing_id", F.length("text").alias("length"))
-    kept = gaps(islands(ledger.select("filing_id", "start", "end").where("start < end")), lengths)
+    kept = gaps(islands(ledger.select("filing_id", "start", "end").where("start < end")), lengths(texts))
     w = Window.partitionBy("filing_id").orderBy("start")
     size = F.col("end") - F.col("start")
     return kept.select("filing_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), (F.sum(size).over(w) - size).cast("int").alias("b_new"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.intervals import cursor, gaps, overlaps
-from spanforge.functions.text import is_blank
+from spanforge.functions.text import is_blank, lengths
 from spanforge.operators.segment import with_body
 from spanforge.plans.eras import era_items, permitted_absent
 
@@ -57,8 +57,7 @@ def geometry(items: DataFrame, residual: DataFrame) -> DataFrame:
 def coverage(ruler: DataFrame, items: DataFrame, residual: DataFrame) -> DataFrame:
     spans = geometry(items, residual)
     clash = _violations(spans.withColumn("from", cursor("filing_id", "k")).where("start < from"), 3, "coverage_overlap")
-    lengths = ruler.select("filing_id", F.length("text").alias("length"))
-    left = with_body(gaps(spans, lengths), ruler, blank=lambda x, body: is_blank(body)).where("not blank")
+    left = with_body(gaps(spans, lengths(ruler)), ruler, blank=lambda x, body: is_blank(body)).where("not blank")
     return clash.unionByName(_violations(left, 3, "coverage_gap"))
 
 
@@ -105,8 +104,7 @@ def cross_method(items: DataFrame, other: DataFrame | None) -> DataFrame | None:
 
 
 def cover_dominance(ruler: DataFrame, residual: DataFrame) -> DataFrame:
-    lengths = ruler.select("filing_id", F.length("text").alias("length")).where("length > 0")
-    covers = residual.where("cls = 'cover_page'").join(lengths, "filing_id")
+    covers = residual.where("cls = 'cover_page'").join(lengths(ruler).where("length > 0"), "filing_id")
     return _violations(covers.where((F.col("end") - F.col("start")) / F.col("length") >= COVER_SHARE), 9, "oversized_cover_page")
 
 

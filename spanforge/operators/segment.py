@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.intervals import gaps, outside
-from spanforge.functions.text import END, GAP, is_blank, line_table, piece, strip
+from spanforge.functions.text import END, GAP, is_blank, lengths, piece, some_lines, strip
 from spanforge.plans.eras import era_items
 from spanforge.sources.shared import stored
 
@@ -58,17 +58,16 @@ def with_body(spans: DataFrame, ruler: DataFrame, **made) -> DataFrame:
 
 def structure(ruler: DataFrame, front: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Headings and part dividers outside the front matter, and the signatures."""
-    opening = F.col("line").rlike(HEADING) | F.col("line").rlike(DIVIDER) | F.col("line").rlike(SIGNATURES)
-    lines = stored(line_table(ruler, "\n").where(opening), "openings")
+    lines = stored(some_lines(ruler, "\n", lambda x: x.rlike(HEADING) | x.rlike(DIVIDER) | x.rlike(SIGNATURES)), "openings")
     regions = front.where("cls in ('cover_page', 'toc')").select("filing_id", "start", "end")
     found = outside(headings(lines), regions, "enum_start")
     divided = lines.where(F.col("line").rlike(DIVIDER)).select("filing_id", "start", (F.col("start") + F.length("line")).alias("end"))
-    lengths = ruler.select("filing_id", F.length("text").alias("end"))
-    signed = lines.where(F.col("line").rlike(SIGNATURES)).groupBy("filing_id").agg(F.max("start").alias("start")).join(lengths, "filing_id")
+    ends = lengths(ruler).withColumnRenamed("length", "end")
+    signed = lines.where(F.col("line").rlike(SIGNATURES)).groupBy("filing_id").agg(F.max("start").alias("start")).join(ends, "filing_id")
     return found, outside(divided, regions, "start"), signed
 
 
-def item_spans(taken: DataFrame, cuts: DataFrame, lengths: DataFrame) -> DataFrame:
+def item_spans(taken: DataFrame, cuts: DataFrame, sizes: DataFrame) -> DataFrame:
     """taken with ``end``: the next item, or the first cut before it, or the end of the text.
 
     Items and cuts lie on one line, so the next of each is a window function over it.
@@ -77,17 +76,17 @@ def item_spans(taken: DataFrame, cuts: DataFrame, lengths: DataFrame) -> DataFra
     ahead = Window.partitionBy("filing_id").orderBy("start").rangeBetween(1, Window.unboundedFollowing)
     own = F.when(F.col("item_id").isNotNull(), F.col("start"))
     nexts = line.withColumns({"next": F.min(own).over(ahead), "stop": F.min("cut").over(ahead)}).where("item_id is not null")
-    return nexts.join(lengths, "filing_id").withColumn("end", F.least(F.coalesce("next", "length"), F.coalesce("stop", "length"))).drop("next", "stop", "cut", "length")
+    return nexts.join(sizes, "filing_id").withColumn("end", F.least(F.coalesce("next", "length"), F.coalesce("stop", "length"))).drop("next", "stop", "cut", "length")
 
 
 def segment(ruler: DataFrame, front: DataFrame, era_of: DataFrame) -> tuple[DataFrame, DataFrame]:
     """items(filing_id, ord, item_id, part, start, end, status, merged_into) and
     residual(filing_id, ord, start, end, cls) of rulers(filing_id, text)."""
     spark = ruler.sparkSession
-    lengths = ruler.select("filing_id", F.length("text").alias("length"))
+    sizes = lengths(ruler)
     found, divided, signed = structure(ruler, front)
     taken = accepted(found, era_of)
-    spans = item_spans(taken, divided.select("filing_id", "start").unionByName(signed.select("filing_id", "start")), lengths)
+    spans = item_spans(taken, divided.select("filing_id", "start").unionByName(signed.select("filing_id", "start")), sizes)
     spans = stored(spans.select("filing_id", "era_id", "item_id", "merged_id", "start", "end"), "spans")
     judged = with_body(spans, ruler, status=lambda x, body: F.when(x["merged_id"].isNotNull(), "merged").otherwise(status_of(x["item_id"], body)))
     own = F.struct(F.lit(0).alias("k"), F.col("item_id").alias("id"), F.col("start").alias("s"), F.col("end").alias("e"), F.lit(None).cast("string").alias("into"))
@@ -100,7 +99,7 @@ def segment(ruler: DataFrame, front: DataFrame, era_of: DataFrame) -> tuple[Data
     known = front.select("filing_id", "start", "end", "cls").unionByName(divided.withColumn("cls", F.lit("part_divider"))).unionByName(signed.select("filing_id", "start", "end", F.lit("signatures").alias("cls")))
     claimed = spans.select("filing_id", "start", "end").unionByName(known.select("filing_id", "start", "end"))
     first = spans.groupBy("filing_id").agg(F.min("start").alias("first"))
-    open_ = gaps(claimed, lengths).join(first, "filing_id", "left").join(lengths, "filing_id")
+    open_ = gaps(claimed, sizes).join(first, "filing_id", "left").join(sizes, "filing_id")
     cls = F.when(F.col("start") < F.coalesce("first", "length"), "cover_page").otherwise("unclassified")
     left = with_body(open_.select("filing_id", "start", "end", cls.alias("cls")), ruler, blank=lambda x, body: is_blank(body)).where("not blank").drop("blank")
     ranked = F.when(F.col("cls") == "cover_page", 0).when(F.col("cls") == "toc", 1).when(F.col("cls") == "part_divider", 2).when(F.col("cls") == "signatures", 3).otherwise(4)

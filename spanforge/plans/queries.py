@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.functions.intervals import cursor, islands, sessions
-from spanforge.functions.text import line_table, tokens
+from spanforge.functions.intervals import clashes, islands, merged_sessions, records
+from spanforge.functions.text import line_table, sized, some_lines, tokens
 from spanforge.operators import chrome, completeness, front, gate, html, provenance, segment
 from spanforge.plans import eras, reports
 from spanforge.plans.segmentation import result_json, segment_filings, segment_texts
 from spanforge.sources import filings as sources
 from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings, raw_filings
-from spanforge.sources.shared import stored
+from spanforge.sources.shared import spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus, made once."""
+    return stored(filings(spark, sf_dir), "corpus")
+
+
 def _undated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filings(spark, sf_dir).withColumn("fiscal_year_end", F.lit(None).cast("string"))
+    return _filings(spark, sf_dir).withColumn("fiscal_year_end", F.lit(None).cast("string"))
 
 
 def _long(*names: str):
@@ -40,7 +45,7 @@ def page_tokens(spark, sf_dir):
     """Tokens of the visible text of pages."""
     text = html.stripped_markup(F.col("html"))
     t = tokens(text)
-    return _table(spark, sf_dir, "pages").select("page_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+    return spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 def document_lines(spark, sf_dir):
@@ -68,12 +73,12 @@ def order_eras(spark, sf_dir):
 
 
 def chrome_lines(spark, sf_dir):
-    found = chrome.marked_lines(filings(spark, sf_dir).select("filing_id", "text")).where("chrome")
+    found = chrome.chrome_lines(chrome.with_repeats(_filings(spark, sf_dir)))
     return found.select("filing_id", *_long("start"), (F.col("start") + F.length("line")).cast("long").alias("end"), "line")
 
 
 def stripped_texts(spark, sf_dir):
-    ruler, _ = chrome.stripped(filings(spark, sf_dir).select("filing_id", "text"))
+    ruler, _ = chrome.stripped(_filings(spark, sf_dir))
     return ruler.select("filing_id", F.length("text").cast("long").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -82,7 +87,7 @@ def front_matter(spark, sf_dir):
 
 
 def _ruler(spark, sf_dir) -> DataFrame:
-    return stored(chrome.stripped(filings(spark, sf_dir).select("filing_id", "text"))[0], "ruler", key="filing_id")
+    return stored(sized(chrome.stripped(_filings(spark, sf_dir))[0]), "ruler", key="filing_id")
 
 
 def _stage2(spark, sf_dir):
@@ -90,7 +95,7 @@ def _stage2(spark, sf_dir):
 
 
 def item_headings(spark, sf_dir):
-    return segment.headings(line_table(_ruler(spark, sf_dir), "\n")).select("filing_id", *_long("start", "enum_start"), "item_id", "merged_id", "is_plural")
+    return segment.headings(some_lines(_ruler(spark, sf_dir), "\n", lambda x: x.rlike(segment.HEADING))).select("filing_id", *_long("start", "enum_start"), "item_id", "merged_id", "is_plural")
 
 
 def accepted_items(spark, sf_dir):
@@ -123,7 +128,7 @@ def verdicts(spark, sf_dir):
 
 def dated_summary(spark, sf_dir):
     """The whole run with each filing's own era."""
-    return reports.summary(segment_texts(filings(spark, sf_dir)))
+    return reports.summary(segment_texts(_filings(spark, sf_dir)))
 
 
 def item_sequences(spark, sf_dir):
@@ -143,7 +148,7 @@ def result_documents(spark, sf_dir):
 
 
 def _pages(spark, sf_dir) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("filing_id"), F.col("html").cast("binary").alias("raw"))
+    pages = spread(_table(spark, sf_dir, "pages").select("page_id", "html")).select(F.col("page_id").alias("filing_id"), F.col("html").cast("binary").alias("raw"))
     return sources.prepared(pages)
 
 
@@ -158,14 +163,14 @@ def page_conservation(spark, sf_dir):
 
 def filing_conservation(spark, sf_dir):
     """Token conservation of filings: what was stripped is in the ledger."""
-    f = filings(spark, sf_dir)
-    ruler, ledger = chrome.stripped(f.select("filing_id", "text"))
+    f = _filings(spark, sf_dir)
+    ruler, ledger = chrome.stripped(f)
     return completeness.conservation(f, f, ruler, ledger).select("filing_id", "passed", "n_source", "n_accounted", "n_missing", "n_extra")
 
 
 def item_sources(spark, sf_dir):
     """Where the spans of items lie in the text before chrome was cut out."""
-    f = stored(_undated(spark, sf_dir), "filings")
+    f = _undated(spark, sf_dir)
     run = segment_texts(f)
     whole = f.select("filing_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("source_start"), F.length("text").alias("source_end"), F.lit("raw_byte").alias("kind"))
     stretches = provenance.after_excision(whole, chrome.kept_ranges(f, run.ledger))
@@ -222,14 +227,13 @@ def layout_violations(spark, sf_dir):
 def user_sessions(spark, sf_dir):
     """Runs of events of a user with at most 30 minutes between them."""
     e = _table(spark, sf_dir, "events").withColumn("t", F.unix_timestamp("ts"))
-    return sessions(e, 1800, "user_id", "t").groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    return merged_sessions(e, 1800, "user_id", "t")
 
 
 def running_records(spark, sf_dir):
     """Events whose value exceeds all before it of the same user: the order filter on numbers."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = _table(spark, sf_dir, "events").withColumn("best", F.max("value").over(w))
-    return e.where("best is null or value > best").select("user_id", "event_id", "value")
+    e = _table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    return records(e, "user_id", "ts", "event_id", "value", F.to_date("ts")).select("user_id", "event_id", "value")
 
 
 def _line_spans(spark, sf_dir) -> DataFrame:
@@ -245,8 +249,7 @@ def shipping_islands(spark, sf_dir):
 
 def shipping_overlaps(spark, sf_dir):
     """How many intervals of a supplier begin before an earlier one ends."""
-    s = _line_spans(spark, sf_dir).withColumn("from", cursor("key", "end"))
-    return s.groupBy("key").agg(F.count_if(F.col("start") < F.col("from")).alias("n_overlaps"), F.count_if(F.col("start") > F.col("from")).alias("n_gaps"))
+    return clashes(_line_spans(spark, sf_dir), "key")
 
 
 def queries() -> dict[str, Query]:

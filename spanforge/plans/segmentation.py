@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.text import sized
 from spanforge.operators import chrome, completeness, front, gate, html, provenance, segment
 from spanforge.plans.eras import with_era
 from spanforge.sources.shared import stored
@@ -33,7 +34,7 @@ def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: Da
     """
     filings = stored(with_era(texts.select("filing_id", "fiscal_year_end")), "filings")
     ruler, ledger = chrome.stripped(texts.select("filing_id", "text"))
-    ruler = stored(ruler, "ruler", key="filing_id")
+    ruler = stored(sized(ruler), "ruler", key="filing_id")
     regions = stored(front.front_matter(ruler), "front")
     items, residual = segment.segment(ruler, regions, filings)
     found = stored(gate.violations(filings, ruler, items, residual, evidence, other), "violations")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from spanforge.plans.eras import NEWEST, item_rows
+from spanforge.sources.shared import spread
 
 DATES = ["1994-06-30", "2005-12-01", "2021-08-08", "2021-08-09", "2023-12-14", "2023-12-15"]
 EXPECTED = [r[2] for r in item_rows() if r[0] == NEWEST and r[5] is not None]
@@ -35,7 +36,7 @@ _DATE = "CASE " + " ".join(f"WHEN DIV % 6 = {k} THEN '{d}'" for k, d in enumerat
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """filing_id, text, fiscal_year_end."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     lines = docs.select(F.expr("doc_id div 8").alias("f"), "doc_id", F.posexplode(F.split("text", "[\n\f]", -1)).alias("pos", "line")).where(r"line rlike r'\S'")
     numbered = lines.selectExpr("f", "line", "row_number() over (partition by f order by doc_id, pos) - 1 as r", "count(*) over (partition by f) as n")
     dealt = numbered.selectExpr("f", "line", "r", "case when r % greatest(1, n div 24) = 0 then r div greatest(1, n div 24) end as s").withColumn("id", F.expr(_ID))
@@ -52,7 +53,7 @@ def _gzipped(text: pd.Series) -> pd.Series:
 def raw_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """filing_id, raw: bytes of six kinds made from ``pages``, by the page's number: HTML, inline XBRL with
     a period, plain text under a header with a date, Latin-1, gzip, and data that only begins like gzip."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
     fact = """concat('<html xmlns:ix="x"><body><p>For the year ended <ix:nonNumeric contextRef="c" name="dei:DocumentPeriodEndDate">December&nbsp;31, <b>',
       2000 + page_id % 20, '</b></ix:nonNumeric></p>', html, '</body></html>')"""
     header = r"concat('CONFORMED PERIOD OF REPORT:\t', 1994 + page_id % 20, '0630\nPlain text number ', page_id)"

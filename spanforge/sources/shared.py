@@ -17,6 +17,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (base or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table in few files over all cores, before work that is dear for each row.
+
+    A file with one row group is read by one task. Tables of at least as many files
+    as there are cores stay where they are.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def stored(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
     """The rows of df from Parquet files in the folder of ``spark.checkpoint.dir``.
 
