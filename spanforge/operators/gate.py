@@ -5,7 +5,7 @@ All are hard. items and residual are as ``segment`` makes them, or the caller's
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.intervals import cursor, gaps, overlaps
@@ -14,6 +14,19 @@ from spanforge.operators.segment import with_body
 from spanforge.plans.eras import era_items, permitted_absent
 
 NAMES = ["order", "no_overlap", "coverage", "residual_sanity", "legal_structure", "should_exist", "item8_xbrl", "cross_method", "cover_dominance"]
+#: What a violation says, by its code.
+MESSAGES = {
+    "order_violation": "behind an item that follows it in the legal order",
+    "overlap": "begins before the item ahead of it ends",
+    "coverage_overlap": "begins before the spans ahead of it end",
+    "coverage_gap": "text that no span holds",
+    "unclassified_residual": "a long stretch that is of no class",
+    "illegal_structure": "merged items that are no neighbours",
+    "missing_expected_item": "expected and not there",
+    "xbrl_mismatch": "away from its tagged facts",
+    "cross_method_disagree": "begins elsewhere by another method",
+    "oversized_cover_page": "a cover page of nearly the whole text",
+}
 LONG_UNCLASSIFIED = 200
 TOLERANCE = 5
 COVER_SHARE = 0.9
@@ -119,6 +132,13 @@ def violations(filings: DataFrame, ruler: DataFrame, items: DataFrame, residual:
     return out.withColumn("seq", (F.row_number().over(w) - 1).cast("int")).select("filing_id", "inv_no", "seq", "code", F.lit("hard").alias("severity"), "item_id", "start", "end")
 
 
+def message() -> Column:
+    """A sentence on a violation: the item if there is one, what is wrong, and where."""
+    said = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    place = F.concat(F.lit("at "), F.col("start"), F.lit(" to "), F.col("end"))
+    return F.concat_ws(" ", F.concat(F.lit("item "), F.col("item_id")), F.element_at(said, F.col("code")), place)
+
+
 def invariant_results(filings: DataFrame, found: DataFrame) -> DataFrame:
     """filing_id, invariant, passed: nine rows per filing."""
     names = found.sparkSession.createDataFrame([(i + 1, n) for i, n in enumerate(NAMES)], "inv_no int, invariant string")

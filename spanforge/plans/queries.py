@@ -13,7 +13,7 @@ from spanforge.operators import chrome, completeness, front, gate, html, provena
 from spanforge.plans import eras, reports
 from spanforge.plans.segmentation import result_json, segment_filings, segment_texts
 from spanforge.sources import filings as sources
-from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings, raw_filings
+from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings, paged_filings, raw_filings
 from spanforge.sources.shared import spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,7 +144,10 @@ def spot_check(spark, sf_dir):
 
 
 def result_documents(spark, sf_dir):
-    return result_json(_stage2(spark, sf_dir))
+    """Everything on a filing as one JSON text, with the places of items in the text before chrome was cut out."""
+    f = _undated(spark, sf_dir)
+    run = segment_texts(f)
+    return result_json(run, _whole_stretches(f, run))
 
 
 def _pages(spark, sf_dir) -> DataFrame:
@@ -168,14 +171,18 @@ def filing_conservation(spark, sf_dir):
     return completeness.conservation(f, f, ruler, ledger).select("filing_id", "passed", "n_source", "n_accounted", "n_missing", "n_extra")
 
 
+def _whole_stretches(f, run) -> DataFrame:
+    """Plain texts are one stretch each, cut where chrome was."""
+    whole = f.select("filing_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("source_start"), F.length("text").alias("source_end"), F.lit("raw_byte").alias("kind"))
+    return provenance.after_excision(whole, chrome.kept_ranges(f, run.ledger))
+
+
 def item_sources(spark, sf_dir):
     """Where the spans of items lie in the text before chrome was cut out."""
     f = _undated(spark, sf_dir)
     run = segment_texts(f)
-    whole = f.select("filing_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("source_start"), F.length("text").alias("source_end"), F.lit("raw_byte").alias("kind"))
-    stretches = provenance.after_excision(whole, chrome.kept_ranges(f, run.ledger))
     spans = run.items.where("start is not null").select("filing_id", "item_id", "start", "end")
-    return provenance.source_of(spans, stretches).select("filing_id", "item_id", *_long("start", "end"), "source_kind", *_long("source_start", "source_end"))
+    return provenance.source_of(spans, _whole_stretches(f, run)).select("filing_id", "item_id", *_long("start", "end"), "source_kind", *_long("source_start", "source_end"))
 
 
 def page_provenance(spark, sf_dir):
@@ -184,6 +191,20 @@ def page_provenance(spark, sf_dir):
     return stretches
 
 
+def _paged(spark, sf_dir):
+    return segment_filings(stored(sources.prepared(paged_filings(spark, sf_dir)), "paged"))[0]
+
+
+def ledger_classes(spark, sf_dir):
+    """What was taken out of filings in HTML, by class: running heads and hidden facts."""
+    return reports.ledger_classes(_paged(spark, sf_dir)).select("filing_id", "cls", "visible", "n", "n_chars", *_long("first"))
+
+
+def walk_errors(spark, sf_dir):
+    """The summary of filings some of which can't be walked."""
+    return reports.summary(_paged(spark, sf_dir)).select("filing_id", "n_spans", F.col("status") == "error", "error").toDF("filing_id", "n_spans", "failed", "error")
+
+
 def page_formats(spark, sf_dir):
     return _pages(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("n"), F.count("fiscal_year_end").alias("n_dated"))
 
@@ -256,7 +277,7 @@ def queries() -> dict[str, Query]:
     found = (
         page_tokens, document_lines, filing_texts, filing_eras, order_eras, chrome_lines, stripped_texts, front_matter, item_headings,
         accepted_items, items, residual_spans, violations, invariant_results, verdicts, dated_summary, item_sequences, residual_classes,
-        spot_check, result_documents, page_conservation, filing_conservation, item_sources, page_provenance, page_formats, raw_formats, layout_violations, user_sessions, running_records, shipping_islands, shipping_overlaps,
+        spot_check, result_documents, page_conservation, filing_conservation, item_sources, page_provenance, ledger_classes, walk_errors, page_formats, raw_formats, layout_violations, user_sessions, running_records, shipping_islands, shipping_overlaps,
     )
     return {f.__name__: f for f in found}
 
@@ -388,6 +409,31 @@ for _pattern, _by in [
 ]:
     _BARE = f"regexp_replace({_BARE}, '{_pattern}', '{_by}', 'g')"
 
+_SOURCES = """, moved AS (
+  SELECT filing_id, start AS source, sum(CASE WHEN chrome THEN 1 ELSE len(line) + 1 END) OVER (PARTITION BY filing_id ORDER BY pos) - CASE WHEN chrome THEN 1 ELSE len(line) + 1 END AS start FROM marked
+), sources AS (
+  SELECT i.filing_id, i.ord, i.item_id, CAST(i.start AS BIGINT) AS start, CAST(i.stop AS BIGINT) AS "end", 'raw_byte' AS source_kind, CAST(a.source AS BIGINT) AS source_start, CAST(coalesce(b.source, len(f.text)) AS BIGINT) AS source_end
+  FROM items i JOIN filings f ON f.filing_id = i.filing_id JOIN moved a ON a.filing_id = i.filing_id AND a.start = i.start LEFT JOIN moved b ON b.filing_id = i.filing_id AND b.start = i.stop WHERE i.start IS NOT NULL
+)"""
+# what each violation of the corpus says, written out apart from the engine's table
+_SAID = """CASE code WHEN 'coverage_overlap' THEN 'begins before the spans ahead of it end' WHEN 'unclassified_residual' THEN 'a long stretch that is of no class'
+  WHEN 'illegal_structure' THEN 'merged items that are no neighbours' WHEN 'missing_expected_item' THEN 'expected and not there' WHEN 'oversized_cover_page' THEN 'a cover page of nearly the whole text' END"""
+_RESULTS = _SOURCES + f""", each_item AS (
+  SELECT i.filing_id, list({{'item_id': i.item_id, 'part': i.part, 'start': i.start, 'end': i.stop, 'status': i.status,
+    'confidence': CASE WHEN v.codes IS NOT NULL THEN 'low' WHEN i.status IN ('reserved', 'incorporated_by_reference') THEN 'high' ELSE 'medium' END, 'method': 'deterministic', 'reason_codes': coalesce(v.codes, []),
+    'source_ref': CASE WHEN s.ord IS NOT NULL THEN {{'kind': s.source_kind, 'start': s.source_start, 'end': s.source_end}} END, 'merged_into': i.merged_into}} ORDER BY i.ord) AS items
+  FROM items i LEFT JOIN sources s ON s.filing_id = i.filing_id AND s.ord = i.ord
+  LEFT JOIN (SELECT filing_id, item_id, list(DISTINCT code) AS codes FROM violations WHERE item_id IS NOT NULL GROUP BY ALL) v ON v.filing_id = i.filing_id AND v.item_id = i.item_id GROUP BY i.filing_id
+), each_left AS (SELECT filing_id, list({{'start': start, 'end': stop, 'cls': cls}} ORDER BY start, stop, cls) AS residual FROM residual GROUP BY filing_id
+), each_bad AS (
+  SELECT filing_id, list({{'code': code, 'severity': 'hard', 'message': concat_ws(' ', 'item ' || item_id, {_SAID}, 'at ' || start || ' to ' || stop), 'item_id': item_id, 'start': start, 'end': stop}}
+    ORDER BY inv_no, start NULLS FIRST, stop NULLS FIRST, item_id NULLS FIRST) AS violations FROM violations GROUP BY filing_id
+), each_check AS (
+  SELECT r.filing_id, map_from_entries(list({{'k': invariant, 'v': NOT EXISTS (SELECT 1 FROM violations v WHERE v.filing_id = r.filing_id AND v.inv_no = names.inv_no)}} ORDER BY inv_no)) AS checks FROM ruler r, {_NAMES} GROUP BY r.filing_id
+) SELECT r.filing_id, CAST(to_json({{'items': coalesce(i.items, []), 'residual': coalesce(l.residual, []), 'status': CASE WHEN n > 0 THEN 'failed' ELSE 'pass' END, 'confidence': CASE WHEN n > 0 THEN 'low' ELSE 'high' END,
+    'verification_report': {{'violations': coalesce(b.violations, []), 'invariant_results': c.checks, 'status': CASE WHEN n > 0 THEN 'failed' ELSE 'pass' END, 'confidence': CASE WHEN n > 0 THEN 'low' ELSE 'high' END}}}}) AS VARCHAR) AS json
+  FROM verdict r LEFT JOIN each_item i ON i.filing_id = r.filing_id LEFT JOIN each_left l ON l.filing_id = r.filing_id LEFT JOIN each_bad b ON b.filing_id = r.filing_id JOIN each_check c ON c.filing_id = r.filing_id"""
+
 ORACLE = {
     "page_tokens": rf"""SELECT page_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (
   SELECT page_id, list_transform(regexp_extract_all({_BARE}, '[\p{{L}}\p{{N}}]+(?:[.,/\-&%][\p{{L}}\p{{N}}]+)*'), lambda x: lower(x)) AS t FROM pages)""",
@@ -413,6 +459,7 @@ ORACLE = {
     "verdicts": _sql(6, "SELECT filing_id, CASE WHEN n > 0 THEN 'failed' ELSE 'pass' END AS status, CASE WHEN n > 0 THEN 'low' ELSE 'high' END AS confidence, n AS n_violations FROM verdict"),
     "item_sequences": _sql(5, "SELECT filing_id, string_agg(concat_ws('/', item_id, part), ' ' ORDER BY ord) AS sequence FROM items GROUP BY filing_id"),
     "residual_classes": _sql(5, "SELECT filing_id, " + ", ".join(f"count(*) FILTER (WHERE cls = '{c}') AS {c}" for c in ("cover_page", "toc", "part_divider", "signatures", "unclassified")) + " FROM residual GROUP BY filing_id"),
+    "result_documents": _sql(6, _RESULTS),
     "spot_check": _sql(5, """SELECT i.filing_id, i.item_id, i.status, CAST(i.start AS BIGINT) AS start, CAST(i.stop AS BIGINT) AS "end", (r.text[i.start + 1 : i.stop])[1:90] AS head, right(r.text[i.start + 1 : i.stop], 60) AS tail,
   CAST(coalesce(i.start - lag(i.stop) OVER (PARTITION BY i.filing_id ORDER BY i.start), 0) AS BIGINT) AS delta, NOT regexp_matches(i.item_id, '[A-Z]$') AND i.status = 'extracted' AND i.stop - i.start < 200 AS short
   FROM items i JOIN ruler r ON r.filing_id = i.filing_id WHERE i.start IS NOT NULL"""),
@@ -421,10 +468,13 @@ ORACLE = {
   SELECT page_id, replace(replace(replace(replace({_BARE}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS html_text FROM pages))""",
     "filing_conservation": _sql(1, r"""SELECT filing_id, true AS passed, n AS n_source, n AS n_accounted, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM (
   SELECT filing_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[.,/\-&%][\p{L}\p{N}]+)*')) AS BIGINT) AS n FROM filings)"""),
-    "item_sources": _sql(5, """, moved AS (
-  SELECT filing_id, start AS source, sum(CASE WHEN chrome THEN 1 ELSE len(line) + 1 END) OVER (PARTITION BY filing_id ORDER BY pos) - CASE WHEN chrome THEN 1 ELSE len(line) + 1 END AS start FROM marked
-) SELECT i.filing_id, i.item_id, CAST(i.start AS BIGINT) AS start, CAST(i.stop AS BIGINT) AS "end", 'raw_byte' AS source_kind, CAST(a.source AS BIGINT) AS source_start, CAST(coalesce(b.source, len(f.text)) AS BIGINT) AS source_end
-  FROM items i JOIN filings f ON f.filing_id = i.filing_id JOIN moved a ON a.filing_id = i.filing_id AND a.start = i.start LEFT JOIN moved b ON b.filing_id = i.filing_id AND b.start = i.stop WHERE i.start IS NOT NULL"""),
+    "item_sources": _sql(5, _SOURCES + """
+  SELECT filing_id, item_id, start, "end", source_kind, source_start, source_end FROM sources"""),
+    "ledger_classes": """WITH p AS (SELECT page_id AS filing_id, page_id % 5 AS k FROM pages WHERE page_id % 7 <> 6)
+  SELECT filing_id, 'xbrl_hidden' AS cls, false AS visible, 1::BIGINT AS n, CAST(7 + len(CAST(filing_id AS VARCHAR)) AS BIGINT) AS n_chars, 12::BIGINT AS first FROM p
+  UNION ALL SELECT filing_id, 'page_header_footer', true, k, 11 * k, CAST(108 + len(CAST(filing_id AS VARCHAR)) AS BIGINT) FROM p WHERE k >= 3""",
+    "walk_errors": """SELECT page_id AS filing_id, CASE WHEN page_id % 7 <> 6 THEN 0::BIGINT END AS n_spans, page_id % 7 = 6 AS failed,
+  CASE WHEN page_id % 7 = 6 THEN 'walk: unknown status keyword ''bogus'' in marked section' END AS error FROM pages""",
     "page_formats": "SELECT 'html' AS generation, count(*) AS n, 0::BIGINT AS n_dated FROM pages",
     "raw_formats": """SELECT page_id AS filing_id, CASE page_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'html_xbrl' WHEN 2 THEN 'ascii' WHEN 3 THEN 'ascii' WHEN 4 THEN 'html' END AS generation,
   CASE page_id % 6 WHEN 1 THEN CAST(2000 + page_id % 20 AS VARCHAR) || '-12-31' WHEN 2 THEN CAST(1994 + page_id % 20 AS VARCHAR) || '-06-30' END AS fiscal_year_end,

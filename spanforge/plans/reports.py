@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.gate import NAMES
 from spanforge.operators.segment import with_body
-from spanforge.plans.segmentation import Segmented
+from spanforge.plans.segmentation import Segmented, ledger
 
 SHORT = 200
 
 
 def summary(run: Segmented) -> DataFrame:
-    """One row per filing: year end, era, items, items with a span, checks passed, violations, verdict."""
+    """One row per filing: year end, era, items, items with a span, checks passed, violations, verdict.
+    Filings that could not be walked have a row with status ``error`` and the ``error``."""
     items = run.items.groupBy("filing_id").agg(F.count("*").alias("n_items"), F.count_if(F.col("start").isNotNull() & F.col("merged_into").isNull()).alias("n_spans"))
     failed = run.violations.groupBy("filing_id").agg(F.count_distinct("inv_no").alias("n_failed"))
     out = run.filings.join(run.verdicts, "filing_id").join(items, "filing_id", "left").join(failed, "filing_id", "left").na.fill(0, ["n_items", "n_spans", "n_failed"])
-    return out.select("filing_id", "fiscal_year_end", "era_id", "n_items", "n_spans", (F.lit(len(NAMES)) - F.col("n_failed")).cast("long").alias("n_passed"), "n_violations", "status", "confidence")
+    out = out.select("filing_id", "fiscal_year_end", "era_id", "n_items", "n_spans", (F.lit(len(NAMES)) - F.col("n_failed")).cast("long").alias("n_passed"), "n_violations", "status", "confidence")
+    if run.failed is None:
+        return out
+    return out.unionByName(run.failed.select("filing_id", F.lit("error").alias("status"), "error"), allowMissingColumns=True)
 
 
 def item_sequence(run: Segmented) -> DataFrame:
@@ -32,6 +36,11 @@ def classes(run: Segmented) -> DataFrame:
     return run.residual.groupBy("filing_id").pivot("cls", known).count().na.fill(0)
 
 
+def ledger_classes(run: Segmented) -> DataFrame:
+    """filing_id, cls, visible, n, n_chars, first: what was taken out of each walked filing, by class."""
+    return ledger(run).groupBy("filing_id", "cls", "visible").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.min("source_start").alias("first"))
+
+
 def spot_check(run: Segmented) -> DataFrame:
     """Per item span its first 90 and last 60 characters, the distance from the span before, and whether it is short for a main item."""
     spans = run.items.where("start is not null").select("filing_id", "item_id", "status", "start", "end")

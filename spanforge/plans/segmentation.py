@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,9 @@ class Segmented:
     residual: DataFrame
     violations: DataFrame
     verdicts: DataFrame
+    #: What the HTML walk gave, and (filing_id, error) of the filings it failed on; none for plain texts.
+    walked: DataFrame | None = None
+    failed: DataFrame | None = None
 
 
 def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: DataFrame | None = None) -> Segmented:
@@ -44,25 +47,57 @@ def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: Da
 def segment_filings(filings: DataFrame) -> tuple[Segmented, DataFrame, DataFrame]:
     """filings(filing_id, raw_text, generation, fiscal_year_end), as ``sources.filings.prepared``
     gives them: the run, its completeness report, and its provenance."""
-    walked = stored(html.walk(filings), "walked")
+    every = stored(html.walk(filings), "walked")
+    walked, failed = every.where("error is null"), every.where("error is not null").select("filing_id", "error")
+    filings = filings.join(failed, "filing_id", "left_anti")
     run = segment_texts(walked.join(filings.select("filing_id", "fiscal_year_end"), "filing_id").select("filing_id", "text", "fiscal_year_end"))
+    run = replace(run, walked=walked, failed=failed)
     baseline = filings.select("filing_id", html.baseline_text(F.col("raw_text"), F.col("generation")).alias("text"))
     report = completeness.conservation(filings, baseline, run.ruler, run.ledger)
     kept = chrome.kept_ranges(walked, run.ledger)
     return run, report, provenance.after_excision(provenance.segments(walked), kept)
 
 
-def results(run: Segmented) -> DataFrame:
-    """filing_id, result: one nested row per filing, for JSON."""
-    items = run.items.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("ord", "item_id", "part", "start", "end", "status", "confidence", "reason_codes", "merged_into"))).alias("items"))
-    left = run.residual.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("ord", "start", "end", "cls"))).alias("residual"))
-    bad = run.violations.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("inv_no", "seq", "code", "severity", "item_id", "start", "end"))).alias("violations"))
-    checks = gate.invariant_results(run.filings, run.violations).groupBy("filing_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("inv_no", "invariant", "passed"))), lambda x: F.struct(x["invariant"], x["passed"]))).alias("invariants"))
+def ledger(run: Segmented) -> DataFrame:
+    """filing_id, cls, visible, source_start, source_end, text of all that was taken out of a walked filing:
+    page heads, feet and numbers, which showed, and hidden facts, which did not. Places are those of the source."""
+    own = provenance.source_of(run.ledger, provenance.segments(run.walked))
+    heads = own.select("filing_id", F.lit("page_header_footer").alias("cls"), "source_start", "source_end", "text")
+    facts = run.walked.select("filing_id", F.inline("hidden")).select("filing_id", F.lit("xbrl_hidden").alias("cls"), "source_start", "source_end", "text")
+    return heads.unionByName(facts).select("filing_id", "cls", (F.col("cls") != "xbrl_hidden").alias("visible"), "source_start", "source_end", "text")
+
+
+def results(run: Segmented, stretches: DataFrame | None = None) -> DataFrame:
+    """filing_id, result: one nested row per filing, for JSON.
+
+    stretches(filing_id, start, end, source_start, source_end, kind), where given, say where items lie in the source.
+    """
+    def listed(rows: DataFrame, order: list[str], each: list, name: str) -> DataFrame:
+        per = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*each).alias("x")))), lambda v: v["x"])
+        return rows.groupBy("filing_id").agg(per.alias(name))
+
+    items = run.items
+    if stretches is None:
+        source = F.lit(None).cast("struct<kind:string,start:int,end:int>")
+    else:
+        found = provenance.source_of(items.where("start is not null").select("filing_id", "ord", "start", "end"), stretches)
+        items = items.join(found.drop("start", "end"), ["filing_id", "ord"], "left")
+        source = F.when(F.col("source_kind").isNotNull(), F.struct(F.col("source_kind").alias("kind"), F.col("source_start").alias("start"), F.col("source_end").alias("end")))
+    own = ["item_id", "part", "start", "end", "status", "confidence", F.lit("deterministic").alias("method"), "reason_codes", source.alias("source_ref"), "merged_into"]
+    parts = [
+        listed(items, ["ord"], own, "items"),
+        listed(run.residual, ["start", "end", "cls"], ["start", "end", "cls"], "residual"),
+        listed(run.violations, ["inv_no", "seq"], ["code", "severity", gate.message().alias("message"), "item_id", "start", "end"], "violations"),
+    ]
+    checks = gate.invariant_results(run.filings, run.violations).groupBy("filing_id").agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("inv_no", "invariant", "passed"))), lambda x: F.struct(x["invariant"], x["passed"]))).alias("invariant_results"))
     out = run.verdicts
-    for part in (items, left, bad, checks):
+    for part in (*parts, checks):
         out = out.join(part, "filing_id", "left")
-    return out.select("filing_id", F.struct("status", "confidence", "items", "residual", "violations", "invariants").alias("result"))
+    filled = [F.coalesce(n, F.array()).alias(n) for n in ("items", "residual")]
+    report = F.struct(F.coalesce("violations", F.array()).alias("violations"), "invariant_results", "status", "confidence").alias("verification_report")
+    return out.select("filing_id", F.struct(*filled, "status", "confidence", report).alias("result"))
 
 
-def result_json(run: Segmented) -> DataFrame:
-    return results(run).select("filing_id", F.to_json("result").alias("json"))
+def result_json(run: Segmented, stretches: DataFrame | None = None) -> DataFrame:
+    """filing_id, json: the results with their nulls."""
+    return results(run, stretches).select("filing_id", F.to_json("result", {"ignoreNullFields": "false"}).alias("json"))

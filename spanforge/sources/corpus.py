@@ -63,6 +63,16 @@ def raw_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("filing_id", F.coalesce("raw", "packed").alias("raw"))
 
 
+def paged_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filing_id, raw: for each page an inline-XBRL filing with a hidden fact and k = 0 to 4 sheets under
+    one running head; every seventh is markup that no parser takes."""
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("filing_id")))
+    sheets = "array_join(transform(sequence(0, filing_id % 5), j -> case when j > 0 then concat('<p>ACME REPORT</p><p>Sheet number ', j, ' of it</p>') else '' end), '')"
+    raw = f"""concat('<html><body><ix:header><ix:hidden><ix:nonNumeric name="a">secret ', filing_id, '</ix:nonNumeric></ix:hidden></ix:header>',
+      {sheets}, case when filing_id % 7 = 6 then '<![bogus[x]]>' else '' end, '</body></html>')"""
+    return pages.select("filing_id", F.expr(raw).cast("binary").alias("raw"))
+
+
 FYE_SQL = _DATE.replace("DIV", "(f // 6)")
 FILINGS_SQL = rf"""
 lines0 AS (

@@ -54,7 +54,8 @@ def test_reports(run):
     s = {r["filing_id"]: r for r in reports.summary(run).collect()}
     assert (s[1]["n_items"], s[1]["n_passed"], s[1]["era_id"]) == (21, 9, "era_2023") and s[2]["era_id"] == "era_1994"
     doc = {r["filing_id"]: json.loads(r["json"]) for r in result_json(run).collect()}[1]
-    assert doc["status"] == "pass" and len(doc["items"]) == 21 and all(doc["invariants"].values())
+    assert doc["status"] == "pass" and len(doc["items"]) == 21 and all(doc["verification_report"]["invariant_results"].values())
+    assert all(i["method"] == "deterministic" and i["source_ref"] is None for i in doc["items"])
 
 
 def _gate(spark, items, residual, length=100, fye=None, other=None, evidence=None, text=None):
@@ -197,6 +198,42 @@ def test_broken_files_are_rows(spark, tmp_path):
     assert row["filing_id"].endswith("c.gz") and row["error"].startswith("gunzip: ")
 
 
+def test_markup_no_parser_takes_is_a_row(spark):
+    raw = [(1, b"<html><body><p>Item 1. Business</p><p>shown</p></body></html>"), (2, b"<html><p>a</p><![bogus[x]]></html>"), (3, b"plain")]
+    run, report, _ = segment_filings(prepared(spark.createDataFrame(raw, "filing_id long, raw binary")))
+    assert {r["filing_id"]: r["error"] is None for r in reports.summary(run).collect()} == {1: True, 2: False, 3: True}
+    assert {r["filing_id"] for r in report.collect()} == {1, 3} and [r["error"][:5] for r in run.failed.collect()] == ["walk:"]
+
+
+def test_every_code_has_a_message(spark):
+    df = spark.createDataFrame([("overlap", "2", 5, 9), ("missing_expected_item", "3", None, None), ("coverage_gap", None, 1, 2)], "code string, item_id string, start int, end int")
+    assert [r["m"] for r in df.select(gate.message().alias("m")).collect()] == [
+        "item 2 begins before the item ahead of it ends at 5 to 9", "item 3 expected and not there", "text that no span holds at 1 to 2",
+    ]
+
+
+def test_hot_keys_give_the_same_rows(spark):
+    """What is combined before the windows, against the plain windows."""
+    import random
+
+    from pyspark.sql import Window
+
+    from spanforge.functions import intervals as v
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2]), i, rng.randrange(4000), rng.choice([None, *range(60)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "key long, id long, t int, value int")
+    plain = v.sessions(df, 30, "key", "t").groupBy("key", "run").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    got = v.merged_sessions(df, 30, "key", "t")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    w = Window.partitionBy("key").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    best = df.withColumn("best", F.max("value").over(w)).where("best is null or value > best").select("id")
+    assert sorted(map(tuple, v.records(df, "key", "t", "id", "value", F.floor(F.col("t") / 100)).select("id").collect())) == sorted(map(tuple, best.collect()))
+    spans = df.select("key", (F.col("t") % 300).alias("start"), (F.col("t") % 300 + F.col("id") % 3 + 1).alias("end"))
+    late = spans.withColumn("from", v.cursor("key", "end")).groupBy("key").agg(F.count_if(F.col("start") < F.col("from")), F.count_if(F.col("start") > F.col("from")))
+    assert sorted(map(tuple, v.clashes(spans, "key").collect())) == sorted(map(tuple, late.collect()))
+
+
 def test_stored_tables_leave_no_name(spark):
     from spanforge.sources.shared import stored
 
