@@ -84,11 +84,17 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup, op5_substring_dedup,
         op6_toxicity, op7_simhash, op8_lm_scoring, op9_pii, op10_quality_rules,
-        op12_cross_tokenizer,
+        op12_cross_tokenizer, op13_centroid_clustering,
     )
     return {f.__name__: f for f in found}
 
@@ -143,5 +149,30 @@ FROM dw d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
 
+def _clustering_sql() -> str:
+    """Ten rounds, each a table of distances and a table of centroids."""
+    parts = ["""q AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""", """c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS k, v AS c FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM q ORDER BY h, v LIMIT 8)
+)"""]
+    near = """a{i} AS MATERIALIZED (
+  SELECT vec_id, v, k, d FROM (SELECT vec_id, v, k, CAST(list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM q, c{i})
+  QUALIFY row_number() OVER (PARTITION BY vec_id, v ORDER BY d, k) = 1
+)"""
+    step = """c{j} AS MATERIALIZED (
+  SELECT k, coalesce(m.c, o.c) AS c FROM c{i} o LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS c FROM (
+      SELECT k, p, sum(v[p]) AS s, count(*) AS n FROM a{i}, LATERAL unnest(range(1, 65)) AS u(p) GROUP BY k, p) GROUP BY k) m USING (k)
+)"""
+    for i in range(10):
+        parts += [near.format(i=i), step.format(i=i, j=i + 1)]
+    parts.append(near.format(i=10))
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, k AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a10 JOIN c10 USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION_SQL, "op4_line_dedup": LINE_DEDUP_SQL}
+    return {"op13_centroid_clustering": _clustering_sql(), "op2_decontamination": DECONTAMINATION_SQL, "op4_line_dedup": LINE_DEDUP_SQL}
