@@ -77,6 +77,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("distance")
 
 
+def op11_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanforge.llm.suffixdedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanforge.llm.crosstok import align
     from spanforge.llm.tokenids import tokenizer_path
@@ -94,7 +100,7 @@ def queries() -> dict[str, Query]:
     found = (
         op1_best_fit_packing, op2_decontamination, op3_token_ids, op4_line_dedup, op5_substring_dedup,
         op6_toxicity, op7_simhash, op8_lm_scoring, op9_pii, op10_quality_rules,
-        op12_cross_tokenizer, op13_centroid_clustering,
+        op11_suffix_array, op12_cross_tokenizer, op13_centroid_clustering,
     )
     return {f.__name__: f for f in found}
 
