@@ -5,9 +5,11 @@ Java's ``\\s`` and ``trim`` know ASCII alone, so the classes are spelled out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.arrays import let, sums_before
+
 WS = r"[\p{IsWhite_Space}\x1c-\x1f]"
 #: White space but no line feed.
 GAP = r"[\p{IsWhite_Space}\x1c-\x1f&&[^\n]]"
@@ -54,19 +56,20 @@ def lengths(texts: DataFrame, key: str = "filing_id") -> DataFrame:
     return (texts if "length" in texts.columns else sized(texts)).select(key, "length")
 
 
-def line_table(texts: DataFrame, pattern: str, key: str = "filing_id", text: str = "text") -> DataFrame:
-    """key, pos, start, line: the text cut at single characters of a class, with offsets.
+def lines_of(text: Column, pattern: str) -> Column:
+    """pos, start, line of each line of a text cut at single characters of a class, as an array of the row."""
+    def placed(lines: Column) -> Column:
+        starts = sums_before(F.transform(lines, lambda x: F.length(x) + 1))
+        return let(starts, lambda at: F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.get(at, i).alias("start"), x.alias("line"))))
+
+    return let(F.split(text, pattern, -1), placed)
 
-    One window over the key; later windows over it need no further shuffle.
-    """
-    cut = texts.select(key, F.posexplode(F.split(text, pattern, -1)).alias("pos", "line"))
-    before = F.sum(F.length("line") + 1).over(Window.partitionBy(key).orderBy("pos")) - F.length("line") - 1
-    return cut.select(key, "pos", before.cast("int").alias("start"), "line")
+
+def line_table(texts: DataFrame, pattern: str, key: str = "filing_id", text: str = "text") -> DataFrame:
+    """key, pos, start, line: the text cut at single characters of a class, with offsets. Nothing is shuffled."""
+    return texts.select(key, F.inline(lines_of(F.col(text), pattern)))
 
 
 def some_lines(texts: DataFrame, pattern: str, wanted, key: str = "filing_id", text: str = "text") -> DataFrame:
-    """The rows of ``line_table`` whose line is wanted(line): of all other lines only the lengths are moved."""
-    each = F.transform(F.split(text, pattern, -1), lambda x: F.struct(F.length(x).alias("size"), F.when(wanted(x), x).alias("line")))
-    cut = texts.select(key, F.posexplode(each).alias("pos", "l")).select(key, "pos", "l.*")
-    before = F.sum(F.col("size") + 1).over(Window.partitionBy(key).orderBy("pos")) - F.col("size") - 1
-    return cut.withColumn("start", before.cast("int")).where("line is not null").select(key, "pos", "start", "line")
+    """The rows of ``line_table`` whose line is wanted(line): the others never leave the row of their text."""
+    return texts.select(key, F.inline(F.filter(lines_of(F.col(text), pattern), lambda x: wanted(x["line"]))))

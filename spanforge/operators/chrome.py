@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanforge.functions.text import WS, lengths, some_lines, squash, strip, word_count
+from spanforge.functions.arrays import let, repeated
+from spanforge.functions.text import WS, lengths, lines_of, squash, strip, word_count
 
 LINE_BREAKS = "[\n\f]"
 MIN_REPEATS = 3
@@ -21,48 +22,45 @@ NUMBERS = "\n"
 
 def label(line: Column) -> Column:
     """What a line repeats if it is chrome: its text without white space and case, or that it is a page number; else null."""
-    s = strip(line)
-    eligible = (F.length(s) > 0) & (F.length(s) <= MAX_LENGTH) & ~s.rlike(ITEM_LINE)
-    prose = s.rlike(r"[.!?]$") & (word_count(s) >= PROSE_WORDS)
-    return F.when(eligible & s.rlike(PAGE_NUMBER), F.lit(NUMBERS)).when(eligible & ~prose, F.lower(squash(s)))
+    def told(s: Column) -> Column:
+        eligible = (F.length(s) > 0) & (F.length(s) <= MAX_LENGTH) & ~s.rlike(ITEM_LINE)
+        prose = s.rlike(r"[.!?]$") & (word_count(s) >= PROSE_WORDS)
+        return F.when(eligible, F.when(s.rlike(PAGE_NUMBER), F.lit(NUMBERS)).when(~prose, F.lower(squash(s))))
 
+    return let(strip(line), told)
 
-def with_repeats(texts: DataFrame) -> DataFrame:
-    """filing_id, text, repeats: the labels that stand three times in a filing, or null.
 
-    Labels are counted before they are shuffled, and no text moves with them.
+def cut(texts: DataFrame) -> DataFrame:
+    """filing_id, text, heads: each text without its chrome, and what was cut out as an array of start, end, text in old offsets.
+
+    A short line is chrome if the same text, white space and case aside, stands
+    three times in its filing, unless it opens an item or reads like a sentence;
+    page numbers are chrome if there are three of any kind. The line breaks stay. A
+    null text has no row. All of it happens in the row of the text.
     """
-    labels = texts.select("filing_id", F.explode(F.split("text", LINE_BREAKS, -1)).alias("line")).select("filing_id", label(F.col("line")).alias("label")).where("label is not null")
-    often = labels.groupBy("filing_id", "label").count().where(F.col("count") >= MIN_REPEATS)
-    per = often.groupBy("filing_id").agg(F.collect_list("label").alias("repeats"))
-    return texts.select("filing_id", "text").join(per, "filing_id", "left")
+    lined = texts.where("text is not null").select("filing_id", "text", lines_of(F.col("text"), LINE_BREAKS).alias("lines"))
+    flags = repeated(F.transform("lines", lambda x: label(x["line"])), MIN_REPEATS)
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
+    def apart(yes: Column) -> Column:
+        heads = F.transform(F.filter("lines", lambda x: F.get(yes, x["pos"])), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["line"])).alias("end"), x["line"].alias("text")))
+        breaks = F.regexp_extract_all("text", F.lit(LINE_BREAKS), F.lit(0))
+        kept = let(breaks, lambda b: F.transform("lines", lambda x: F.concat(F.when(F.get(yes, x["pos"]), "").otherwise(x["line"]), F.coalesce(F.get(b, x["pos"]), F.lit("")))))
+        any_ = F.exists(yes, lambda x: x)
+        return F.struct(F.when(any_, F.array_join(kept, "")).otherwise(F.col("text")).alias("text"), F.when(any_, heads).otherwise(none).alias("heads"))
 
-def _is_chrome(line: Column) -> Column:
-    return F.coalesce(F.array_contains("repeats", label(line)), F.lit(False))
+    return lined.select("filing_id", let(flags, apart).alias("c")).select("filing_id", "c.text", "c.heads")
 
 
-def chrome_lines(repeats: DataFrame) -> DataFrame:
-    """filing_id, pos, start, line of the lines that are page chrome.
-
-    A short line is chrome if the same text, white space and case aside, stands
-    three times in its filing, unless it opens an item or reads like a sentence;
-    page numbers are chrome if there are three of any kind.
-    """
-    return some_lines(repeats.where("repeats is not null"), LINE_BREAKS, _is_chrome)
+def heads(found: DataFrame) -> DataFrame:
+    """The ledger (filing_id, start, end, text) of what ``cut`` found."""
+    return found.select("filing_id", F.inline("heads"))
 
 
 def stripped(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(filing_id, text) without chrome, and the ledger (filing_id, start, end, text) in old offsets.
-
-    The line breaks stay. A null text has no row.
-    """
-    found = with_repeats(texts.where("text is not null"))
-    breaks = F.regexp_extract_all("text", F.lit(LINE_BREAKS), F.lit(0))
-    kept = F.zip_with(F.split("text", LINE_BREAKS, -1), breaks, lambda x, b: F.concat(F.when(_is_chrome(x), "").otherwise(x), F.coalesce(b, F.lit(""))))
-    text = F.when(F.col("repeats").isNull(), F.col("text")).otherwise(F.array_join(kept, ""))
-    ledger = chrome_lines(found).select("filing_id", "start", (F.col("start") + F.length("line")).alias("end"), F.col("line").alias("text"))
-    return found.select("filing_id", text.alias("text")), ledger
+    """(filing_id, text) without chrome, and the ledger (filing_id, start, end, text) in old offsets."""
+    found = cut(texts)
+    return found.select("filing_id", "text"), heads(found)
 
 
 def kept_ranges(texts: DataFrame, ledger: DataFrame) -> DataFrame:

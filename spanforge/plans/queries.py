@@ -73,8 +73,7 @@ def order_eras(spark, sf_dir):
 
 
 def chrome_lines(spark, sf_dir):
-    found = chrome.chrome_lines(chrome.with_repeats(_filings(spark, sf_dir)))
-    return found.select("filing_id", *_long("start"), (F.col("start") + F.length("line")).cast("long").alias("end"), "line")
+    return chrome.heads(chrome.cut(_filings(spark, sf_dir))).select("filing_id", *_long("start", "end"), F.col("text").alias("line"))
 
 
 def stripped_texts(spark, sf_dir):

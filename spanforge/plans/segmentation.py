@@ -36,8 +36,8 @@ def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: Da
     Tables that many branches read are stored, so no plan grows beyond one step.
     """
     filings = stored(with_era(texts.select("filing_id", "fiscal_year_end")), "filings")
-    ruler, ledger = chrome.stripped(texts.select("filing_id", "text"))
-    ruler = stored(sized(ruler), "ruler", key="filing_id")
+    found = stored(sized(chrome.cut(texts.select("filing_id", "text"))), "ruler", key="filing_id")
+    ruler, ledger = found.drop("heads"), chrome.heads(found)
     regions = stored(front.front_matter(ruler), "front")
     items, residual = segment.segment(ruler, regions, filings)
     found = stored(gate.violations(filings, ruler, items, residual, evidence, other), "violations")
