@@ -1,34 +1,80 @@
-"""Token conservation: no visible word of the source may be lost or made up."""
+"""Token conservation: no visible word of the source may be lost or made up.
+
+Each text is summed up in its row as the number of its tokens and the sums of four
+32-bit hashes of them. Such sums add up over texts and do not depend on the order, so
+two sets of texts with equal sums hold the same tokens. Only filings whose sums differ
+send their tokens to a join.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.text import tokens
+from spanforge.sources.shared import stored
 
-EXAMPLES = 50
+EXAMPLES, SHOWN = 50, 10
+SUMS = ["n", "a", "b", "c", "d"]
 
 
-def token_counts(texts: DataFrame, name: str, text: str = "text") -> DataFrame:
-    """filing_id, token, name: the token multiset of one or more texts per filing."""
-    return texts.select("filing_id", F.explode(tokens(F.col(text))).alias("token")).groupBy("filing_id", "token").agg(F.count("*").alias(name))
+def fingerprint(text: Column) -> Column:
+    """The sums of a text as a struct of ``SUMS``; 32 bits at a time, so that two billion tokens do not overflow."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in SUMS])
 
+    def added(acc: Column, token: Column) -> Column:
+        one, two = F.xxhash64(token), F.xxhash64(F.lit(1), token)
+        parts = [F.lit(1), *[p for h in (one, two) for p in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]]
+        return F.struct(*[(acc[n] + p).cast("long").alias(n) for n, p in zip(SUMS, parts)])
 
-def conservation(filings: DataFrame, baseline: DataFrame, ruler: DataFrame, visible_ledger: DataFrame) -> DataFrame:
-    """filing_id, passed, n_source, n_accounted, n_missing, n_extra, missing, extra.
+    return F.aggregate(tokens(text), zero, added)
 
-    Ruler and visible ledger entries are added up (entries are tokenized one by
-    one) and compared with the baseline in one full outer join per token.
+
+def fingerprints(texts: DataFrame, suffix: str) -> DataFrame:
+    """filing_id and the sums over one or more texts per filing; a row of numbers per text is all that moves."""
+    each = texts.select("filing_id", fingerprint(F.col("text")).alias("f"))
+    return each.groupBy("filing_id").agg(*[F.sum(f"f.{n}").alias(f"{n}_{suffix}") for n in SUMS])
+
+
+def token_counts(texts: DataFrame, name: str) -> DataFrame:
+    """filing_id, token, name, and where it first stands, of texts(filing_id, part, text): the token multiset of a filing."""
+    each = texts.select("filing_id", "part", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    return each.groupBy("filing_id", "token").agg(F.count("*").alias(name), F.min(F.struct("part", "pos")).alias(f"at_{name}"))
+
+
+def _examples(differing: DataFrame, kind: str, at: str) -> DataFrame:
+    """filing_id, kind_examples: the first tokens by where they first stand, each as often as it differs.
+
+    Ranks are limited before tokens are gathered, so that a filing that has lost all its words gathers no more.
     """
-    own = token_counts(ruler.select("filing_id", "text").unionByName(visible_ledger.select("filing_id", "text")), "have")
-    both = token_counts(baseline, "want").join(own, ["filing_id", "token"], "full_outer").na.fill(0, ["want", "have"])
-    both = both.withColumns({"missing": F.greatest(F.col("want") - F.col("have"), F.lit(0)), "extra": F.greatest(F.col("have") - F.col("want"), F.lit(0))})
+    w = Window.partitionBy("filing_id").orderBy(at, "token")
+    few = differing.where(F.col(kind) > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= EXAMPLES)
+    per = few.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token", F.least(F.col(kind), F.lit(EXAMPLES)).cast("int").alias("n")))).alias("x"))
+    repeated = F.flatten(F.transform("x", lambda x: F.array_repeat(x["token"], x["n"])))
+    return per.select("filing_id", F.slice(repeated, 1, EXAMPLES).alias(f"{kind}_examples"))
+
 
-    def some(c):
-        few = F.slice(F.array_sort(F.collect_list(F.when(F.col(c) > 0, F.struct("token", F.least(F.col(c), F.lit(EXAMPLES)).cast("int").alias("n"))))), 1, EXAMPLES)
-        return F.slice(F.flatten(F.transform(few, lambda x: F.array_repeat(x["token"], x["n"]))), 1, EXAMPLES).alias(f"{c}_examples")
+def conservation(filings: DataFrame, baseline: DataFrame, ruler: DataFrame, visible_ledger: DataFrame) -> DataFrame:
+    """filing_id, passed, n_source, n_accounted, n_missing, n_extra, missing_examples, extra_examples.
 
-    per = both.groupBy("filing_id").agg(F.sum("want").alias("n_source"), F.sum("have").alias("n_accounted"), F.sum("missing").alias("n_missing"), F.sum("extra").alias("n_extra"), some("missing"), some("extra"))
-    out = filings.select("filing_id").join(per, "filing_id", "left").na.fill(0, ["n_source", "n_accounted", "n_missing", "n_extra"])
-    return out.select("filing_id", ((F.col("n_missing") == 0) & (F.col("n_extra") == 0)).alias("passed"), "n_source", "n_accounted", "n_missing", "n_extra", "missing_examples", "extra_examples")
+    Ruler and visible ledger entries are added up (entries are tokenized one by
+    one) and compared with the baseline. Examples come in the order in which their tokens
+    first stand in the source, or in the ruler and then the ledger; ``EXAMPLES`` at most.
+    """
+    at = F.col("start") if "start" in visible_ledger.columns else F.lit(0)
+    own = ruler.select("filing_id", F.lit(-1).alias("part"), "text").unionByName(visible_ledger.select("filing_id", at.cast("int").alias("part"), "text"))
+    want, have = fingerprints(baseline, "want"), fingerprints(own, "have")
+    both = filings.select("filing_id").join(want, "filing_id", "left").join(have, "filing_id", "left").na.fill(0)
+    both = stored(both.select("filing_id", "n_want", "n_have", (F.array(*[f"{n}_want" for n in SUMS]) == F.array(*[f"{n}_have" for n in SUMS])).alias("passed")), "balances")
+    unequal = both.where("not passed").select("filing_id")
+    counts = [token_counts(x.join(unequal, "filing_id", "left_semi"), n) for x, n in ((baseline.select("filing_id", F.lit(0).alias("part"), "text"), "want"), (own, "have"))]
+    each = counts[0].join(counts[1], ["filing_id", "token"], "full_outer").na.fill(0, ["want", "have"])
+    each = each.withColumns({"missing": F.greatest(F.col("want") - F.col("have"), F.lit(0)), "extra": F.greatest(F.col("have") - F.col("want"), F.lit(0))})
+    each = stored(each.where("missing + extra > 0"), "differing-tokens")
+    sums = each.groupBy("filing_id").agg(F.sum("missing").alias("n_missing"), F.sum("extra").alias("n_extra"))
+    out = both.join(sums, "filing_id", "left").join(_examples(each, "missing", "at_want"), "filing_id", "left").join(_examples(each, "extra", "at_have"), "filing_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "filing_id", "passed", F.col("n_want").alias("n_source"), F.col("n_have").alias("n_accounted"), *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_missing", "n_extra")],
+        *[F.coalesce(n, none).alias(n) for n in ("missing_examples", "extra_examples")],
+    )

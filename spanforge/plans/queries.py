@@ -170,6 +170,15 @@ def filing_conservation(spark, sf_dir):
     return completeness.conservation(f, f, ruler, ledger).select("filing_id", "passed", "n_source", "n_accounted", "n_missing", "n_extra")
 
 
+def conservation_examples(spark, sf_dir):
+    """The words that filings lose if what is cut out of them were not in the ledger: how many, the first ten and the first fifty."""
+    f = _filings(spark, sf_dir)
+    ruler, ledger = chrome.stripped(f)
+    found = completeness.conservation(f, f, ruler, ledger.where("false"))
+    words = lambda n: F.array_join(F.slice("missing_examples", 1, n), " ")
+    return found.select("filing_id", "passed", "n_source", "n_missing", "n_extra", words(completeness.SHOWN).alias("first_ten"), words(completeness.EXAMPLES).alias("first_fifty"))
+
+
 def _whole_stretches(f, run) -> DataFrame:
     """Plain texts are one stretch each, cut where chrome was."""
     whole = f.select("filing_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("source_start"), F.length("text").alias("source_end"), F.lit("raw_byte").alias("kind"))
@@ -276,7 +285,7 @@ def queries() -> dict[str, Query]:
     found = (
         page_tokens, document_lines, filing_texts, filing_eras, order_eras, chrome_lines, stripped_texts, front_matter, item_headings,
         accepted_items, items, residual_spans, violations, invariant_results, verdicts, dated_summary, item_sequences, residual_classes,
-        spot_check, result_documents, page_conservation, filing_conservation, item_sources, page_provenance, ledger_classes, walk_errors, page_formats, raw_formats, layout_violations, user_sessions, running_records, shipping_islands, shipping_overlaps,
+        spot_check, result_documents, page_conservation, filing_conservation, conservation_examples, item_sources, page_provenance, ledger_classes, walk_errors, page_formats, raw_formats, layout_violations, user_sessions, running_records, shipping_islands, shipping_overlaps,
     )
     return {f.__name__: f for f in found}
 
@@ -467,6 +476,15 @@ ORACLE = {
   SELECT page_id, replace(replace(replace(replace({_BARE}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS html_text FROM pages))""",
     "filing_conservation": _sql(1, r"""SELECT filing_id, true AS passed, n AS n_source, n AS n_accounted, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM (
   SELECT filing_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[.,/\-&%][\p{L}\p{N}]+)*')) AS BIGINT) AS n FROM filings)"""),
+    "conservation_examples": _sql(2, r""", stoken AS (
+  SELECT filing_id, lower(t[i]) AS token, i AS pos FROM (SELECT filing_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[.,/\-&%][\p{L}\p{N}]+)*') AS t FROM filings), LATERAL unnest(range(1, len(t) + 1)) AS u(i)
+), rtoken AS (SELECT filing_id, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[.,/\-&%][\p{L}\p{N}]+)*'))) AS token FROM ruler
+), want AS (SELECT filing_id, token, count(*) AS n, min(pos) AS pos FROM stoken GROUP BY ALL
+), have AS (SELECT filing_id, token, count(*) AS n FROM rtoken GROUP BY ALL
+), lost AS (SELECT w.filing_id, w.token, w.pos, w.n - coalesce(h.n, 0) AS n FROM want w LEFT JOIN have h ON h.filing_id = w.filing_id AND h.token = w.token WHERE w.n > coalesce(h.n, 0)
+), told AS (SELECT filing_id, CAST(sum(n) AS BIGINT) AS n_missing, flatten(list(list_transform(range(0, n), lambda k: token) ORDER BY pos)) AS words FROM lost GROUP BY filing_id)
+SELECT f.filing_id, n_missing IS NULL AS passed, (SELECT count(*) FROM stoken s WHERE s.filing_id = f.filing_id) AS n_source, coalesce(n_missing, 0) AS n_missing, 0::BIGINT AS n_extra,
+  coalesce(array_to_string(words[1:10], ' '), '') AS first_ten, coalesce(array_to_string(words[1:50], ' '), '') AS first_fifty FROM filings f LEFT JOIN told t ON t.filing_id = f.filing_id"""),
     "item_sources": _sql(5, _SOURCES + """
   SELECT filing_id, item_id, start, "end", source_kind, source_start, source_end FROM sources"""),
     "ledger_classes": """WITH p AS (SELECT page_id AS filing_id, page_id % 5 AS k FROM pages WHERE page_id % 7 <> 6)
