@@ -8,7 +8,8 @@ the classifier cannot gain by treating all unlabelled text as harmless.
 
 Fitting uses a bounded sample of labelled rows, chosen by a hash of the id: at
 most ``MAX_POSITIVE`` toxic rows and ``MAX_UNLABELLED`` rows regardless of their
-label. Scoring covers the whole text of every row.
+label. Of rows alike in id and text one counts, and an id that stands on many rows
+takes up no more than the limits. Scoring covers the whole text of every row.
 
 Defined cases: null and empty texts get the score of a text without known words;
 labels that are null are no labels, and one toxic label makes a document toxic;
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
-from spanforge.llm.common import col, filter_text, fold_of, map_text
+from spanforge.llm.common import col, filter_text, fold_of, map_text, stored
 
 MAX_POSITIVE = 2_000
 MAX_UNLABELLED = 6_000
@@ -122,8 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked_u = marks.orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(False).alias("p"))
     # at most max_positive + max_unlabelled ids
     picked = F.broadcast(picked_p.union(picked_u).withColumnRenamed("doc_id", "d"))
-    own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    rows = own.join(picked, own["doc_id"] == picked["d"]).select("p", "text")
+    rows = _examples(docs.select(col(id_col).alias("doc_id"), col(text_col).cast("string").alias("text")), picked, max_positive, max_unlabelled)
     sample = _features(rows, None)
     counts = sample.select("p", F.explode("f").alias("f")).groupBy("f").agg(F.count_if("p").alias("in_p"), F.count_if(~F.col("p")).alias("in_u"))
     sizes = sample.agg(F.count_if("p").alias("p"), F.count_if(~F.col("p")).alias("u")).first()
@@ -137,6 +137,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([v for q, v in both if q], [v for q, v in both if not q], prior)
 
 
+def _examples(own: DataFrame, picked: DataFrame, max_positive: int, max_unlabelled: int) -> DataFrame:
+    """p, text: the rows of the picked ids, each different one once, and no more than the limits.
+
+    An id may stand on very many rows. So rows are chosen by a hash of id and text, first as
+    hashes alone, and their texts are fetched for those that are chosen.
+    """
+    keys = [F.xxhash64("doc_id", "text").alias("h"), F.xxhash64(F.lit(6), "doc_id", "text").alias("t")]
+    each = own.join(picked, own["doc_id"] == picked["d"]).select("p", *keys, "text")
+    hashed = each.select("p", "h", "t").distinct()
+    few = [hashed.where(F.col("p") == toxic).orderBy("h", "t").limit(most) for toxic, most in ((True, max_positive), (False, max_unlabelled))]
+    chosen = F.broadcast(few[0].union(few[1]))  # at most max_positive + max_unlabelled rows
+    return stored(each.join(chosen, ["p", "h", "t"]).dropDuplicates(["p", "h", "t"]).select("p", "text"), "examples")
+
+
 def _features(rows: DataFrame, only: set[int] | None) -> DataFrame:
     def make():
         run = features(only)
