@@ -208,7 +208,8 @@ def confirmed(own: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     windows = both.where("x is null").select("k", "t", "m", "c", "a", F.posexplode("h").alias("i", "h")).select("k", "t", "m", "h", "c", (F.col("a") + F.col("i")).alias("at"))
     again = windows.groupBy("m", "h").agg(F.sum("c").alias("s")).where("s > 1").select("m", "h")
     single = stored(windows.where("c = 1").join(again, ["m", "h"]).groupBy("k", "t").agg(F.collect_set("at").alias("at")), "recurring-windows")
-    return both.where("x is not null").select("k", "seg", "x", "cuts", "keys"), single
+    # rows alike in id and text have one key and spell the same passages: one of each goes on
+    return both.where("x is not null").select("k", "seg", "x", "cuts", "keys").dropDuplicates(["k", "seg"]), single
 
 
 def dealt(own: DataFrame, passages: DataFrame) -> DataFrame:
