@@ -8,8 +8,8 @@ a reader of metadata touches no ids, and a reader of an id range only those
 pages that hold it.
 
 Defined cases: a null or empty text has no tokens but the end id; rows with a
-null id come first; rows with the same id are ordered by their text; repeated
-rows are all written; an empty table gives files without rows; other columns of
+null id come first; rows with the same id are ordered by a hash of their text, and
+dealt over files by it; repeated rows are all written; an empty table gives files without rows; other columns of
 the input are ignored, whatever their names.
 """
 
@@ -156,8 +156,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_
     """Encode every text and write the id files described above to ``path``."""
     ordered = (
         docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+        .withColumn("h", F.xxhash64("text"))
+        .repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("h"))
+        .sortWithinPartitions(F.asc_nulls_first("doc_id"), "h", F.asc_nulls_first("text"))
     )
     end = np.array([end_id], "<u4").tobytes()
 
