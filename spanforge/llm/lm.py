@@ -186,7 +186,7 @@ def _save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 #: The arrays in the files of a bucket, by the kind of file: keys come first.
 LAYOUT = {
-    "pair": {"key": "<u8", "count": "<u4"},
+    "pair": {"key": "<u8", "count": "<u8"},
     "context": {"key": "<u8", "total": "<u8", "n1": "<u8", "n2": "<u8", "n3": "<u8"},
     "word": {"key": "<u8", "count": "<u8", "left": "<u8"},
 }
@@ -367,7 +367,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             (v, w), (c,) = _added([v, w], c)
             key = mix(v, w)
             order = np.argsort(key)
-            _save(folder, f"pair-{b}", {"key": key[order].astype("<u8"), "count": np.minimum(c[order], 2**32 - 1).astype("<u4")})
+            _save(folder, f"pair-{b}", {"key": key[order].astype("<u8"), "count": c[order].astype("<u8")})
             one, two = (c == 1).astype(np.uint64), (c == 2).astype(np.uint64)
             (ctx,), sums = _added([v], c, one, two, np.uint64(1) - one - two)
             cold = ~np.isin(ctx, shared.value)
@@ -415,16 +415,18 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
 
 def _hot_words(own: DataFrame, share: float) -> np.ndarray:
-    """Hashes of words with that share in a bounded sample of texts; they only decide where pairs are counted."""
+    """Hashes of words with that share in a bounded sample of whole texts; they only decide where pairs are counted."""
 
     def shares(batches):
         for _, texts in slices(batches, 0):
-            h, sizes = tokens([(t or b"")[:20_000] for t in texts])
+            h, sizes = tokens(texts)
             w, c = np.unique(before(h, sizes), return_counts=True)
             top = np.argsort(-c)[: 2 * HOT]
             yield pa.RecordBatch.from_arrays([pa.array(w[top].astype(np.int64)), pa.array(c[top])], names=["w", "c"])
 
-    found = own.limit(SAMPLE_ROWS).mapInArrow(shares, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    # about so many rows from all over the input, whatever it is sorted by
+    some = own.where(F.rand(11) < SAMPLE_ROWS / max(1, own.count()))
+    found = some.mapInArrow(shares, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     rows = found.orderBy(F.desc("c"), "w").limit(HOT).collect()
     all_ = sum(r["c"] for r in rows)
     return np.sort(np.array([r["w"] for r in rows if r["c"] >= max(2, share * all_)], np.uint64))
