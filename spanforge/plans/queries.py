@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from spanforge.plans import eras, reports
 from spanforge.plans.segmentation import result_json, segment_filings, segment_texts
 from spanforge.sources import filings as sources
 from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings, paged_filings, raw_filings
-from spanforge.sources.shared import spread, stored
+from spanforge.sources.files import read_folder, write_folder
+from spanforge.sources.shared import shared_folder, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -217,6 +219,18 @@ def page_formats(spark, sf_dir):
     return _pages(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("n"), F.count("fiscal_year_end").alias("n_dated"))
 
 
+def file_formats(spark, sf_dir):
+    """A folder of files of four kinds, made from ``pages``: what the data source finds there and what is in it."""
+    name = F.concat(F.col("page_id"), F.expr("case page_id % 4 when 0 then '.htm' when 1 then '.txt' when 2 then '.html.gz' else '.pdf' end"))
+    pages = spread(_table(spark, sf_dir, "pages")).select(name.alias("name"), F.when(F.col("page_id") % 4 == 1, F.col("url")).otherwise(F.col("html")).alias("raw"))
+    folder = f"{shared_folder(spark)}/filings_{uuid.uuid4().hex}"
+    write_folder(pages, folder)
+    found = read_folder(spark, folder, suffixes="htm,txt,gz,pdf").where(F.col("suffix").isin("htm", "txt", "gz"))
+    good, bad = sources.quarantined(sources.unpacked(found.select(F.regexp_extract("path", "([0-9]+)[.][a-z.]+$", 1).cast("long").alias("filing_id"), "raw")))
+    read = sources.prepared(good).select("filing_id", "generation", F.length("raw_text").cast("long").alias("n_chars"), F.lit(False).alias("failed"))
+    return read.unionByName(bad.select("filing_id", F.lit(True).alias("failed")), allowMissingColumns=True)
+
+
 def raw_formats(spark, sf_dir):
     """Raw bytes of six kinds: what they are, their year end, their length decoded, and whether they are in quarantine."""
     good, bad = sources.quarantined(sources.unpacked(raw_filings(spark, sf_dir)))
@@ -285,7 +299,7 @@ def queries() -> dict[str, Query]:
     found = (
         page_tokens, document_lines, filing_texts, filing_eras, order_eras, chrome_lines, stripped_texts, front_matter, item_headings,
         accepted_items, items, residual_spans, violations, invariant_results, verdicts, dated_summary, item_sequences, residual_classes,
-        spot_check, result_documents, page_conservation, filing_conservation, conservation_examples, item_sources, page_provenance, ledger_classes, walk_errors, page_formats, raw_formats, layout_violations, user_sessions, running_records, shipping_islands, shipping_overlaps,
+        spot_check, result_documents, page_conservation, filing_conservation, conservation_examples, item_sources, page_provenance, ledger_classes, walk_errors, page_formats, file_formats, raw_formats, layout_violations, user_sessions, running_records, shipping_islands, shipping_overlaps,
     )
     return {f.__name__: f for f in found}
 
@@ -493,6 +507,8 @@ SELECT f.filing_id, n_missing IS NULL AS passed, (SELECT count(*) FROM stoken s
     "walk_errors": """SELECT page_id AS filing_id, CASE WHEN page_id % 7 <> 6 THEN 0::BIGINT END AS n_spans, page_id % 7 = 6 AS failed,
   CASE WHEN page_id % 7 = 6 THEN 'walk: unknown status keyword ''bogus'' in marked section' END AS error FROM pages""",
     "page_formats": "SELECT 'html' AS generation, count(*) AS n, 0::BIGINT AS n_dated FROM pages",
+    "file_formats": """SELECT page_id AS filing_id, CASE WHEN page_id % 4 = 1 THEN 'ascii' ELSE 'html' END AS generation,
+  CAST(CASE WHEN page_id % 4 = 1 THEN len(url) ELSE len(html) END AS BIGINT) AS n_chars, false AS failed FROM pages WHERE page_id % 4 <> 3""",
     "raw_formats": """SELECT page_id AS filing_id, CASE page_id % 6 WHEN 0 THEN 'html' WHEN 1 THEN 'html_xbrl' WHEN 2 THEN 'ascii' WHEN 3 THEN 'ascii' WHEN 4 THEN 'html' END AS generation,
   CASE page_id % 6 WHEN 1 THEN CAST(2000 + page_id % 20 AS VARCHAR) || '-12-31' WHEN 2 THEN CAST(1994 + page_id % 20 AS VARCHAR) || '-06-30' END AS fiscal_year_end,
   CAST(CASE page_id % 6 WHEN 0 THEN len(html) WHEN 1 THEN len(html) + 173 WHEN 2 THEN 55 + len(CAST(page_id AS VARCHAR)) WHEN 3 THEN 12 + len(CAST(page_id AS VARCHAR)) WHEN 4 THEN len(html) END AS BIGINT) AS n_chars,
