@@ -43,11 +43,21 @@ BLOCK = 8192
 #: Pairs of ids whose counts all workers hold, at 16 bytes each.
 KNOWN_PAIRS = 2_000_000
 #: Words whose ids a worker keeps, and the longest such word.
-CACHED_WORDS, LONGEST = 400_000, 64
+CACHED_WORDS, LONGEST = 300_000, 64
 #: Links of a document that travel as one row, and different pairs that a task adds up before it sends them.
 LINKS, HELD_PAIRS = 200_000, 1_000_000
 
 
+def packed(ids: list[int], parts: list[bytes], text: str) -> bytes | None:
+    """The ids as little-endian integers, if they are the text's bytes, cut."""
+    own = [parts[i] for i in ids]
+    return np.array(ids, kind_of(parts)).tobytes() if b"".join(own) == text.encode() and b"" not in own else None
+
+
+def kind_of(parts: list[bytes]) -> str:
+    return "<u2" if len(parts) <= 1 << 16 else "<u4"
+
+
 class ByteLevel:
     """Ids of a space and a text by a byte-level BPE of the tokenizers library."""
 
@@ -78,11 +88,14 @@ class ByteLevel:
         ranks = {self.bytes[i]: i for i in model["vocab"].values() if i not in special}
         return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """The ids of each text, packed, or None where their bytes are not those of a space and the text."""
         spaced = [" " + t for t in texts]
         if self.ranked:
-            return [self.ranked.encode_ordinary(t) for t in spaced]
-        return [e.ids for e in self.tokenizer.encode_batch(spaced, add_special_tokens=False)]
+            ids = [self.ranked.encode_ordinary(t) for t in spaced]
+        else:
+            ids = [e.ids for e in self.tokenizer.encode_batch(spaced, add_special_tokens=False)]
+        return [packed(x, self.bytes, t) for x, t in zip(ids, spaced)]
 
 
 class Pieces:
@@ -100,7 +113,8 @@ class Pieces:
         pieces = [self.model.id_to_piece(i) for i in range(n)]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.by_word = self._joins_within_words(pieces)
-        self.known: dict[str, list[int]] = {}
+        #: What ``packed`` gives for a space and a word; ids lie there as bytes, not as objects.
+        self.known: dict[str, bytes | None] = {}
 
     def _joins_within_words(self, pieces: list[str]) -> bool:
         """Words and runs of spaces are encoded as they are, and alone as in a text."""
@@ -109,22 +123,26 @@ class Pieces:
         probe = ["a", "the house", "x\ty\nz", "été 中文", "1 22 333"]
         return all(self.model.encode(p) == sum((self.model.encode(w) for w in p.split(" ")), []) for p in probe)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        get, encode, out = self.known.get, self.model.encode, []
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """As of the other side."""
+        known, encode, out = self.known, self.model.encode, []
         for text in texts:
             words = text.split(" ")
             # a word that is empty stands for spaces in a row
             if not self.by_word or "" in words or max(map(len, words)) > LONGEST:
-                out.append(encode(text))
+                out.append(packed(encode(text), self.bytes, " " + text))
                 continue
-            found = list(map(get, words))
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                found[at] = ids = encode(words[at])
-                if len(self.known) < CACHED_WORDS:
-                    self.known[words[at]] = ids
-            out.append([x for ids in found for x in ids])
+            found, fresh = [], {}
+            for w in words:
+                ids = known.get(w, b"")
+                if ids == b"":
+                    ids = fresh.get(w, b"")
+                    if ids == b"":
+                        ids = fresh[w] = packed(encode(w), self.bytes, " " + w)
+                found.append(ids)
+            if len(known) < CACHED_WORDS:
+                known.update(fresh)
+            out.append(None if None in found else b"".join(found))
         return out
 
 
@@ -154,7 +172,7 @@ def events(own: DataFrame, side: int, path: str, block: int = BLOCK) -> DataFram
     def run(batches):
         encoder, seen = side_of(side, path), set()
         length = np.array([len(b) for b in encoder.bytes], np.int64)
-        kind = "<u2" if len(length) <= 1 << 16 else "<u4"
+        kind = kind_of(encoder.bytes)
         for batch, texts in slices(batches, 2, 2 << 20):
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             fresh, out = [], []
@@ -164,14 +182,14 @@ def events(own: DataFrame, side: int, path: str, block: int = BLOCK) -> DataFram
                 if len(seen) < 200_000:
                     seen.add(key)
                 try:
-                    fresh.append((key, raw, raw.decode()))
+                    fresh.append((key, raw.decode()))
                 except UnicodeDecodeError:
                     out.append((*key, BROKEN, side, None))
-            for (key, raw, _), ids in zip(fresh, encoder.encode([t for *_, t in fresh])):
-                if b"".join(map(encoder.bytes.__getitem__, ids)) != b" " + raw or 0 in length[ids]:
+            for (key, _), ids in zip(fresh, encoder.encode([t for _, t in fresh])):
+                if ids is None:
                     out.append((*key, BROKEN, side, None))
                     continue
-                ids = np.array(ids, kind)
+                ids = np.frombuffer(ids, kind)
                 at = 0
                 for s in range(0, len(ids), block):
                     part = ids[s : s + block]
@@ -190,7 +208,7 @@ class Tables:
         self.kinds, self.lengths, self.written, self.first = [], [], [], [0]
         for side, path in enumerate(paths):
             n = side_of(side, path).bytes
-            self.kinds.append("<u2" if len(n) <= 1 << 16 else "<u4")
+            self.kinds.append(kind_of(n))
             self.lengths.append(np.array([len(b) for b in n], np.int64))
             self.written += [b"%d%s" % (i, end) for i in range(len(n)) for end in (b",", b"|;"[side : side + 1])]
             self.first.append(len(self.written))
@@ -288,7 +306,7 @@ def swept(blocks: DataFrame, paths: tuple[str, str], most: int = LINKS) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k", "t", "done", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
 
         weight = 0
-        for batch in batches:
+        for batch in (b.slice(s, 200) for b in batches for s in range(0, b.num_rows, 200)):
             for k, t, at, side, block in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if (k, t) != now:
                     ended()
@@ -325,12 +343,13 @@ def pair_counts(links: DataFrame, copies: DataFrame) -> DataFrame:
 
     copies(k, t, copies) are the documents that stand in several rows: their links count again.
     """
-    again = links.join(copies, ["k", "t"]).select("links", (F.col("copies") - 1).alias("copies"))
-    both = links.select("links", F.lit(1).cast("long").alias("copies")).unionAll(again)
+    both = links.select("links", F.lit(1).cast("long").alias("copies"))
+    if not copies.isEmpty():
+        both = both.unionAll(links.join(copies, ["k", "t"]).select("links", (F.col("copies") - 1).alias("copies")))
 
     def run(batches):
         keys, n, parts, weight = _none(), _none(), [], 0
-        for batch in batches:
+        for batch in (b.slice(s, 200) for b in batches for s in range(0, b.num_rows, 200)):
             for blob, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = np.frombuffer(blob, "<i8")
                 parts.append((own, np.full(len(own), c, np.int64)))
@@ -374,14 +393,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     both = events(own, 0, path_a, block).unionByName(events(own, 1, path_b, block))
     found = stored(swept(both.repartition("k", "t").sortWithinPartitions("k", "t", "at", "side"), paths, links_in_row), "swept")
     links = found.where("links is not null").select("k", "t", "links")
-    pairs = pair_counts(links, rows.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1"))
+    copies = stored(rows.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    pairs = pair_counts(links, copies)
     few, whole = _frequent(pairs, known_pairs)
     top = few.toArrow().sort_by("pair")  # at most known_pairs rows
     table = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy() for c in ("pair", "n", "best")))
 
     def look_up(batches):
         keys, n, best = table.value
-        for batch in batches:
+        for batch in (b.slice(s, 200) for b in batches for s in range(0, b.num_rows, 200)):
             out = []
             for k, t, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 own = np.frombuffer(blob, "<i8")
