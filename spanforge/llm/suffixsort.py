@@ -20,7 +20,7 @@ import gc
 import numpy as np
 
 #: Bytes of a trigger, and one in how many places is one.
-TRIGGER, DENSITY = 4, 16
+TRIGGER, DENSITY = 4, 32
 
 
 def suffix_array(s: list[int]) -> list[int]:
