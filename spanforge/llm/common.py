@@ -61,6 +61,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a table that ``stored`` wrote, when all that is made from them is stored itself."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.search(r"-[0-9a-f]{32}$", folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches, at: int, most: int = 4 << 20, rows: int = 2_000):
     """Parts of the batches with at most so many rows, and bytes in column ``at`` (or one row), and their texts."""
     for batch in batches:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanforge.llm.common import col, slices, stored
+from spanforge.llm.common import col, dropped, slices, stored
 from spanforge.llm.suffixsort import equal_windows
 
 WIDTH = 50
@@ -130,12 +130,12 @@ def wanted(own: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def spelled(own: DataFrame, lists: DataFrame) -> DataFrame:
-    """m, rh, k, x, low, high: every known run of a document; with the first of equal runs in a task its bytes and ids."""
+    """m, rh, k, d, at, x, low, high: every known run of a document, and with the first of equal runs in a batch its bytes and ids."""
     both = own.join(lists.withColumnRenamed("k", "k2"), F.col("k") == F.col("k2")).select("k", "d", "text", "ms")
 
     def run(batches):
         for batch, texts in slices(batches, 2, 2 << 20):
-            buffer, text, m, first, size, _ = runs(texts)
+            buffer, text, m, first, size, starts = runs(texts)
             lists, k, d = batch.column(3), batch.column(0).to_pylist(), batch.column(1).to_pylist()
             cuts = np.searchsorted(text, np.arange(len(texts) + 1))
             held: dict[tuple[int, int], list] = {}
@@ -143,26 +143,26 @@ def spelled(own: DataFrame, lists: DataFrame) -> DataFrame:
             for i in range(len(texts)):
                 own_m = m[cuts[i] : cuts[i + 1]]
                 go = np.flatnonzero(np.isin(own_m, lists[i].values.to_numpy())) + cuts[i]
-                seen = set()
+                begin, own_k, own_d = int(starts[i]), k[i], d[i]
                 for a, n, mm in zip(first[go].tolist(), size[go].tolist(), m[go].tolist()):
                     x = buffer[a : a + n + WIDTH - 1]
                     key = mm, xxhash.xxh3_64_intdigest(x) - (1 << 63)
-                    if key in seen:
-                        continue
-                    seen.add(key)
                     row = held.get(key)
                     if row is None:
-                        held[key] = [x, d[i], d[i]]
-                        out.append((*key, k[i], True))
+                        held[key] = [x, own_d, own_d]
+                        out.append((*key, own_k, own_d, a - begin, True))
                     else:
-                        row[1], row[2] = min(row[1], d[i]), max(row[2], d[i])
-                        out.append((*key, k[i], False))
-            rows = [(*r[:3], *(held[r[:2]] if r[3] else (None, None, None))) for r in out]
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["m", "rh", "k", "x", "low", "high"])
+                        if own_d < row[1]:
+                            row[1] = own_d
+                        elif own_d > row[2]:
+                            row[2] = own_d
+                        out.append((*key, own_k, own_d, a - begin, False))
+            rows = [(*r[:5], *(held[r[:2]] if r[5] else (None, None, None))) for r in out]
+            columns = list(zip(*rows)) or [[]] * 8
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["m", "rh", "k", "d", "at", "x", "low", "high"])
 
-    return stored(both.mapInArrow(run, "m long, rh long, k long, x binary, low long, high long"), "runs")
+    return stored(both.mapInArrow(run, "m long, rh long, k long, d long, at int, x binary, low long, high long"), "runs")
 
 
 def _windows(crowded: DataFrame) -> DataFrame:
@@ -199,25 +199,33 @@ def judged(different: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
     def bucket(rows: list[tuple]) -> pa.RecordBatch:
         m, rh, x, low, high = zip(*rows) if rows else [[]] * 5
-        low, high = np.array(low, np.int64), np.array(high, np.int64)
+        m, rh, low, high = (np.array(c, np.int64) for c in (m, rh, low, high))
         n = np.array([len(b) - WIDTH + 1 for b in x], np.int64)
-        piece, cls = equal_windows(list(x), n, WIDTH) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        _, at, times = np.unique(m, return_inverse=True, return_counts=True)
+        # a run that has its anchor alone has nothing to be compared with: it is one class as it is
+        alone, rest = np.flatnonzero(times[at] == 1), np.flatnonzero(times[at] > 1)
+        piece, cls = equal_windows([x[i] for i in rest.tolist()], n[rest], WIDTH) if len(rest) else (rest, rest)
+        piece = rest[piece]
         least = np.full(int(cls.max()) + 1 if len(cls) else 0, np.iinfo(np.int64).max)
         np.minimum.at(least, cls, low[piece])
         own = least[cls]
-        o = np.arange(len(piece)) - (np.cumsum(n) - n)[piece]
+        begin = np.cumsum(n) - n
+        place = np.flatnonzero(np.repeat(times[at] > 1, n))  # of each window among those of all runs
         new = np.ones(len(piece), bool)
         new[1:] = (piece[1:] != piece[:-1]) | (own[1:] != own[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(piece))[: len(first)] - 1
-        go = own[first] < high[piece[first]]
-        first, last = first[go], last[go]
-        of = piece[first]
+        of = np.concatenate([piece[first], alone])
+        o = np.concatenate([place[first] - begin[piece[first]], np.zeros(len(alone), np.int64)])
+        e = np.concatenate([place[last] - begin[piece[last]], n[alone] - 1])
+        own = np.concatenate([own[first], low[alone]])
+        go = np.flatnonzero(own < high[of])
+        go = go[np.argsort(of[go], kind="stable")]
+        of, o, e, own = of[go], o[go], e[go], own[go]
         begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
-        cuts = pa.StructArray.from_arrays([pa.array(o[first].astype(np.int32)), pa.array(o[last].astype(np.int32)), pa.array(own[first])], names=["first", "last", "low"])
+        cuts = pa.StructArray.from_arrays([pa.array(o.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(own)], names=["first", "last", "low"])
         lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(of)).astype(np.int32)), cuts)
-        at = of[begins]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(m, np.int64)[at]), pa.array(np.array(rh, np.int64)[at]), lists], names=["m", "rh", "cuts"])
+        return pa.RecordBatch.from_arrays([pa.array(m[of[begins]]), pa.array(rh[of[begins]]), lists], names=["m", "rh", "cuts"])
 
     def run(batches):
         now, rows = None, []
@@ -254,34 +262,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(F.xxhash64(col(id_col), col(text_col)).alias("k"), d.alias("d"), text, col(id_col).alias("doc_id"))
     kind = own.schema["doc_id"].dataType.simpleString()
     short = own.select("k", "d", "text").where(F.octet_length("text") >= WIDTH)
-    # documents whose keys are equal by chance only look for some anchors too many
-    found = spelled(short, wanted(short, anchors(short)))
+    # documents whose keys are equal by chance look for some anchors too many, which changes nothing
+    lists = stored(wanted(short, anchors(short)), "wanted-anchors")
+    found = spelled(short, lists)
+    dropped(lists)
     different = stored(found.where("x is not null").groupBy("m", "rh", "x").agg(F.min("low").alias("low"), F.max("high").alias("high")), "different-runs")
+    having = stored(found.select("m", "rh", "k", "d", "at"), "places-of-runs")
+    dropped(found)
     verdict = verdicts(different, crowd, bucket_bytes)
-    per = found.select("m", "rh", "k").join(verdict, ["m", "rh"]).groupBy(F.col("k").alias("k2")).agg(F.collect_set(F.struct("m", "rh", "cuts")).alias("found"))
-    both = own.join(per, F.col("k") == F.col("k2"), "left").select("doc_id", "d", "text", "found")
+    dropped(different)
+    # only what goes from a document comes back to it; its id beside its key tells documents apart whose keys are equal by chance
+    gone = having.join(verdict, ["m", "rh"]).select("k", "d", "at", F.inline("cuts")).where("low < d")
+    span = F.struct((F.col("at") + F.col("first")).alias("s"), (F.col("at") + F.col("last") + WIDTH).alias("e"))
+    per = gone.groupBy(F.col("k").alias("k2"), F.col("d").alias("d2")).agg(F.collect_set(span).alias("gone"))
+    both = own.join(per, (F.col("k") == F.col("k2")) & (F.col("d") == F.col("d2")), "left").select("doc_id", "text", "gone")
 
     def cut(batches):
-        for batch, texts in slices(batches, 2, 2 << 20):
-            marked = [i for i, x in enumerate(batch.column(3).is_valid().to_pylist()) if x]
-            buffer, text, m, first, size, starts = runs([texts[i] for i in marked])
-            cuts = np.searchsorted(text, np.arange(len(marked) + 1))
-            n, gone, spans, kept = [len(t) for t in texts], [0] * len(texts), [0] * len(texts), list(texts)
-            d = batch.column(1).to_pylist()
-            for j, i in enumerate(marked):
-                known = {(x["m"], x["rh"]): [(c["first"], c["last"]) for c in x["cuts"] if c["low"] < d[i]] for x in batch.column(3)[i].as_py()}
-                anchors = {mm for mm, _ in known}
-                cover = np.zeros(n[i] + 1, np.int64)
-                for a, w, mm in zip(first[cuts[j] : cuts[j + 1]].tolist(), size[cuts[j] : cuts[j + 1]].tolist(), m[cuts[j] : cuts[j + 1]].tolist()):
-                    if mm in anchors:
-                        for s, e in known.get((mm, xxhash.xxh3_64_intdigest(buffer[a : a + w + WIDTH - 1]) - (1 << 63)), ()):
-                            cover[a - starts[j] + s] += 1
-                            cover[a - starts[j] + e + WIDTH] -= 1
+        for batch, texts in slices(batches, 1):
+            lists, there = batch.column(2), batch.column(2).is_valid().to_pylist()
+            starts, ends = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            offsets = lists.offsets.to_numpy()
+            n, removed, spans, kept = [len(t) for t in texts], [0] * len(texts), [0] * len(texts), list(texts)
+            for i in np.flatnonzero(there).tolist():
+                cover = np.zeros(n[i] + 1, np.int32)
+                np.add.at(cover, starts[offsets[i] : offsets[i + 1]], 1)
+                np.add.at(cover, ends[offsets[i] : offsets[i + 1]], -1)
                 out = np.cumsum(cover[:-1]) > 0
-                gone[i] = int(out.sum())
+                removed[i] = int(out.sum())
                 spans[i] = int(out[0]) + int((out[1:] & ~out[:-1]).sum())
                 kept[i] = np.frombuffer(texts[i], np.uint8)[~out].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
