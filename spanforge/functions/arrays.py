@@ -64,13 +64,12 @@ def repeated(labels: Column, times: int) -> Column:
     return let(F.sort_array(F.transform(labels, lambda x, i: F.struct(x.alias("label"), i.alias("at")))), marked)
 
 
-def folded(items: Column, zero: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """What step(state, item) -> (state, element of type ``kind``) gives for the items in turn, as an array."""
+def folded(items: Column, zero: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """What step(state, item) -> struct(state, made of type ``kind``) makes of the items in turn, as an array."""
     none, nothing = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
 
     def one(acc: Column, x: Column) -> Column:
-        state, made = step(acc["state"], x)
-        return F.struct(state.alias("state"), F.concat(acc["made"], F.array(made)).alias("made"))
+        return let(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["made"], F.array(r["made"])).alias("made")))
 
     def block(acc: Column, some: Column) -> Column:
         own = F.aggregate(some, F.struct(acc["state"].alias("state"), none.alias("made")), one)

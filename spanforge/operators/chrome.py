@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions.arrays import let, repeated
-from spanforge.functions.text import WS, lengths, lines_of, squash, strip, word_count
+from spanforge.functions.text import WS, lines_of, squash, strip, word_count
 
 LINE_BREAKS = "[\n\f]"
 MIN_REPEATS = 3
@@ -63,16 +63,6 @@ def stripped(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("filing_id", "text"), heads(found)
 
 
-def kept_ranges(texts: DataFrame, ledger: DataFrame) -> DataFrame:
-    """filing_id, b_start, b_end, b_new: the old ranges that stay, and where they start now."""
-    from spanforge.functions.intervals import gaps, islands
-
-    kept = gaps(islands(ledger.select("filing_id", "start", "end").where("start < end")), lengths(texts))
-    w = Window.partitionBy("filing_id").orderBy("start")
-    size = F.col("end") - F.col("start")
-    return kept.select("filing_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"), (F.sum(size).over(w) - size).cast("int").alias("b_new"))
-
-
 def remapped(points: DataFrame, removed: DataFrame) -> DataFrame:
     """points(filing_id, pos, ...) with ``new``: the place after removed(filing_id, start, end) are cut out.
 

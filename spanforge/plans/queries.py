@@ -183,8 +183,7 @@ def conservation_examples(spark, sf_dir):
 
 def _whole_stretches(f, run) -> DataFrame:
     """Plain texts are one stretch each, cut where chrome was."""
-    whole = f.select("filing_id", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("source_start"), F.length("text").alias("source_end"), F.lit("raw_byte").alias("kind"))
-    return provenance.after_excision(whole, chrome.kept_ranges(f, run.ledger))
+    return provenance.after_excision(provenance.whole(f), run.cuts)
 
 
 def item_sources(spark, sf_dir):
@@ -198,7 +197,7 @@ def item_sources(spark, sf_dir):
 def page_provenance(spark, sf_dir):
     """Stretches of the rulers of pages after chrome is cut out."""
     _, _, stretches = segment_filings(_pages(spark, sf_dir))
-    return stretches
+    return provenance.rows(stretches).select("filing_id", *_long("start", "end", "source_start", "source_end"), "kind")
 
 
 def _paged(spark, sf_dir):
@@ -522,6 +521,24 @@ SELECT f.filing_id, n_missing IS NULL AS passed, (SELECT count(*) FROM stoken s
   SELECT user_id, run, count(*) AS n, min(t) AS first, max(t) AS last FROM r GROUP BY user_id, run""",
     "running_records": """SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) WHERE best IS NULL OR value > best""",
 }
+# a tokenizer of its own for pages, and where what it shows stays once chrome is cut out
+ORACLE["page_provenance"] = r"""WITH toks AS (
+  SELECT page_id, t[i] AS tok, i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<[^>]*>|<|&[a-z]+;?|&|[^<&]+') AS t FROM pages), LATERAL unnest(range(1, len(t) + 1)) AS u(i)
+), laid AS (SELECT *, sum(len(tok)) OVER (PARTITION BY page_id ORDER BY i) - len(tok) AS s, lower(regexp_extract(tok, '^</?([a-zA-Z0-9]+)', 1)) AS tag, regexp_extract(tok, '^&([a-z]+)', 1) AS ref FROM toks
+), adds AS (
+  SELECT page_id, i, s, CASE WHEN tok[1] <> '<' OR tok = '<' THEN 'dom_text' WHEN tag IN ('p', 'li', 'br', 'html', 'title', 'body', 'ul', 'div', 'article', 'h1', 'footer') THEN 'injected' END AS kind,
+    CASE WHEN tok[1] = '<' AND tok <> '<' THEN chr(10) WHEN ref = '' THEN tok WHEN ref = 'amp' THEN '&' WHEN ref = 'quot' THEN '"' WHEN ref = 'copy' THEN '©' WHEN ref = 'middot' THEN '·' ELSE '&' || ref || ';' END AS text,
+    CASE WHEN tok[1] = '<' AND tok <> '<' THEN s WHEN ref = '' THEN s + len(tok) ELSE s + len(ref) + 2 END AS e FROM laid
+), near AS (SELECT *, lag(kind) OVER w AS pk, lag(text) OVER w AS pt FROM adds WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY page_id ORDER BY i)
+), spans AS (
+  SELECT page_id AS filing_id, i, kind, text, s, e, sum(len(text)) OVER (PARTITION BY page_id ORDER BY i) - len(text) AS a, sum(len(text)) OVER (PARTITION BY page_id ORDER BY i) AS b
+  FROM near WHERE kind = 'dom_text' OR pk IS NULL OR (pk = 'dom_text' AND NOT suffix(pt, chr(10)))
+), filings AS (SELECT filing_id, string_agg(text, '' ORDER BY i) AS text FROM spans GROUP BY filing_id
+), """ + _CHAIN[1] + r""", cuts AS (SELECT filing_id, start AS a, start + len(line) AS b FROM marked WHERE chrome AND len(line) > 0
+), ends AS (SELECT * FROM cuts UNION ALL SELECT filing_id, len(text), len(text) FROM filings
+), stays AS (SELECT filing_id, coalesce(max(b) OVER w, 0) AS a, a AS b, coalesce(sum(b - a) OVER w, 0) AS gone FROM ends WINDOW w AS (PARTITION BY filing_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT x.filing_id, CAST(greatest(x.a, y.a) - gone AS BIGINT) AS start, CAST(least(x.b, y.b) - gone AS BIGINT) AS "end", CAST(CASE WHEN e <= s THEN s ELSE s + greatest(x.a, y.a) - x.a END AS BIGINT) AS source_start,
+  CAST(CASE WHEN e <= s THEN s ELSE least(s + least(x.b, y.b) - x.a, e) END AS BIGINT) AS source_end, kind FROM spans x JOIN stays y ON y.filing_id = x.filing_id AND x.a < y.b AND y.a < x.b"""
 _SUMMARY = """SELECT f.filing_id, f.fiscal_year_end, 'era_2023' AS era_id, (SELECT count(*) FROM items i WHERE i.filing_id = f.filing_id) AS n_items,
   (SELECT count(*) FROM items i WHERE i.filing_id = f.filing_id AND i.start IS NOT NULL AND i.merged_into IS NULL) AS n_spans,
   9 - (SELECT count(DISTINCT inv_no) FROM violations v WHERE v.filing_id = f.filing_id) AS n_passed, d.n AS n_violations,

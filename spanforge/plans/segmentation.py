@@ -28,6 +28,8 @@ class Segmented:
     #: What the HTML walk gave, and (filing_id, error) of the filings it failed on; none for plain texts.
     walked: DataFrame | None = None
     failed: DataFrame | None = None
+    #: (filing_id, heads) of what was cut out of each text, in order.
+    cuts: DataFrame | None = None
 
 
 def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: DataFrame | None = None) -> Segmented:
@@ -36,12 +38,12 @@ def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: Da
     Tables that many branches read are stored, so no plan grows beyond one step.
     """
     filings = stored(with_era(texts.select("filing_id", "fiscal_year_end")), "filings")
-    found = stored(sized(chrome.cut(texts.select("filing_id", "text"))), "ruler", key="filing_id")
-    ruler, ledger = found.drop("heads"), chrome.heads(found)
+    cut = stored(sized(chrome.cut(texts.select("filing_id", "text"))), "ruler", key="filing_id")
+    ruler, ledger = cut.drop("heads"), chrome.heads(cut)
     regions = stored(front.front_matter(ruler), "front")
     items, residual = segment.segment(ruler, regions, filings)
     found = stored(gate.violations(filings, ruler, items, residual, evidence, other), "violations")
-    return Segmented(filings, ruler, ledger, regions, gate.annotated(items, found), residual, found, gate.verdicts(filings, found))
+    return Segmented(filings, ruler, ledger, regions, gate.annotated(items, found), residual, found, gate.verdicts(filings, found), cuts=cut.select("filing_id", "heads"))
 
 
 def segment_filings(filings: DataFrame) -> tuple[Segmented, DataFrame, DataFrame]:
@@ -54,8 +56,7 @@ def segment_filings(filings: DataFrame) -> tuple[Segmented, DataFrame, DataFrame
     run = replace(run, walked=walked, failed=failed)
     baseline = filings.select("filing_id", html.baseline_text(F.col("raw_text"), F.col("generation")).alias("text"))
     report = completeness.conservation(filings, baseline, run.ruler, run.ledger)
-    kept = chrome.kept_ranges(walked, run.ledger)
-    return run, report, provenance.after_excision(provenance.segments(walked), kept)
+    return run, report, provenance.after_excision(provenance.segments(walked), run.cuts)
 
 
 def ledger(run: Segmented) -> DataFrame:
@@ -70,7 +71,7 @@ def ledger(run: Segmented) -> DataFrame:
 def results(run: Segmented, stretches: DataFrame | None = None) -> DataFrame:
     """filing_id, result: one nested row per filing, for JSON.
 
-    stretches(filing_id, start, end, source_start, source_end, kind), where given, say where items lie in the source.
+    stretches(filing_id, stretches), where given, say where items lie in the source.
     """
     def listed(rows: DataFrame, order: list[str], each: list, name: str) -> DataFrame:
         per = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*each).alias("x")))), lambda v: v["x"])
