@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.intervals import cursor, gaps, overlaps
 from spanforge.functions.text import is_blank, lengths
 from spanforge.operators.segment import with_body
-from spanforge.plans.eras import era_items, permitted_absent
+from spanforge.plans.eras import Ruleset
 
 NAMES = ["order", "no_overlap", "coverage", "residual_sanity", "legal_structure", "should_exist", "item8_xbrl", "cross_method", "cover_dominance"]
 #: What a violation says, by its code.
@@ -44,14 +44,14 @@ def _spanned(items: DataFrame) -> DataFrame:
     return items.where("merged_into is null and start is not null")
 
 
-def _indexed(items: DataFrame, era_of: DataFrame) -> DataFrame:
-    order = F.broadcast(era_items(items.sparkSession).select("era_id", "item_id", "order_index"))
+def _indexed(items: DataFrame, era_of: DataFrame, rules: Ruleset | None) -> DataFrame:
+    order = F.broadcast((rules or Ruleset.standard(items.sparkSession)).items.select("era_id", "item_id", "order_index"))
     return items.join(era_of.select("filing_id", "era_id"), "filing_id").join(order, ["era_id", "item_id"], "left")
 
 
-def order(items: DataFrame, era_of: DataFrame) -> DataFrame:
+def order(items: DataFrame, era_of: DataFrame, rules: Ruleset | None = None) -> DataFrame:
     w = Window.partitionBy("filing_id").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    known = _indexed(_spanned(items), era_of).where("order_index is not null").withColumn("best", F.max("order_index").over(w))
+    known = _indexed(_spanned(items), era_of, rules).where("order_index is not null").withColumn("best", F.max("order_index").over(w))
     return _violations(known.where("order_index <= best"), 1, "order_violation", "item_id")
 
 
@@ -78,20 +78,20 @@ def residual_sanity(residual: DataFrame) -> DataFrame:
     return _violations(residual.where((F.col("cls") == "unclassified") & (F.col("end") - F.col("start") > LONG_UNCLASSIFIED)), 4, "unclassified_residual")
 
 
-def legal_structure(items: DataFrame, era_of: DataFrame) -> DataFrame:
+def legal_structure(items: DataFrame, era_of: DataFrame, rules: Ruleset | None = None) -> DataFrame:
     """Merged items must be neighbours in the legal order, sub-items between them aside."""
     merged = items.where("merged_into is not null")
     members = merged.select("filing_id", F.col("merged_into").alias("rep"), "item_id").unionByName(merged.select("filing_id", F.col("merged_into").alias("rep"), F.col("merged_into").alias("item_id"))).distinct()
-    groups = _indexed(members, era_of).groupBy("filing_id", "era_id", "rep").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.min("order_index").alias("low"), F.max("order_index").alias("high"), F.bool_or(F.col("order_index").isNull()).alias("unknown"))
+    groups = _indexed(members, era_of, rules).groupBy("filing_id", "era_id", "rep").agg(F.array_sort(F.collect_set("item_id")).alias("ids"), F.min("order_index").alias("low"), F.max("order_index").alias("high"), F.bool_or(F.col("order_index").isNull()).alias("unknown"))
     groups = groups.dropDuplicates(["filing_id", "ids"])
-    main = F.broadcast(era_items(items.sparkSession).where(F.col("order_index").isNotNull() & ~F.col("item_id").rlike(SUB_ITEM)).select(F.col("era_id").alias("e"), F.col("item_id").alias("between"), F.col("order_index").alias("i")))
+    main = F.broadcast((rules or Ruleset.standard(items.sparkSession)).items.where(F.col("order_index").isNotNull() & ~F.col("item_id").rlike(SUB_ITEM)).select(F.col("era_id").alias("e"), F.col("item_id").alias("between"), F.col("order_index").alias("i")))
     split = groups.join(main, (F.col("era_id") == F.col("e")) & (F.col("i") > F.col("low")) & (F.col("i") < F.col("high")) & ~F.array_contains("ids", F.col("between")), "left_semi").where("not unknown")
     return _violations(groups.where("unknown").unionByName(split), 5, "illegal_structure", None, None, None)
 
 
-def should_exist(filings: DataFrame, items: DataFrame) -> DataFrame:
-    spark = items.sparkSession
-    needed = era_items(spark).where("order_index is not null").join(permitted_absent(spark), ["era_id", "item_id"], "left_anti").select("era_id", "item_id")
+def should_exist(filings: DataFrame, items: DataFrame, rules: Ruleset | None = None) -> DataFrame:
+    rules = rules or Ruleset.standard(items.sparkSession)
+    needed = rules.items.where("order_index is not null").join(rules.absent, ["era_id", "item_id"], "left_anti").select("era_id", "item_id")
     missing = filings.select("filing_id", "era_id").join(F.broadcast(needed), "era_id").join(items.select("filing_id", "item_id"), ["filing_id", "item_id"], "left_anti")
     return _violations(missing, 6, "missing_expected_item", "item_id", None, None)
 
@@ -121,9 +121,9 @@ def cover_dominance(ruler: DataFrame, residual: DataFrame) -> DataFrame:
     return _violations(covers.where((F.col("end") - F.col("start")) / F.col("length") >= COVER_SHARE), 9, "oversized_cover_page")
 
 
-def violations(filings: DataFrame, ruler: DataFrame, items: DataFrame, residual: DataFrame, evidence: DataFrame | None = None, other: DataFrame | None = None) -> DataFrame:
+def violations(filings: DataFrame, ruler: DataFrame, items: DataFrame, residual: DataFrame, evidence: DataFrame | None = None, other: DataFrame | None = None, rules: Ruleset | None = None) -> DataFrame:
     """All violations, numbered within their invariant by place and item."""
-    found = [order(items, filings), no_overlap(items), coverage(ruler, items, residual), residual_sanity(residual), legal_structure(items, filings), should_exist(filings, items), item8_xbrl(items, evidence), cross_method(items, other), cover_dominance(ruler, residual)]
+    found = [order(items, filings, rules), no_overlap(items), coverage(ruler, items, residual), residual_sanity(residual), legal_structure(items, filings, rules), should_exist(filings, items, rules), item8_xbrl(items, evidence), cross_method(items, other), cover_dominance(ruler, residual)]
     out = None
     for f in found:
         if f is not None:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.intervals import gaps, outside
 from spanforge.functions.text import END, GAP, is_blank, lengths, piece, some_lines, strip
-from spanforge.plans.eras import era_items
+from spanforge.plans.eras import Ruleset
 from spanforge.sources.shared import stored
 
+# Fixed patterns: what opens an item, a part and the signatures, and what says that an item is reserved or elsewhere.
 HEADING = rf"(?i)^({GAP}*)(items?){GAP}+(\p{{Nd}}{{1,2}})([a-z])?(?:{GAP}+and{GAP}+(\p{{Nd}}{{1,2}})([a-z])?)?{END}"
 DIVIDER = rf"(?i)^{GAP}*part{GAP}+(?:i{{1,3}}|iv){END}{GAP}*[.:–—-]?{GAP}*$"
 SIGNATURES = rf"(?i)^{GAP}*signatures?{GAP}*$"
@@ -27,12 +28,12 @@ def headings(lines: DataFrame) -> DataFrame:
     return found.select("filing_id", "start", (F.col("start") + F.length(g(1))).alias("enum_start"), F.concat(g(3), F.upper(g(4))).alias("item_id"), merged.alias("merged_id"), (F.lower(g(2)) == "items").alias("is_plural"))
 
 
-def accepted(found: DataFrame, era_of: DataFrame) -> DataFrame:
+def accepted(found: DataFrame, era_of: DataFrame, rules: Ruleset | None = None) -> DataFrame:
     """The headings that advance the legal order: beyond all known ones before them.
 
     The last accepted index is the greatest of all before, so a running maximum decides.
     """
-    order = era_items(found.sparkSession).where("order_index is not null").select("era_id", "item_id", "order_index")
+    order = (rules or Ruleset.standard(found.sparkSession)).items.where("order_index is not null").select("era_id", "item_id", "order_index")
     known = found.join(era_of.select("filing_id", "era_id"), "filing_id").join(F.broadcast(order), ["era_id", "item_id"])
     w = Window.partitionBy("filing_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     return known.withColumn("best", F.coalesce(F.max("order_index").over(w), F.lit(-1))).where("order_index > best").drop("best")
@@ -79,20 +80,20 @@ def item_spans(taken: DataFrame, cuts: DataFrame, sizes: DataFrame) -> DataFrame
     return nexts.join(sizes, "filing_id").withColumn("end", F.least(F.coalesce("next", "length"), F.coalesce("stop", "length"))).drop("next", "stop", "cut", "length")
 
 
-def segment(ruler: DataFrame, front: DataFrame, era_of: DataFrame) -> tuple[DataFrame, DataFrame]:
+def segment(ruler: DataFrame, front: DataFrame, era_of: DataFrame, rules: Ruleset | None = None) -> tuple[DataFrame, DataFrame]:
     """items(filing_id, ord, item_id, part, start, end, status, merged_into) and
     residual(filing_id, ord, start, end, cls) of rulers(filing_id, text)."""
-    spark = ruler.sparkSession
+    rules = rules or Ruleset.standard(ruler.sparkSession)
     sizes = lengths(ruler)
     found, divided, signed = structure(ruler, front)
-    taken = accepted(found, era_of)
+    taken = accepted(found, era_of, rules)
     spans = item_spans(taken, divided.select("filing_id", "start").unionByName(signed.select("filing_id", "start")), sizes)
     spans = stored(spans.select("filing_id", "era_id", "item_id", "merged_id", "start", "end"), "spans")
     judged = with_body(spans, ruler, status=lambda x, body: F.when(x["merged_id"].isNotNull(), "merged").otherwise(status_of(x["item_id"], body)))
     own = F.struct(F.lit(0).alias("k"), F.col("item_id").alias("id"), F.col("start").alias("s"), F.col("end").alias("e"), F.lit(None).cast("string").alias("into"))
     member = F.struct(F.lit(1).alias("k"), F.col("merged_id").alias("id"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), F.col("item_id").alias("into"))
     rows = judged.withColumn("r", F.explode(F.when(F.col("merged_id").isNull(), F.array(own)).otherwise(F.array(own, member))))
-    parts = F.broadcast(era_items(spark).where("part is not null").select("era_id", F.col("item_id").alias("p_id"), "part"))
+    parts = F.broadcast(rules.items.where("part is not null").select("era_id", F.col("item_id").alias("p_id"), "part"))
     parted = rows.join(parts, (rows["era_id"] == parts["era_id"]) & (F.col("r.id") == F.col("p_id")), "left")
     w = Window.partitionBy("filing_id").orderBy("start", "r.k")
     items = parted.select("filing_id", (F.row_number().over(w) - 1).alias("ord"), F.col("r.id").alias("item_id"), "part", F.col("r.s").alias("start"), F.col("r.e").alias("end"), "status", F.col("r.into").alias("merged_into"))

@@ -2,12 +2,15 @@
 
 Eras are half-open windows of ISO dates, compared as text. A missing date means
 the newest era. Dimensions have a fixed size (four eras, 84 items), so they are
-broadcast.
+broadcast. A caller may bring a ruleset of the same form, as tables of at most
+``MOST_RULES`` rows that keep its rules.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Bounds, evidence, and per item and era the expectation
@@ -108,3 +111,64 @@ def era_labels(items: DataFrame) -> DataFrame:
     per = items.groupBy("era_id").agg(F.collect_set(F.when(F.col("order_index").isNotNull(), F.col("item_id"))).alias("ids"), F.bool_or((F.col("item_id") == "6") & (F.col("expectation") == "reserved")).alias("six"))
     has = lambda x: F.array_contains("ids", x)
     return per.select("era_id", F.when(has("1C"), "2023").when(F.col("six"), "2020").when(has("1A"), "2005").otherwise("1994").alias("label"))
+
+
+#: Rows of a table of a caller's ruleset, so that it can be broadcast.
+MOST_RULES = 10_000
+
+
+@dataclass
+class Ruleset:
+    """windows(era_id, from_fye, until_fye), items(era_id, item_id, expectation, part, order_index) and absent(era_id, item_id)."""
+
+    windows: DataFrame
+    items: DataFrame
+    absent: DataFrame
+
+    @classmethod
+    def standard(cls, spark: SparkSession) -> Ruleset:
+        return cls(eras(spark), era_items(spark), permitted_absent(spark))
+
+    @classmethod
+    def own(cls, windows: DataFrame, items: DataFrame, absent: DataFrame) -> Ruleset:
+        """A caller's windows, items(era_id, pos, item_id, expectation, part) and absences, or an error that says what is wrong with them.
+
+        Required and reserved items are ordered by pos; reserved ones may always be missing.
+        """
+        for table in (windows, items, absent):
+            if table.limit(MOST_RULES + 1).count() > MOST_RULES:
+                raise ValueError(f"a table of a ruleset has more than {MOST_RULES} rows")
+        found = faults(windows, items).orderBy("era_id", "item_id", "fault").limit(20).collect()
+        if found:
+            raise ValueError("ruleset: " + "; ".join(" ".join(x for x in (r["era_id"], r["item_id"], r["fault"]) if x) for r in found))
+        needed = F.col("expectation").isin("required", "reserved")
+        order = F.when(needed, F.row_number().over(Window.partitionBy("era_id", needed).orderBy("pos")) - 1).cast("int")
+        reserved = items.where("expectation = 'reserved'").select("era_id", "item_id")
+        return cls(windows, items.withColumn("order_index", order), absent.select("era_id", "item_id").union(reserved).distinct())
+
+    def with_era(self, filings: DataFrame, fye: str = "fiscal_year_end") -> DataFrame:
+        """filings with ``era_id``: the window that holds the year end; the newest without a date, null outside all windows."""
+        w = F.broadcast(self.windows.select("era_id", "from_fye", "until_fye"))
+        newest = self.windows.agg(F.max_by("era_id", F.struct(F.col("from_fye").isNotNull(), "from_fye")).alias("newest"))
+        when = F.col(fye)
+        inside = (F.col("from_fye").isNull() | (F.col("from_fye") <= when)) & (F.col("until_fye").isNull() | (when < F.col("until_fye")))
+        dated = filings.join(w, inside, "left").crossJoin(F.broadcast(newest))  # one row
+        return dated.select(*filings.columns, F.when(when.isNull(), F.col("newest")).otherwise(F.col("era_id")).alias("era_id"))
+
+
+def faults(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """era_id, item_id, fault: what breaks the rules of a ruleset, told by windows over its few rows."""
+    none = F.lit(None).cast("string").alias("item_id")
+    w = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_first("from_fye"), "era_id")
+    following = F.lead("from_fye").over(w)
+    after = windows.withColumns({"next": following, "later": F.lead("era_id").over(w)}).where("later is not null")
+    clash = after.where("next is null or until_fye is null or until_fye > next").select("era_id", none, F.concat(F.lit("overlaps "), F.col("later")).alias("fault"))
+    hole = after.where("until_fye < next").select("era_id", none, F.concat(F.lit("leaves a hole before "), F.col("later")).alias("fault"))
+    twice = windows.groupBy("era_id").count().where("count > 1").select("era_id", none, F.lit("declared twice").alias("fault"))
+    known = windows.select("era_id").distinct()
+    strange = items.join(known, "era_id", "left_anti").select("era_id", "item_id", F.lit("is of no era").alias("fault"))
+    odd = items.where(~F.coalesce(F.col("expectation").isin(*EXPECTATIONS.values()), F.lit(False))).select("era_id", "item_id", F.lit("has no known expectation").alias("fault"))
+    out = invalid_eras(windows).select("era_id", none, "fault").unionByName(invalid_items(items))
+    for part in (clash, hole, twice, strange, odd):
+        out = out.unionByName(part)
+    return out

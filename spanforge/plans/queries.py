@@ -14,7 +14,7 @@ from spanforge.operators import chrome, completeness, front, gate, html, provena
 from spanforge.plans import eras, reports
 from spanforge.plans.segmentation import result_json, segment_filings, segment_texts
 from spanforge.sources import filings as sources
-from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings, paged_filings, raw_filings
+from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings, paged_filings, raw_filings, tagged_filings
 from spanforge.sources.files import read_folder, write_folder
 from spanforge.sources.shared import shared_folder, spread, stored
 
@@ -266,6 +266,22 @@ def layout_violations(spark, sf_dir):
     return found.where("inv_no <> 6").select("filing_id", F.col("inv_no").cast("long").alias("inv_no"), "code", "item_id", *_long("start", "end"))
 
 
+def own_ruleset(spark, sf_dir):
+    """The corpus by a caller's ruleset: eight items in an order of its own, one of which may be missing."""
+    windows = spark.createDataFrame([("own", None, None)], "era_id string, from_fye string, until_fye string")
+    declared = [("1", "I"), ("2", "I"), ("3", "I"), ("5", "II"), ("8", "II"), ("7A", "II"), ("9A", "II"), ("15", "III")]
+    rows = [("own", k, i, "required", part) for k, (i, part) in enumerate(declared)] + [("own", 90, "1A", "conditional", None), ("own", 91, "6", "absent", None)]
+    ruleset = eras.Ruleset.own(windows, spark.createDataFrame(rows, "era_id string, pos int, item_id string, expectation string, part string"), spark.createDataFrame([("own", "3")], "era_id string, item_id string"))
+    run = segment_texts(_filings(spark, sf_dir), ruleset=ruleset)
+    return reports.item_sequence(run).join(run.verdicts, "filing_id").join(run.filings.select("filing_id", "era_id"), "filing_id").select("filing_id", "era_id", "sequence", "status", "n_violations")
+
+
+def tagged_evidence(spark, sf_dir):
+    """Filings made from pages, with a tagged number in item 8, beside it, or nowhere: where item 8 is away from its facts."""
+    found = segment_filings(stored(sources.prepared(tagged_filings(spark, sf_dir)), "tagged"), tagged_evidence=True)[0].violations
+    return found.where("inv_no = 7").select("filing_id", "code", "item_id", *_long("start", "end"))
+
+
 def user_sessions(spark, sf_dir):
     """Runs of events of a user with at most 30 minutes between them."""
     e = _table(spark, sf_dir, "events").withColumn("t", F.unix_timestamp("ts"))
@@ -298,7 +314,7 @@ def queries() -> dict[str, Query]:
     found = (
         page_tokens, document_lines, filing_texts, filing_eras, order_eras, chrome_lines, stripped_texts, front_matter, item_headings,
         accepted_items, items, residual_spans, violations, invariant_results, verdicts, dated_summary, item_sequences, residual_classes,
-        spot_check, result_documents, page_conservation, filing_conservation, conservation_examples, item_sources, page_provenance, ledger_classes, walk_errors, page_formats, file_formats, raw_formats, layout_violations, user_sessions, running_records, shipping_islands, shipping_overlaps,
+        spot_check, result_documents, page_conservation, filing_conservation, conservation_examples, item_sources, page_provenance, ledger_classes, walk_errors, page_formats, file_formats, raw_formats, layout_violations, own_ruleset, tagged_evidence, user_sessions, running_records, shipping_islands, shipping_overlaps,
     )
     return {f.__name__: f for f in found}
 
@@ -521,6 +537,13 @@ SELECT f.filing_id, n_missing IS NULL AS passed, (SELECT count(*) FROM stoken s
   SELECT user_id, run, count(*) AS n, min(t) AS first, max(t) AS last FROM r GROUP BY user_id, run""",
     "running_records": """SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) WHERE best IS NULL OR value > best""",
 }
+_OWN_ITEMS = """era_items(era_id, item_id, expectation, part, order_index) AS (VALUES ('own', '1', 'required', 'I', 0), ('own', '2', 'required', 'I', 1), ('own', '3', 'required', 'I', 2), ('own', '5', 'required', 'II', 3),
+  ('own', '8', 'required', 'II', 4), ('own', '7A', 'required', 'II', 5), ('own', '9A', 'required', 'II', 6), ('own', '15', 'required', 'III', 7), ('own', '1A', 'conditional', NULL, NULL), ('own', '6', 'absent', NULL, NULL))"""
+ORACLE["own_ruleset"] = ("WITH " + ",\n".join([_OWN_ITEMS, "absent(era_id, item_id) AS (VALUES ('own', '3'))", *_CHAIN[:6]]) + """
+SELECT v.filing_id, 'own' AS era_id, string_agg(concat_ws('/', i.item_id, i.part), ' ' ORDER BY i.ord) AS sequence, any_value(CASE WHEN v.n > 0 THEN 'failed' ELSE 'pass' END) AS status, any_value(v.n) AS n_violations
+  FROM verdict v JOIN items i ON i.filing_id = v.filing_id GROUP BY v.filing_id""").replace("'era_2023'", "'own'")
+ORACLE["tagged_evidence"] = r"""SELECT page_id AS filing_id, 'xbrl_mismatch' AS code, '8' AS item_id, CAST(a AS BIGINT) AS start, CAST(a + length('Item 8. Statements') + length(url) + 2 AS BIGINT) AS "end"
+  FROM (SELECT page_id, url, 1 + length('Item 7. Discussion') + 1 + CASE WHEN title = '' THEN 0 ELSE length(title) + 1 END AS a FROM (SELECT page_id, regexp_replace(url, '[?].*', '') AS url, regexp_extract(html, '<h1>([^<&]*)', 1) AS title FROM pages)) WHERE page_id % 3 = 1"""
 # a tokenizer of its own for pages, and where what it shows stays once chrome is cut out
 ORACLE["page_provenance"] = r"""WITH toks AS (
   SELECT page_id, t[i] AS tok, i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<[^>]*>|<|&[a-z]+;?|&|[^<&]+') AS t FROM pages), LATERAL unnest(range(1, len(t) + 1)) AS u(i)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.text import sized
 from spanforge.operators import chrome, completeness, front, gate, html, provenance, segment
-from spanforge.plans.eras import with_era
+from spanforge.plans.eras import Ruleset, with_era
 from spanforge.sources.shared import stored
 
 
@@ -32,27 +32,39 @@ class Segmented:
     cuts: DataFrame | None = None
 
 
-def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: DataFrame | None = None) -> Segmented:
+def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: DataFrame | None = None, ruleset: Ruleset | None = None, facts: DataFrame | None = None) -> Segmented:
     """texts(filing_id, text, fiscal_year_end): plain or already normalized filings.
 
+    evidence(filing_id, b_start, b_end) lies in the ruler; facts(filing_id, facts), arrays of
+    stretches of the texts, are followed through excision and become evidence. A ruleset
+    of the caller takes the place of the four eras.
+
     Tables that many branches read are stored, so no plan grows beyond one step.
     """
-    filings = stored(with_era(texts.select("filing_id", "fiscal_year_end")), "filings")
+    rules = ruleset or Ruleset.standard(texts.sparkSession)
+    dates = texts.select("filing_id", "fiscal_year_end")
+    filings = stored(ruleset.with_era(dates) if ruleset else with_era(dates), "filings")
     cut = stored(sized(chrome.cut(texts.select("filing_id", "text"))), "ruler", key="filing_id")
     ruler, ledger = cut.drop("heads"), chrome.heads(cut)
     regions = stored(front.front_matter(ruler), "front")
-    items, residual = segment.segment(ruler, regions, filings)
-    found = stored(gate.violations(filings, ruler, items, residual, evidence, other), "violations")
+    items, residual = segment.segment(ruler, regions, filings, rules)
+    if facts is not None:
+        moved = provenance.rows(provenance.after_excision(facts.select("filing_id", F.col("facts").alias("stretches")), cut))
+        own = moved.select("filing_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+        evidence = own if evidence is None else evidence.select(*own.columns).unionByName(own)
+    found = stored(gate.violations(filings, ruler, items, residual, evidence, other, rules), "violations")
     return Segmented(filings, ruler, ledger, regions, gate.annotated(items, found), residual, found, gate.verdicts(filings, found), cuts=cut.select("filing_id", "heads"))
 
 
-def segment_filings(filings: DataFrame) -> tuple[Segmented, DataFrame, DataFrame]:
+def segment_filings(filings: DataFrame, ruleset: Ruleset | None = None, tagged_evidence: bool = False) -> tuple[Segmented, DataFrame, DataFrame]:
     """filings(filing_id, raw_text, generation, fiscal_year_end), as ``sources.filings.prepared``
-    gives them: the run, its completeness report, and its provenance."""
+    gives them: the run, its completeness report, and its provenance. With tagged_evidence the
+    numbers that a filing tags say where item 8 should be."""
     every = stored(html.walk(filings), "walked")
     walked, failed = every.where("error is null"), every.where("error is not null").select("filing_id", "error")
     filings = filings.join(failed, "filing_id", "left_anti")
-    run = segment_texts(walked.join(filings.select("filing_id", "fiscal_year_end"), "filing_id").select("filing_id", "text", "fiscal_year_end"))
+    texts = walked.join(filings.select("filing_id", "fiscal_year_end"), "filing_id").select("filing_id", "text", "fiscal_year_end")
+    run = segment_texts(texts, ruleset=ruleset, facts=walked.select("filing_id", "facts") if tagged_evidence else None)
     run = replace(run, walked=walked, failed=failed)
     baseline = filings.select("filing_id", html.baseline_text(F.col("raw_text"), F.col("generation")).alias("text"))
     report = completeness.conservation(filings, baseline, run.ruler, run.ledger)

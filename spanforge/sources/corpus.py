@@ -73,6 +73,17 @@ def paged_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("filing_id", F.expr(raw).cast("binary").alias("raw"))
 
 
+def tagged_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """filing_id, raw: for each page an inline-XBRL filing of items 7 to 9 over its title and address; a number
+    is tagged in item 8, in item 9 or nowhere, by the page's number."""
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    url = F.regexp_replace("url", "[?].*", "")
+    fact = lambda k: F.when(F.col("page_id") % 3 == k, F.concat(F.lit('<ix:nonFraction name="n" scale="3">'), url, F.lit("</ix:nonFraction>"))).otherwise(url)
+    title = F.regexp_extract("html", "<h1>([^<&]*)", 1)
+    parts = ["<html><body><p>Item 7. Discussion</p><p>", title, "</p><p>Item 8. Statements</p><p>", fact(0), "</p><p>Item 9. Changes</p><p>", fact(1), " end</p></body></html>"]
+    return pages.select(F.col("page_id").alias("filing_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).cast("binary").alias("raw"))
+
+
 FYE_SQL = _DATE.replace("DIV", "(f // 6)")
 FILINGS_SQL = rf"""
 lines0 AS (

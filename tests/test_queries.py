@@ -4,7 +4,7 @@ from spanforge.plans import queries as engine
 from tests.helpers import SF, oracle, result
 
 QUICK = ["page_tokens", "document_lines", "filing_texts", "filing_eras", "order_eras", "chrome_lines", "stripped_texts", "front_matter"]
-QUICK += ["item_headings", "accepted_items", "items", "residual_spans", "violations", "page_conservation", "user_sessions", "running_records", "shipping_islands", "shipping_overlaps", "filing_conservation", "item_sources", "dated_summary", "raw_formats", "layout_violations", "result_documents", "ledger_classes", "walk_errors", "conservation_examples", "file_formats", "page_provenance"]
+QUICK += ["item_headings", "accepted_items", "items", "residual_spans", "violations", "page_conservation", "user_sessions", "running_records", "shipping_islands", "shipping_overlaps", "filing_conservation", "item_sources", "dated_summary", "raw_formats", "layout_violations", "result_documents", "ledger_classes", "walk_errors", "conservation_examples", "file_formats", "page_provenance", "own_ruleset", "tagged_evidence"]
 
 
 @pytest.mark.parametrize("name", QUICK)
