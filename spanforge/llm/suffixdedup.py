@@ -103,12 +103,13 @@ def anchors(own: DataFrame) -> DataFrame:
     def run(batches):
         for batch, texts in slices(batches, 2):
             _, text, m, *_ = runs(texts)
-            order = np.lexsort((text, m))
+            order = np.argsort(m, kind="stable")  # texts ascend already
             m, text = m[order], text[order]
             apart = np.ones(len(m), bool)
             apart[1:] = (m[1:] != m[:-1]) | (text[1:] != text[:-1])
-            found, n = np.unique(m[apart], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["m", "n"])
+            m = m[apart]
+            first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else m
+            yield pa.RecordBatch.from_arrays([pa.array(m[first]), pa.array(np.diff(np.append(first, len(m))))], names=["m", "n"])
 
     every = own.mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
     return stored(every.where("n > 1").select("m"), "anchors")
@@ -120,9 +121,7 @@ def wanted(own: DataFrame, known: DataFrame) -> DataFrame:
     def run(batches):
         for batch, texts in slices(batches, 2):
             _, text, m, *_ = runs(texts)
-            order = np.lexsort((m, text))
-            m, text = m[order], text[order]
-            apart = np.ones(len(m), bool)
+            apart = np.ones(len(m), bool)  # runs that follow each other may have one anchor; what is left of repeats the sets below take
             apart[1:] = (m[1:] != m[:-1]) | (text[1:] != text[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(m[apart]), batch.column(0).take(pa.array(text[apart]))], names=["m", "k"])
 
@@ -263,7 +262,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = own.schema["doc_id"].dataType.simpleString()
     short = own.select("k", "d", "text").where(F.octet_length("text") >= WIDTH)
     # documents whose keys are equal by chance look for some anchors too many, which changes nothing
-    lists = stored(wanted(short, anchors(short)), "wanted-anchors")
+    known = anchors(short)
+    lists = stored(wanted(short, known), "wanted-anchors")
+    dropped(known)
     found = spelled(short, lists)
     dropped(lists)
     different = stored(found.where("x is not null").groupBy("m", "rh", "x").agg(F.min("low").alias("low"), F.max("high").alias("high")), "different-runs")
