@@ -13,60 +13,125 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Bounds, evidence, and per item and era the expectation
-# (R required, V reserved, A absent, C conditional) and part; - is not declared.
+# Name, first and following bound of the fiscal year end, and evidence of each era.
 ERAS = [
     ("era_1994", None, "2005-12-01", "real_filing"),
     ("era_2005", "2005-12-01", "2021-08-09", "sec_primary"),
     ("era_2020", "2021-08-09", "2023-12-15", "real_filing"),
     ("era_2023", "2023-12-15", None, "real_filing"),
 ]
-ITEMS = """
-1   R/I    R/I    R/I    R/I
-1A  A      R/I    R/I    R/I
-1B  A      R/I    R/I    R/I
-1C  -      -      -      R/I
-2   R/I    R/I    R/I    R/I
-3   R/I    R/I    R/I    R/I
-4   R/I    R/I    R/I    R/I
-5   R/II   R/II   R/II   R/II
-6   R/II   R/II   V/II   V/II
-7   R/II   R/II   R/II   R/II
-7A  A      R/II   R/II   R/II
-8   R/II   R/II   R/II   R/II
-9   R/II   R/II   R/II   R/II
-9A  A      R/II   R/II   R/II
-9B  -      R/II   R/II   R/II
-9C  -      -      C/II   C/II
-10  R/III  R/III  R/III  R/III
-11  R/III  R/III  R/III  R/III
-12  R/III  R/III  R/III  R/III
-13  R/III  R/III  R/III  R/III
-14  R/IV   R/III  R/III  R/III
-15  -      R/IV   R/IV   R/IV
-16  -      C      C      C
-"""
+# The items of each era in their legal order: id, expectation and part (- is none).
+ITEMS = {
+    "era_1994": """
+        1 required I
+        1A absent -
+        1B absent -
+        2 required I
+        3 required I
+        4 required I
+        5 required II
+        6 required II
+        7 required II
+        7A absent -
+        8 required II
+        9 required II
+        9A absent -
+        10 required III
+        11 required III
+        12 required III
+        13 required III
+        14 required IV
+    """,
+    "era_2005": """
+        1 required I
+        1A required I
+        1B required I
+        2 required I
+        3 required I
+        4 required I
+        5 required II
+        6 required II
+        7 required II
+        7A required II
+        8 required II
+        9 required II
+        9A required II
+        9B required II
+        10 required III
+        11 required III
+        12 required III
+        13 required III
+        14 required III
+        15 required IV
+        16 conditional -
+    """,
+    "era_2020": """
+        1 required I
+        1A required I
+        1B required I
+        2 required I
+        3 required I
+        4 required I
+        5 required II
+        6 reserved II
+        7 required II
+        7A required II
+        8 required II
+        9 required II
+        9A required II
+        9B required II
+        9C conditional II
+        10 required III
+        11 required III
+        12 required III
+        13 required III
+        14 required III
+        15 required IV
+        16 conditional -
+    """,
+    "era_2023": """
+        1 required I
+        1A required I
+        1B required I
+        1C required I
+        2 required I
+        3 required I
+        4 required I
+        5 required II
+        6 reserved II
+        7 required II
+        7A required II
+        8 required II
+        9 required II
+        9A required II
+        9B required II
+        9C conditional II
+        10 required III
+        11 required III
+        12 required III
+        13 required III
+        14 required III
+        15 required IV
+        16 conditional -
+    """,
+}
+# Items that may be missing in an era, and in all.
 ABSENCES = {"era_1994": "11 12 13", "era_2005": "10 11 12 13 14", "era_2020": "10 11 12 13 14", "era_2023": "10 11 12 13 14"}
 OPTIONAL = "1B 1C 9B 9C 16"
 NEWEST = "era_2023"
-EXPECTATIONS = {"R": "required", "V": "reserved", "A": "absent", "C": "conditional"}
+EXPECTATIONS = ["required", "reserved", "absent", "conditional"]
 
 
 def item_rows() -> list[tuple[str, int, str, str, str | None, int | None]]:
     """(era_id, pos, item_id, expectation, part, order_index); order over required and reserved items."""
     out = []
-    for k, (era, *_) in enumerate(ERAS):
-        pos = order = 0
-        for line in ITEMS.split("\n"):
-            if not line.strip():
-                continue
-            item, *cells = line.split()
-            if cells[k] == "-":
-                continue
-            kind, _, part = cells[k].partition("/")
-            expected = kind in "RV"
-            out.append((era, pos, item, EXPECTATIONS[kind], part or None, order if expected else None))
-            pos, order = pos + 1, order + expected
+    for era, text in ITEMS.items():
+        order = 0
+        for pos, line in enumerate(filter(str.strip, text.split("\n"))):
+            item, kind, part = line.split()
+            expected = kind in ("required", "reserved")
+            out.append((era, pos, item, kind, None if part == "-" else part, order if expected else None))
+            order += expected
     return out
 
 
@@ -167,7 +232,7 @@ def faults(windows: DataFrame, items: DataFrame) -> DataFrame:
     twice = windows.groupBy("era_id").count().where("count > 1").select("era_id", none, F.lit("declared twice").alias("fault"))
     known = windows.select("era_id").distinct()
     strange = items.join(known, "era_id", "left_anti").select("era_id", "item_id", F.lit("is of no era").alias("fault"))
-    odd = items.where(~F.coalesce(F.col("expectation").isin(*EXPECTATIONS.values()), F.lit(False))).select("era_id", "item_id", F.lit("has no known expectation").alias("fault"))
+    odd = items.where(~F.coalesce(F.col("expectation").isin(EXPECTATIONS), F.lit(False))).select("era_id", "item_id", F.lit("has no known expectation").alias("fault"))
     out = invalid_eras(windows).select("era_id", none, "fault").unionByName(invalid_items(items))
     for part in (clash, hole, twice, strange, odd):
         out = out.unionByName(part)
