@@ -46,6 +46,12 @@ def rows(stretches: DataFrame) -> DataFrame:
     return stretches.select("filing_id", F.inline("stretches"))
 
 
+def gathered(each: DataFrame) -> DataFrame:
+    """filing_id, stretches of stretches that are rows."""
+    own = F.struct("start", "end", "source_start", "source_end", "kind")
+    return each.groupBy("filing_id").agg(F.array_sort(F.collect_list(own)).cast(STRETCHES).alias("stretches"))
+
+
 def _shortened(stretches: Column, cuts: Column) -> Column:
     """The stretches in the offsets of the text without its cuts (start, end): cut where those are, and moved."""
     def moved(starts: Column, ends: Column, gone: Column) -> Column:

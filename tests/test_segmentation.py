@@ -116,6 +116,8 @@ HTML = [
 
 
 def test_html_is_conserved(spark):
+    from spanforge.operators.provenance import rows
+
     df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(HTML)], "filing_id long, raw binary")
     filings = prepared(df)
     assert [r["generation"] for r in filings.orderBy("filing_id").collect()] == [x[1] for x in HTML]
@@ -125,7 +127,7 @@ def test_html_is_conserved(spark):
     assert "secret" not in texts[1] and "1,234" in texts[1] and "gone" not in texts[2] and texts[3] == "plain © text" and "Bold" in texts[0]
     walked = {r["filing_id"]: r["hidden"] for r in html.walk(filings).collect()}
     assert [h["text"] for h in walked[2]] == ["gone"]
-    for r in stretches.where("kind = 'dom_text' and filing_id = 4").collect():
+    for r in rows(stretches).where("kind = 'dom_text' and filing_id = 4").collect():
         assert HTML[4][0].decode()[r["source_start"] : r["source_end"]] == texts[4][r["start"] : r["end"]]
 
 
@@ -175,11 +177,11 @@ def test_remapped_places(spark):
 
 
 def test_source_of_spans(spark):
-    from spanforge.operators.provenance import source_of
+    from spanforge.operators.provenance import gathered, source_of
 
     stretches = spark.createDataFrame([(1, 0, 5, 10, 15, "dom_text"), (1, 5, 6, 20, 20, "injected"), (1, 6, 9, 30, 33, "dom_text")], "filing_id long, start int, end int, source_start int, source_end int, kind string")
     spans = spark.createDataFrame([(1, 0, 3), (1, 2, 9), (1, 7, 8), (1, 50, 60)], "filing_id long, start int, end int")
-    got = {(r["start"], r["end"]): (r["source_kind"], r["source_start"], r["source_end"]) for r in source_of(spans, stretches).collect()}
+    got = {(r["start"], r["end"]): (r["source_kind"], r["source_start"], r["source_end"]) for r in source_of(spans, gathered(stretches)).collect()}
     assert got == {(0, 3): ("dom_text", 10, 13), (2, 9): ("dom_text", 12, 33), (7, 8): ("dom_text", 31, 32), (50, 60): (None, None, None)}
 
 
