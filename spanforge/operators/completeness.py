@@ -67,14 +67,17 @@ def conservation(filings: DataFrame, baseline: DataFrame, ruler: DataFrame, visi
     both = filings.select("filing_id").join(want, "filing_id", "left").join(have, "filing_id", "left").na.fill(0)
     both = stored(both.select("filing_id", "n_want", "n_have", (F.array(*[f"{n}_want" for n in SUMS]) == F.array(*[f"{n}_have" for n in SUMS])).alias("passed")), "balances")
     unequal = both.where("not passed").select("filing_id")
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    sums = ["filing_id", "passed", F.col("n_want").alias("n_source"), F.col("n_have").alias("n_accounted")]
+    if unequal.isEmpty():  # nearly always: no token needs to be looked at
+        return both.select(*sums, zero.alias("n_missing"), zero.alias("n_extra"), none.alias("missing_examples"), none.alias("extra_examples"))
     counts = [token_counts(x.join(unequal, "filing_id", "left_semi"), n) for x, n in ((baseline.select("filing_id", F.lit(0).alias("part"), "text"), "want"), (own, "have"))]
     each = counts[0].join(counts[1], ["filing_id", "token"], "full_outer").na.fill(0, ["want", "have"])
     each = each.withColumns({"missing": F.greatest(F.col("want") - F.col("have"), F.lit(0)), "extra": F.greatest(F.col("have") - F.col("want"), F.lit(0))})
     each = stored(each.where("missing + extra > 0"), "differing-tokens")
-    sums = each.groupBy("filing_id").agg(F.sum("missing").alias("n_missing"), F.sum("extra").alias("n_extra"))
-    out = both.join(sums, "filing_id", "left").join(_examples(each, "missing", "at_want"), "filing_id", "left").join(_examples(each, "extra", "at_have"), "filing_id", "left")
-    none = F.array().cast("array<string>")
+    per = each.groupBy("filing_id").agg(F.sum("missing").alias("n_missing"), F.sum("extra").alias("n_extra"))
+    out = both.join(per, "filing_id", "left").join(_examples(each, "missing", "at_want"), "filing_id", "left").join(_examples(each, "extra", "at_have"), "filing_id", "left")
     return out.select(
-        "filing_id", "passed", F.col("n_want").alias("n_source"), F.col("n_have").alias("n_accounted"), *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("n_missing", "n_extra")],
+        *sums, *[F.coalesce(n, zero).alias(n) for n in ("n_missing", "n_extra")],
         *[F.coalesce(n, none).alias(n) for n in ("missing_examples", "extra_examples")],
     )

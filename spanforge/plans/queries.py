@@ -159,7 +159,7 @@ def _pages(spark, sf_dir) -> DataFrame:
 def page_conservation(spark, sf_dir):
     """Token conservation of the walker against the independent text, per page."""
     pages = _pages(spark, sf_dir)
-    walked = html.walk(pages)
+    walked = stored(html.walk(pages), "walked")
     baseline = pages.select("filing_id", html.baseline_text(F.col("raw_text"), F.col("generation")).alias("text"))
     hidden = walked.select("filing_id", F.lit(None).cast("string").alias("text")).where("false")
     return completeness.conservation(pages, baseline, walked, hidden).select("filing_id", "passed", "n_source", "n_accounted", "n_missing", "n_extra")
