@@ -125,7 +125,8 @@ def wanted(own: DataFrame, known: DataFrame) -> DataFrame:
             apart[1:] = (m[1:] != m[:-1]) | (text[1:] != text[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(m[apart]), batch.column(0).take(pa.array(text[apart]))], names=["m", "k"])
 
-    return own.mapInArrow(run, "m long, k long").join(known, "m").groupBy("k").agg(F.collect_set("m").alias("ms"))
+    # an anchor stands once among the known ones: a part's share of them is hashed, and the many rows are not sorted
+    return own.mapInArrow(run, "m long, k long").join(known.hint("shuffle_hash"), "m").groupBy("k").agg(F.collect_set("m").alias("ms"))
 
 
 def spelled(own: DataFrame, lists: DataFrame) -> DataFrame:
@@ -273,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     verdict = verdicts(different, crowd, bucket_bytes)
     dropped(different)
     # only what goes from a document comes back to it; its id beside its key tells documents apart whose keys are equal by chance
-    gone = having.join(verdict, ["m", "rh"]).select("k", "d", "at", F.inline("cuts")).where("low < d")
+    gone = having.join(verdict.hint("shuffle_hash"), ["m", "rh"]).select("k", "d", "at", F.inline("cuts")).where("low < d")
     span = F.struct((F.col("at") + F.col("first")).alias("s"), (F.col("at") + F.col("last") + WIDTH).alias("e"))
     per = gone.groupBy(F.col("k").alias("k2"), F.col("d").alias("d2")).agg(F.collect_set(span).alias("gone"))
     both = own.join(per, (F.col("k") == F.col("k2")) & (F.col("d") == F.col("d2")), "left").select("doc_id", "text", "gone")
