@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -500,9 +501,6 @@ ORACLE = {
     "spot_check": _sql(5, """SELECT i.filing_id, i.item_id, i.status, CAST(i.start AS BIGINT) AS start, CAST(i.stop AS BIGINT) AS "end", (r.text[i.start + 1 : i.stop])[1:90] AS head, right(r.text[i.start + 1 : i.stop], 60) AS tail,
   CAST(coalesce(i.start - lag(i.stop) OVER (PARTITION BY i.filing_id ORDER BY i.start), 0) AS BIGINT) AS delta, NOT regexp_matches(i.item_id, '[A-Z]$') AND i.status = 'extracted' AND i.stop - i.start < 200 AS short
   FROM items i JOIN ruler r ON r.filing_id = i.filing_id WHERE i.start IS NOT NULL"""),
-    "page_conservation": rf"""SELECT page_id AS filing_id, true AS passed, n AS n_source, n AS n_accounted, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM (
-  SELECT page_id, CAST(len(regexp_extract_all(html_text, '[\p{{L}}\p{{N}}]+(?:[.,/\-&%][\p{{L}}\p{{N}}]+)*')) AS BIGINT) AS n FROM (
-  SELECT page_id, replace(replace(replace(replace({_BARE}, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS html_text FROM pages))""",
     "filing_conservation": _sql(1, r"""SELECT filing_id, true AS passed, n AS n_source, n AS n_accounted, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM (
   SELECT filing_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{N}]+(?:[.,/\-&%][\p{L}\p{N}]+)*')) AS BIGINT) AS n FROM filings)"""),
     "conservation_examples": _sql(2, r""", stoken AS (
@@ -537,6 +535,22 @@ SELECT f.filing_id, n_missing IS NULL AS passed, (SELECT count(*) FROM stoken s
   SELECT user_id, run, count(*) AS n, min(t) AS first, max(t) AS last FROM r GROUP BY user_id, run""",
     "running_records": """SELECT user_id, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events) WHERE best IS NULL OR value > best""",
 }
+# character references by the rules of HTML, apart from the engine's own decoding: the longest known name that a
+# reference begins with, closed or not, and numbers with what they stand for where they are no code points of text
+_NAMED = "named(name, text) AS (VALUES " + ", ".join(f"({', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in pair)})" for pair in sorted(html5.items())) + ")"
+_C1 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(128, 160))
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+ORACLE["page_conservation"] = rf"""WITH {_NAMED}, bare AS (SELECT page_id, {_BARE} AS html_text FROM pages
+), refs AS (SELECT DISTINCT unnest(regexp_extract_all(html_text, '{_REFERENCE}')) AS ref FROM bare
+), numbers AS (SELECT ref, CASE WHEN ref[3] IN ('x', 'X') THEN TRY_CAST('0x' || regexp_extract(ref, '[xX]0*([0-9a-fA-F]+)', 1) AS BIGINT) ELSE TRY_CAST(regexp_extract(ref, '[0-9]+') AS BIGINT) END AS n FROM refs WHERE ref[2] = '#'
+), known AS (
+  SELECT ref, CASE WHEN n IS NULL OR n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n = 13 THEN chr(13) WHEN n BETWEEN 128 AND 159 THEN '{_C1}'[n - 127]
+    WHEN n BETWEEN 1 AND 8 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(CAST(n AS INT)) END AS text FROM numbers
+  UNION ALL SELECT ref, arg_max(text || ref[len(name) + 2 :], len(name)) FROM refs JOIN named ON starts_with(ref[2:], name) GROUP BY ref
+), m AS (SELECT map(coalesce(list(ref), []), coalesce(list(text), [])) AS texts FROM known
+), decoded AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all(html_text, '{_REFERENCE}|[^&]+|&'), lambda x: coalesce(texts[x], x)), '') AS html_text FROM bare, m)
+SELECT page_id AS filing_id, true AS passed, n AS n_source, n AS n_accounted, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM (
+  SELECT page_id, CAST(len(regexp_extract_all(html_text, '[\p{{L}}\p{{N}}]+(?:[.,/\-&%][\p{{L}}\p{{N}}]+)*')) AS BIGINT) AS n FROM decoded)"""
 _OWN_ITEMS = """era_items(era_id, item_id, expectation, part, order_index) AS (VALUES ('own', '1', 'required', 'I', 0), ('own', '2', 'required', 'I', 1), ('own', '3', 'required', 'I', 2), ('own', '5', 'required', 'II', 3),
   ('own', '8', 'required', 'II', 4), ('own', '7A', 'required', 'II', 5), ('own', '9A', 'required', 'II', 6), ('own', '15', 'required', 'III', 7), ('own', '1A', 'conditional', NULL, NULL), ('own', '6', 'absent', NULL, NULL))"""
 ORACLE["own_ruleset"] = ("WITH " + ",\n".join([_OWN_ITEMS, "absent(era_id, item_id) AS (VALUES ('own', '3'))", *_CHAIN[:6]]) + """
