@@ -596,7 +596,7 @@ ORACLE["dated_summary"] = _by_era(6, _SUMMARY)
 _SHIPPED = "s AS (SELECT l_suppkey AS key, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS a, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS INT) % 5 + 1 AS b FROM lineitem WHERE l_shipdate IS NOT NULL)"
 _REACHED = "max(b) OVER (PARTITION BY key ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 ORACLE["shipping_islands"] = f"""WITH {_SHIPPED}, n AS (SELECT *, CASE WHEN a > coalesce({_REACHED}, -1) THEN 1 ELSE 0 END AS opened FROM s),
-  g AS (SELECT *, sum(opened) OVER (PARTITION BY key ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM n)
+  g AS (SELECT *, sum(opened) OVER (PARTITION BY key ORDER BY a, b, opened DESC ROWS UNBOUNDED PRECEDING) AS island FROM n)
   SELECT key, CAST(min(a) AS BIGINT) AS start, CAST(max(b) AS BIGINT) AS "end" FROM g GROUP BY key, island"""
 ORACLE["shipping_overlaps"] = f"""WITH {_SHIPPED}, n AS (SELECT *, coalesce({_REACHED}, 0) AS reached FROM s)
   SELECT key, count(*) FILTER (WHERE a < reached) AS n_overlaps, count(*) FILTER (WHERE a > reached) AS n_gaps FROM n GROUP BY key"""
