@@ -30,8 +30,9 @@ def label(line: Column) -> Column:
     return let(strip(line), told)
 
 
-def cut(texts: DataFrame) -> DataFrame:
+def cut(texts: DataFrame, with_source: bool = False) -> DataFrame:
     """filing_id, text, heads: each text without its chrome, and what was cut out as an array of start, end, text in old offsets.
+    With_source adds the text as it was.
 
     A short line is chrome if the same text, white space and case aside, stands
     three times in its filing, unless it opens an item or reads like a sentence;
@@ -49,7 +50,8 @@ def cut(texts: DataFrame) -> DataFrame:
         any_ = F.exists(yes, lambda x: x)
         return F.struct(F.when(any_, F.array_join(kept, "")).otherwise(F.col("text")).alias("text"), F.when(any_, heads).otherwise(none).alias("heads"))
 
-    return lined.select("filing_id", let(flags, apart).alias("c")).select("filing_id", "c.text", "c.heads")
+    source = [F.col("text").alias("source")] if with_source else []
+    return lined.select("filing_id", *source, let(flags, apart).alias("c")).select("filing_id", "c.text", "c.heads", *(["source"] if with_source else []))
 
 
 def heads(found: DataFrame) -> DataFrame:

@@ -3,14 +3,15 @@
 Each text is summed up in its row as the number of its tokens and the sums of four
 32-bit hashes of them. Such sums add up over texts and do not depend on the order, so
 two sets of texts with equal sums hold the same tokens. Only filings whose sums differ
-send their tokens to a join.
+bring their texts together, and what differs is told in the row of the filing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.functions.arrays import let
 from spanforge.functions.text import tokens
 from spanforge.sources.shared import stored
 
@@ -36,22 +37,62 @@ def fingerprints(texts: DataFrame, suffix: str) -> DataFrame:
     return each.groupBy("filing_id").agg(*[F.sum(f"f.{n}").alias(f"{n}_{suffix}") for n in SUMS])
 
 
-def token_counts(texts: DataFrame, name: str) -> DataFrame:
-    """filing_id, token, name, and where it first stands, of texts(filing_id, part, text): the token multiset of a filing."""
-    each = texts.select("filing_id", "part", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
-    return each.groupBy("filing_id", "token").agg(F.count("*").alias(name), F.min(F.struct("part", "pos")).alias(f"at_{name}"))
+#: Equal tokens in a row, in lines of sorted tokens; no token holds a line feed.
+RUN = r"(?d)(?m)^(.+)$(?:\n\1$)*+"
 
 
-def _examples(differing: DataFrame, kind: str, at: str) -> DataFrame:
-    """filing_id, kind_examples: the first tokens by where they first stand, each as often as it differs.
+def _runs(words: Column) -> Column:
+    """The different tokens of an array, each as often as it stands there, in lines of one text."""
+    return F.regexp_extract_all(F.array_join(F.sort_array(words), "\n"), F.lit(RUN), F.lit(0))
 
-    Ranks are limited before tokens are gathered, so that a filing that has lost all its words gathers no more.
+
+def _listed(words: Column, differing: Column) -> Column:
+    """The tokens that differ by where they first stand among the words, each as often as it differs; ``EXAMPLES`` at most."""
+    first = F.slice(F.array_intersect(words, F.transform(differing, lambda x: x["token"])), 1, EXAMPLES)
+    times = lambda t: F.least(F.get(F.filter(differing, lambda x: x["token"] == t), F.lit(0))["n"], F.lit(EXAMPLES)).cast("int")
+    return F.slice(F.flatten(F.transform(first, lambda t: F.array_repeat(t, times(t)))), 1, EXAMPLES)
+
+
+def compared(rows: DataFrame) -> DataFrame:
+    """What ``conservation`` gives, of rows(filing_id, want, have) with the texts of a filing on both sides as arrays.
+
+    All of it stays in the row, and no token becomes a row of its own: sorted tokens fall into runs, the runs
+    that only one side has are few, and neighbours among those, once sorted, say how often a token differs.
     """
-    w = Window.partitionBy("filing_id").orderBy(at, "token")
-    few = differing.where(F.col(kind) > 0).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= EXAMPLES)
-    per = few.groupBy("filing_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token", F.least(F.col(kind), F.lit(EXAMPLES)).cast("int").alias("n")))).alias("x"))
-    repeated = F.flatten(F.transform("x", lambda x: F.array_repeat(x["token"], x["n"])))
-    return per.select("filing_id", F.slice(repeated, 1, EXAMPLES).alias(f"{kind}_examples"))
+    words = lambda c: F.flatten(F.transform(F.filter(c, lambda t: t.isNotNull()), tokens))
+    told = rows.select("filing_id", *[words(c).alias(c) for c in ("want", "have")])
+    runs = told.select("*", *[_runs(F.col(c)).alias(f"{c}_runs") for c in ("want", "have")])
+
+    def only(own: str, other: str, sign: int) -> Column:
+        def counted(run: Column) -> Column:
+            return let(F.substring_index(run, "\n", 1), lambda t: F.struct(t.alias("token"), F.lit(sign).alias("sign"), F.floor((F.length(run) + 1) / (F.length(t) + 1)).cast("long").alias("n")))
+
+        return F.transform(F.array_except(own, other), counted)
+
+    def balance(s: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            # the two sides of a token are neighbours: the first of them tells for both
+            paired = lambda j: F.coalesce(F.get(s, j)["token"] == x["token"], F.lit(False))
+            other = F.when(paired(i + 1), F.get(s, i + 1)["n"] * F.get(s, i + 1)["sign"]).otherwise(F.lit(0).cast("long"))
+            return F.struct(x["token"].alias("token"), F.when(paired(i - 1), F.lit(0).cast("long")).otherwise(x["n"] * x["sign"] + other).alias("n"))
+
+        return F.transform(s, one)
+
+    differing = runs.select("filing_id", "want", "have", F.sort_array(F.concat(only("want_runs", "have_runs", 1), only("have_runs", "want_runs", -1))).alias("d"))
+    netted = differing.select("filing_id", "want", "have", let(F.col("d"), balance).alias("d"))
+    apart = netted.select("filing_id", "want", "have", F.filter("d", lambda x: x["n"] > 0).alias("missing"), F.transform(F.filter("d", lambda x: x["n"] < 0), lambda x: F.struct(x["token"].alias("token"), (-x["n"]).alias("n"))).alias("extra"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    size = lambda c: F.size(c).cast("long")
+    return apart.select(
+        "filing_id", ((F.size("missing") == 0) & (F.size("extra") == 0)).alias("passed"), size("want").alias("n_source"), size("have").alias("n_accounted"),
+        total("missing").alias("n_missing"), total("extra").alias("n_extra"),
+        _listed(F.col("want"), F.col("missing")).alias("missing_examples"), _listed(F.col("have"), F.col("extra")).alias("extra_examples"),
+    )
+
+
+def gathered(texts: DataFrame, name: str) -> DataFrame:
+    """filing_id, name: the texts of each filing of texts(filing_id, part, text) as an array, by part."""
+    return texts.groupBy("filing_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]).alias(name))
 
 
 def conservation(filings: DataFrame, baseline: DataFrame, ruler: DataFrame, visible_ledger: DataFrame) -> DataFrame:
@@ -71,13 +112,10 @@ def conservation(filings: DataFrame, baseline: DataFrame, ruler: DataFrame, visi
     sums = ["filing_id", "passed", F.col("n_want").alias("n_source"), F.col("n_have").alias("n_accounted")]
     if unequal.isEmpty():  # nearly always: no token needs to be looked at
         return both.select(*sums, zero.alias("n_missing"), zero.alias("n_extra"), none.alias("missing_examples"), none.alias("extra_examples"))
-    counts = [token_counts(x.join(unequal, "filing_id", "left_semi"), n) for x, n in ((baseline.select("filing_id", F.lit(0).alias("part"), "text"), "want"), (own, "have"))]
-    each = counts[0].join(counts[1], ["filing_id", "token"], "full_outer").na.fill(0, ["want", "have"])
-    each = each.withColumns({"missing": F.greatest(F.col("want") - F.col("have"), F.lit(0)), "extra": F.greatest(F.col("have") - F.col("want"), F.lit(0))})
-    each = stored(each.where("missing + extra > 0"), "differing-tokens")
-    per = each.groupBy("filing_id").agg(F.sum("missing").alias("n_missing"), F.sum("extra").alias("n_extra"))
-    out = both.join(per, "filing_id", "left").join(_examples(each, "missing", "at_want"), "filing_id", "left").join(_examples(each, "extra", "at_have"), "filing_id", "left")
-    return out.select(
+    sides = [gathered(x.join(unequal, "filing_id", "left_semi"), n) for x, n in ((baseline.select("filing_id", F.lit(0).alias("part"), "text"), "want"), (own, "have"))]
+    found = compared(unequal.join(sides[0], "filing_id", "left").join(sides[1], "filing_id", "left").select("filing_id", *[F.coalesce(n, none).alias(n) for n in ("want", "have")]))
+    per = found.select("filing_id", "n_missing", "n_extra", "missing_examples", "extra_examples")
+    return both.join(per, "filing_id", "left").select(
         *sums, *[F.coalesce(n, zero).alias(n) for n in ("n_missing", "n_extra")],
         *[F.coalesce(n, none).alias(n) for n in ("missing_examples", "extra_examples")],
     )
