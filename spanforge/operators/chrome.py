@@ -30,16 +30,16 @@ def label(line: Column) -> Column:
     return let(strip(line), told)
 
 
-def cut(texts: DataFrame, with_source: bool = False) -> DataFrame:
+def cut(texts: DataFrame, *keep: str) -> DataFrame:
     """filing_id, text, heads: each text without its chrome, and what was cut out as an array of start, end, text in old offsets.
-    With_source adds the text as it was.
+    Keep names other columns that stay.
 
     A short line is chrome if the same text, white space and case aside, stands
     three times in its filing, unless it opens an item or reads like a sentence;
     page numbers are chrome if there are three of any kind. The line breaks stay. A
     null text has no row. All of it happens in the row of the text.
     """
-    lined = texts.where("text is not null").select("filing_id", "text", lines_of(F.col("text"), LINE_BREAKS).alias("lines"))
+    lined = texts.where("text is not null").select("filing_id", "text", *keep, lines_of(F.col("text"), LINE_BREAKS).alias("lines"))
     flags = repeated(F.transform("lines", lambda x: label(x["line"])), MIN_REPEATS)
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")
 
@@ -50,8 +50,7 @@ def cut(texts: DataFrame, with_source: bool = False) -> DataFrame:
         any_ = F.exists(yes, lambda x: x)
         return F.struct(F.when(any_, F.array_join(kept, "")).otherwise(F.col("text")).alias("text"), F.when(any_, heads).otherwise(none).alias("heads"))
 
-    source = [F.col("text").alias("source")] if with_source else []
-    return lined.select("filing_id", *source, let(flags, apart).alias("c")).select("filing_id", "c.text", "c.heads", *(["source"] if with_source else []))
+    return lined.select("filing_id", *keep, let(flags, apart).alias("c")).select("filing_id", "c.text", "c.heads", *keep)
 
 
 def heads(found: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanforge.functions.arrays import let
 from spanforge.functions.intervals import gaps, outside
 from spanforge.functions.text import END, GAP, is_blank, lengths, piece, some_lines, strip
 from spanforge.plans.eras import Ruleset
@@ -48,12 +49,13 @@ def with_body(spans: DataFrame, ruler: DataFrame, **made) -> DataFrame:
     """spans(filing_id, start, end, ...) with columns made from the text they cover.
 
     The spans of a filing are gathered and meet its text in one row, so texts are
-    not repeated per span.
+    not repeated per span. Each body is cut out once, for all that is made from it.
     """
     names = [c for c in spans.columns if c != "filing_id"]
     per = spans.groupBy("filing_id").agg(F.collect_list(F.struct(*names)).alias("s"))
     both = per.join(ruler.select("filing_id", "text"), "filing_id")
-    each = F.transform("s", lambda x: F.struct(*[x[c].alias(c) for c in names], *[f(x, piece(F.col("text"), x["start"], x["end"])).alias(k) for k, f in made.items()]))
+    told = lambda x, body: F.struct(*[x[c].alias(c) for c in names], *[f(x, body).alias(k) for k, f in made.items()])
+    each = F.transform("s", lambda x: let(piece(F.col("text"), x["start"], x["end"]), lambda body: told(x, body)))
     return both.select("filing_id", F.inline(each))
 
 
@@ -80,9 +82,9 @@ def item_spans(taken: DataFrame, cuts: DataFrame, sizes: DataFrame) -> DataFrame
     return nexts.join(sizes, "filing_id").withColumn("end", F.least(F.coalesce("next", "length"), F.coalesce("stop", "length"))).drop("next", "stop", "cut", "length")
 
 
-def segment(ruler: DataFrame, front: DataFrame, era_of: DataFrame, rules: Ruleset | None = None) -> tuple[DataFrame, DataFrame]:
-    """items(filing_id, ord, item_id, part, start, end, status, merged_into) and
-    residual(filing_id, ord, start, end, cls) of rulers(filing_id, text)."""
+def itemized(ruler: DataFrame, front: DataFrame, era_of: DataFrame, rules: Ruleset | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """items(filing_id, ord, item_id, part, start, end, status, merged_into) of rulers(filing_id, text), and what
+    ``left_over`` needs: the spans of the items, and known(filing_id, start, end, cls) of the stretches of a class."""
     rules = rules or Ruleset.standard(ruler.sparkSession)
     sizes = lengths(ruler)
     found, divided, signed = structure(ruler, front)
@@ -98,6 +100,12 @@ def segment(ruler: DataFrame, front: DataFrame, era_of: DataFrame, rules: Rulese
     w = Window.partitionBy("filing_id").orderBy("start", "r.k")
     items = parted.select("filing_id", (F.row_number().over(w) - 1).alias("ord"), F.col("r.id").alias("item_id"), "part", F.col("r.s").alias("start"), F.col("r.e").alias("end"), "status", F.col("r.into").alias("merged_into"))
     known = front.select("filing_id", "start", "end", "cls").unionByName(divided.withColumn("cls", F.lit("part_divider"))).unionByName(signed.select("filing_id", "start", "end", F.lit("signatures").alias("cls")))
+    return stored(items, "items"), spans, known
+
+
+def left_over(ruler: DataFrame, spans: DataFrame, known: DataFrame) -> DataFrame:
+    """residual(filing_id, ord, start, end, cls): the known stretches, and those that are neither blank nor claimed."""
+    sizes = lengths(ruler)
     claimed = spans.select("filing_id", "start", "end").unionByName(known.select("filing_id", "start", "end"))
     first = spans.groupBy("filing_id").agg(F.min("start").alias("first"))
     open_ = gaps(claimed, sizes).join(first, "filing_id", "left").join(sizes, "filing_id")
@@ -106,4 +114,10 @@ def segment(ruler: DataFrame, front: DataFrame, era_of: DataFrame, rules: Rulese
     ranked = F.when(F.col("cls") == "cover_page", 0).when(F.col("cls") == "toc", 1).when(F.col("cls") == "part_divider", 2).when(F.col("cls") == "signatures", 3).otherwise(4)
     residual = known.withColumn("g", ranked).unionByName(left.withColumn("g", F.lit(4)))
     w = Window.partitionBy("filing_id").orderBy("g", "start")
-    return stored(items, "items"), stored(residual.select("filing_id", (F.row_number().over(w) - 1).alias("ord"), "start", "end", "cls"), "residual")
+    return stored(residual.select("filing_id", (F.row_number().over(w) - 1).alias("ord"), "start", "end", "cls"), "residual")
+
+
+def segment(ruler: DataFrame, front: DataFrame, era_of: DataFrame, rules: Ruleset | None = None) -> tuple[DataFrame, DataFrame]:
+    """The items of ``itemized`` and the residual of ``left_over``."""
+    items, spans, known = itemized(ruler, front, era_of, rules)
+    return items, left_over(ruler, spans, known)

@@ -13,7 +13,7 @@ from spanforge.functions.intervals import clashes, islands, merged_sessions, rec
 from spanforge.functions.text import line_table, sized, some_lines, tokens
 from spanforge.operators import chrome, completeness, front, gate, html, provenance, segment
 from spanforge.plans import eras, reports
-from spanforge.plans.segmentation import result_json, segment_filings, segment_texts
+from spanforge.plans.segmentation import itemize, result_json, segment_filings, segment_texts
 from spanforge.sources import filings as sources
 from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings, paged_filings, raw_filings, tagged_filings
 from spanforge.sources.files import read_folder, write_folder
@@ -35,6 +35,11 @@ def _undated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filings(spark, sf_dir).withColumn("fiscal_year_end", F.lit(None).cast("string"))
 
 
+def _unstored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without dates, for those who read it once."""
+    return filings(spark, sf_dir).withColumn("fiscal_year_end", F.lit(None).cast("string"))
+
+
 def _long(*names: str):
     return [F.col(n).cast("long").alias(n) for n in names]
 
@@ -134,7 +139,7 @@ def dated_summary(spark, sf_dir):
 
 
 def item_sequences(spark, sf_dir):
-    return reports.item_sequence(_stage2(spark, sf_dir))
+    return reports.item_sequence(itemize(_unstored(spark, sf_dir)))
 
 
 def residual_classes(spark, sf_dir):
@@ -142,7 +147,7 @@ def residual_classes(spark, sf_dir):
 
 
 def spot_check(spark, sf_dir):
-    return reports.spot_check(_stage2(spark, sf_dir)).select("filing_id", "item_id", "status", *_long("start", "end"), "head", "tail", F.coalesce("delta", F.lit(0)).cast("long").alias("delta"), "short")
+    return reports.spot_check(itemize(_unstored(spark, sf_dir))).select("filing_id", "item_id", "status", *_long("start", "end"), "head", "tail", F.coalesce("delta", F.lit(0)).cast("long").alias("delta"), "short")
 
 
 def result_documents(spark, sf_dir):
@@ -175,7 +180,7 @@ def filing_conservation(spark, sf_dir):
 
 def conservation_examples(spark, sf_dir):
     """The words that filings lose if what is cut out of them were not in the ledger: how many, the first ten and the first fifty."""
-    cut = chrome.cut(filings(spark, sf_dir), with_source=True)
+    cut = chrome.cut(filings(spark, sf_dir).withColumn("source", F.col("text")), "source")
     found = completeness.compared(cut.select("filing_id", F.array("source").alias("want"), F.array("text").alias("have")))
     words = lambda n: F.array_join(F.slice("missing_examples", 1, n), " ")
     return found.select("filing_id", "passed", "n_source", "n_missing", "n_extra", words(completeness.SHOWN).alias("first_ten"), words(completeness.EXAMPLES).alias("first_fifty"))
@@ -189,7 +194,7 @@ def _whole_stretches(f, run) -> DataFrame:
 def item_sources(spark, sf_dir):
     """Where the spans of items lie in the text before chrome was cut out."""
     f = _undated(spark, sf_dir)
-    run = segment_texts(f)
+    run = itemize(f)
     spans = run.items.where("start is not null").select("filing_id", "item_id", "start", "end")
     return provenance.source_of(spans, _whole_stretches(f, run)).select("filing_id", "item_id", *_long("start", "end"), "source_kind", *_long("source_start", "source_end"))
 

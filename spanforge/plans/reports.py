@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanforge.operators.gate import NAMES
 from spanforge.operators.segment import with_body
-from spanforge.plans.segmentation import Segmented, ledger
+from spanforge.plans.segmentation import Itemized, Segmented, ledger
 
 SHORT = 200
 
@@ -24,7 +24,7 @@ def summary(run: Segmented) -> DataFrame:
     return out.unionByName(run.failed.select("filing_id", F.lit("error").alias("status"), "error"), allowMissingColumns=True)
 
 
-def item_sequence(run: Segmented) -> DataFrame:
+def item_sequence(run: Segmented | Itemized) -> DataFrame:
     """filing_id, sequence: item ids and parts in order, as text."""
     each = F.transform(F.array_sort(F.collect_list(F.struct("ord", "item_id", "part"))), lambda x: F.concat_ws("/", x["item_id"], x["part"]))
     return run.items.groupBy("filing_id").agg(F.array_join(each, " ").alias("sequence"))
@@ -41,7 +41,7 @@ def ledger_classes(run: Segmented) -> DataFrame:
     return ledger(run).groupBy("filing_id", "cls", "visible").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.min("source_start").alias("first"))
 
 
-def spot_check(run: Segmented) -> DataFrame:
+def spot_check(run: Segmented | Itemized) -> DataFrame:
     """Per item span its first 90 and last 60 characters, the distance from the span before, and whether it is short for a main item."""
     spans = run.items.where("start is not null").select("filing_id", "item_id", "status", "start", "end")
     cut = with_body(spans, run.ruler, head=lambda x, body: F.left(body, F.lit(90)), tail=lambda x, body: F.right(body, F.lit(60)))

@@ -32,6 +32,36 @@ class Segmented:
     cuts: DataFrame | None = None
 
 
+@dataclass
+class Itemized:
+    """The tables of a run as far as the items, which is all that some reports read. Items have no confidence yet."""
+
+    filings: DataFrame
+    ruler: DataFrame
+    ledger: DataFrame
+    front: DataFrame
+    items: DataFrame
+    cuts: DataFrame
+    #: What the residual is told from.
+    spans: DataFrame
+    known: DataFrame
+
+
+def itemize(texts: DataFrame, ruleset: Ruleset | None = None) -> Itemized:
+    """texts(filing_id, text, fiscal_year_end) to their items, without residual, invariants and verdicts.
+
+    Texts are read once: dates stay with the rulers, and a filing without a text has no more than a date.
+    """
+    cut = stored(sized(chrome.cut(texts.select("filing_id", "text", "fiscal_year_end"), "fiscal_year_end")), "ruler", key="filing_id")
+    dates = cut.select("filing_id", "fiscal_year_end").unionByName(texts.where("text is null").select("filing_id", "fiscal_year_end"))
+    cut = cut.drop("fiscal_year_end")
+    filings = stored(ruleset.with_era(dates) if ruleset else with_era(dates), "filings")
+    ruler, ledger = cut.drop("heads"), chrome.heads(cut)
+    regions = stored(front.front_matter(ruler), "front")
+    items, spans, known = segment.itemized(ruler, regions, filings, ruleset or Ruleset.standard(texts.sparkSession))
+    return Itemized(filings, ruler, ledger, regions, items, cut.select("filing_id", "heads"), spans, known)
+
+
 def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: DataFrame | None = None, ruleset: Ruleset | None = None, facts: DataFrame | None = None) -> Segmented:
     """texts(filing_id, text, fiscal_year_end): plain or already normalized filings.
 
@@ -42,18 +72,15 @@ def segment_texts(texts: DataFrame, evidence: DataFrame | None = None, other: Da
     Tables that many branches read are stored, so no plan grows beyond one step.
     """
     rules = ruleset or Ruleset.standard(texts.sparkSession)
-    dates = texts.select("filing_id", "fiscal_year_end")
-    filings = stored(ruleset.with_era(dates) if ruleset else with_era(dates), "filings")
-    cut = stored(sized(chrome.cut(texts.select("filing_id", "text"))), "ruler", key="filing_id")
-    ruler, ledger = cut.drop("heads"), chrome.heads(cut)
-    regions = stored(front.front_matter(ruler), "front")
-    items, residual = segment.segment(ruler, regions, filings, rules)
+    own = itemize(texts, ruleset)
+    filings, ruler, items, cut = own.filings, own.ruler, own.items, own.cuts
+    residual = segment.left_over(ruler, own.spans, own.known)
     if facts is not None:
         moved = provenance.rows(provenance.after_excision(facts.select("filing_id", F.col("facts").alias("stretches")), cut))
-        own = moved.select("filing_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-        evidence = own if evidence is None else evidence.select(*own.columns).unionByName(own)
+        tagged = moved.select("filing_id", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+        evidence = tagged if evidence is None else evidence.select(*tagged.columns).unionByName(tagged)
     found = stored(gate.violations(filings, ruler, items, residual, evidence, other, rules), "violations")
-    return Segmented(filings, ruler, ledger, regions, gate.annotated(items, found), residual, found, gate.verdicts(filings, found), cuts=cut.select("filing_id", "heads"))
+    return Segmented(filings, ruler, own.ledger, own.front, gate.annotated(items, found), residual, found, gate.verdicts(filings, found), cuts=cut)
 
 
 def segment_filings(filings: DataFrame, ruleset: Ruleset | None = None, tagged_evidence: bool = False) -> tuple[Segmented, DataFrame, DataFrame]:
