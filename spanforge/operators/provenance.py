@@ -29,10 +29,15 @@ def below(ordered: Column, x: Column, with_equal: bool = False) -> Column:
     return F.aggregate(steps, F.lit(0), further)
 
 
+def stretches(spans: Column | str) -> Column:
+    """The spans of the walk as stretches."""
+    one = lambda s: F.struct(s["ruler_start"].alias("start"), s["ruler_end"].alias("end"), s["source_start"], s["source_end"], s["kind"])
+    return F.transform(spans, one).cast(STRETCHES)
+
+
 def segments(walked: DataFrame) -> DataFrame:
     """filing_id, stretches of walked filings, as the walk made them."""
-    one = lambda s: F.struct(s["ruler_start"].alias("start"), s["ruler_end"].alias("end"), s["source_start"], s["source_end"], s["kind"])
-    return walked.select("filing_id", F.transform("spans", one).cast(STRETCHES).alias("stretches"))
+    return walked.select("filing_id", stretches("spans").alias("stretches"))
 
 
 def whole(texts: DataFrame) -> DataFrame:
@@ -81,13 +86,17 @@ def _shortened(stretches: Column, cuts: Column) -> Column:
     return let(F.filter(cuts, lambda x: x["start"] < x["end"]), bound)
 
 
-def after_excision(stretches: DataFrame, found: DataFrame) -> DataFrame:
-    """filing_id, stretches in the offsets of the ruler. found(filing_id, heads): what was cut out, in order."""
-    both = stretches.join(found.select("filing_id", "heads"), "filing_id", "left")
+def shortened(both: DataFrame) -> DataFrame:
+    """filing_id, stretches in the offsets of the ruler, of both(filing_id, stretches, heads)."""
     cuts = F.coalesce("heads", F.array().cast("array<struct<start:int,end:int,text:string>>"))
     return both.select("filing_id", let(F.col("stretches"), lambda s: _shortened(s, cuts)).cast(STRETCHES).alias("stretches"))
 
 
+def after_excision(stretches: DataFrame, found: DataFrame) -> DataFrame:
+    """filing_id, stretches in the offsets of the ruler. found(filing_id, heads): what was cut out, in order."""
+    return shortened(stretches.join(found.select("filing_id", "heads"), "filing_id", "left"))
+
+
 def source_of(spans: DataFrame, stretches: DataFrame) -> DataFrame:
     """spans(filing_id, start, end, ...) with source_kind, source_start and source_end.
 

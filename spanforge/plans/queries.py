@@ -13,7 +13,7 @@ from spanforge.functions.intervals import clashes, islands, merged_sessions, rec
 from spanforge.functions.text import line_table, sized, some_lines, tokens
 from spanforge.operators import chrome, completeness, front, gate, html, provenance, segment
 from spanforge.plans import eras, reports
-from spanforge.plans.segmentation import itemize, result_json, segment_filings, segment_texts
+from spanforge.plans.segmentation import itemize, result_json, segment_filings, segment_texts, stretches_of
 from spanforge.sources import filings as sources
 from spanforge.sources.corpus import FILINGS_SQL, FYE_SQL, filings, paged_filings, raw_filings, tagged_filings
 from spanforge.sources.files import read_folder, write_folder
@@ -201,8 +201,7 @@ def item_sources(spark, sf_dir):
 
 def page_provenance(spark, sf_dir):
     """Stretches of the rulers of pages after chrome is cut out."""
-    _, _, stretches = segment_filings(_pages(spark, sf_dir))
-    return provenance.rows(stretches).select("filing_id", *_long("start", "end", "source_start", "source_end"), "kind")
+    return provenance.rows(stretches_of(_pages(spark, sf_dir))).select("filing_id", *_long("start", "end", "source_start", "source_end"), "kind")
 
 
 def _paged(spark, sf_dir):

@@ -98,6 +98,13 @@ def segment_filings(filings: DataFrame, ruleset: Ruleset | None = None, tagged_e
     return run, report, provenance.after_excision(provenance.segments(walked), run.cuts)
 
 
+def stretches_of(filings: DataFrame) -> DataFrame:
+    """filing_id, stretches: the provenance that ``segment_filings`` gives, and nothing else. A walked filing stays in its row."""
+    walked = stored(html.walk(filings), "walked").where("error is null")
+    cut = chrome.cut(walked.select("filing_id", "text", "spans"), "spans")
+    return provenance.shortened(cut.select("filing_id", provenance.stretches("spans").alias("stretches"), "heads"))
+
+
 def ledger(run: Segmented) -> DataFrame:
     """filing_id, cls, visible, source_start, source_end, text of all that was taken out of a walked filing:
     page heads, feet and numbers, which showed, and hidden facts, which did not. Places are those of the source."""
